@@ -97,3 +97,23 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(width):
         out = out * _U(0x2545F4914F6CDD1D) + words[i : len(words) - width + 1 + i]
     return mix(out)
+
+
+def word_codes(column: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of all texts, each word's place among them, and n+1 offsets of the texts."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    runs = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    ends = runs.offsets.to_numpy()
+    coded = pc.dictionary_encode(runs.flatten())
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    index = coded.indices.to_numpy()
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    upto = (ends - ends[0]).astype(np.int64)
+    if empty >= 0:  # before leading and after trailing white space
+        real = index != empty
+        index = index[real]
+        upto = np.concatenate([[0], np.cumsum(real, dtype=np.int64)])[upto]
+    return coded.dictionary, index, upto
