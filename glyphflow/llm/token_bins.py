@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import fresh, written
 from .wordhash import word_codes
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+JOINED = 4096
 SLICE_BYTES = 8 << 20
 
 
@@ -34,37 +36,72 @@ class WordEncoder:
     """Encodes whole texts through a cache of their words.
 
     The tokenizer splits at white space before its merges, so the ids of a text are those of its
-    runs between ASCII white space, in order.  Each distinct run is encoded once by the library.
+    runs between ASCII white space, in order; and a run of marks behind a letter is split off too, so
+    such an end is made a word of its own.  As the tokenizer lower-cases, A-Z are lower-cased before
+    words are told apart, unless the texts might hold a special token.  Words of letters only are
+    encoded many at a time, as one text: the library tells which word each id is of.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+
+    def _learn(self, words: list[str]) -> None:
+        """Fills self.known for words."""
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
+        known, width = self.known, self.dtype.itemsize
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            if len(of) and of[-1] + 1 == len(some):  # words can't grow together, so none was split either
+                raw = np.array(e.ids, self.dtype).tobytes()
+                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * width).tolist()
+                known.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                odd += some
+        for at in range(0, len(odd), JOINED):
+            some = odd[at : at + JOINED]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:  # what the last words have in common with these is kept
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        return [known[w] for w in words]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and n+1 offsets."""
-        dtype = np.dtype("<u4" if self.wide else "<u2")
-        coded, index, per_text = word_codes(texts, False)
-        words = coded.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype).tobytes()
-        raw = [self.known[w] for w in words]
-        sizes = np.array([len(x) for x in raw], np.int64) // dtype.itemsize
-        flat = np.frombuffer(b"".join(raw), dtype)
+        texts = pc.fill_null(pa.concat_arrays([texts]), "")
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        if not special:
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,!?;:%&$*]+)([ \t-\r]|$)", r"\1 \2\3")
+        coded, index, upto = word_codes(texts, not special)
+        raw = self._looked_up(coded.to_pylist())
+        raw.append(np.array([end], self.dtype).tobytes())
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(raw), self.dtype)
         begin = np.cumsum(sizes) - sizes
+        index = np.insert(index, upto[1:], len(raw) - 1)  # the end of a text is a word of its own
         counts = sizes[index]
         ends = np.cumsum(counts)
-        ids = flat[np.repeat(begin[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[per_text]
-        ids = np.insert(ids, upto[1:], end).astype(dtype)
-        return ids, upto + np.arange(len(upto))
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(begin[index] - ends + counts, counts)]
+        return ids, np.concatenate([[0], ends])[upto + np.arange(len(upto))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -107,7 +144,7 @@ def write_store(docs: DataFrame, tokenizer: str, end: int = 2, parts: int | None
             with store.open_output_stream(f"{root}/docs-{name}.arrow") as out, pa.ipc.new_file(out, doc_ids[0].schema) as table:
                 for x in doc_ids:
                     table.write_batch(x)
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "name": name, "docs": docs_here, "ids": total, "width": 4 if coder.wide else 2}])
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "name": name, "docs": docs_here, "ids": total, "width": coder.dtype.itemsize}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = ["doc_id", F.xxhash64("text")]

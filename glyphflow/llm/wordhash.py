@@ -103,7 +103,7 @@ def word_codes(column: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.
     """Distinct words of all texts, each word's place among them, and n+1 offsets of the texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    texts = pc.fill_null(column, "").cast(pa.large_string())
+    texts = pc.fill_null(pa.concat_arrays([column]), "").cast(pa.large_string())  # Arrow's string kernels go wrong on slices
     runs = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     ends = runs.offsets.to_numpy()
     coded = pc.dictionary_encode(runs.flatten())
