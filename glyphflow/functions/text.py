@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Capital letters below U+0250 and their small letters, one for one.
 UPPER = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) == "Lu")
@@ -23,7 +24,7 @@ TOKEN = r"[[\p{L}\p{Nd}\p{M}\x{200C}\x{200D}]&&[\x{0}-\x{FFFF}]]"
 SCRIPTS = (("telugu", 0x0C00, 0x0C7F), ("hindi", 0x0900, 0x097F), ("tamil", 0x0B80, 0x0BFF), ("bengali", 0x0980, 0x09FF))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

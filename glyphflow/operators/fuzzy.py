@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 from pyspark.sql.window import Window
 
 SUGGESTIONS = 5
@@ -61,12 +62,12 @@ def edit_script(a: str, b: str) -> list[str]:
     return out[::-1]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def edit_script_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_script(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
 def dp_table_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([dp_table(x, y) for x, y in zip(a, b, strict=True)])
 
