@@ -3,10 +3,13 @@
 A document's set holds its distinct n-word shingles (with fewer words, the whole sequence as one).
 Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
 
-1. Shingles that many documents share are found first (heavy hitters, a bounded list).  They only
-   decide the global order, rare shingles before common ones, so the list may miss any.
-2. Equal sets become one class, kept by its smallest doc_id; a class posts the rarest
-   ``n - ceil(n * num / den) + 1`` of its shingles, of which linked classes share at least one.
+1. Equal sets become one class, kept by its smallest doc_id.
+2. The shingles of classes are counted.  A class of whose shingles more than ``n - ceil(n * num / den)``
+   occur in no other class links with none and is done.  (The repeated shingles go to the executors as
+   a bit filter of fixed size, which takes some unique ones for repeated and never the other way.)
+   Each class left posts those of its rarest ``n - ceil(n * num / den) + 1`` shingles that are repeated;
+   linked classes share at least one.  The counts of the most common shingles, a bounded list, only
+   decide the order.
 3. Classes that share a posted shingle form families (connected components of star edges: each
    class with the smallest class of the shingle, so no pairs are written).
 4. Every family goes through a prefix tree of its sets, most common shingles first: equal beginnings
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bloom, dropped, in_bloom, written
+from .scratch import bloom, dropped, in_bloom, in_words, written
 from .wordhash import mix, shingle_hashes, word_hashes
 
 HEAVY = 1 << 18
-HEAVY_IN_BATCH = 4
+BUCKET_BITS = 12
+REPEATED_BITS = 1 << 26
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
 
@@ -45,51 +49,109 @@ def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[at[i] : at[i + 1]], n)) for i in range(batch.num_rows)]
 
 
-def heavy_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most HEAVY shingles with the most documents, sorted, and their counts."""
+def _prints(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum().view(np.int64))
+
+
+def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, f1, f2) of every row: the size of its set and two 64-bit sums over it."""
+
+    def describe(batches):
+        for batch in batches:
+            sets = _sets(batch, n)
+            prints = [_prints(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))], names=["doc_id", "n", "f1", "f2"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, f1 long, f2 long")
+
+
+def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
+    """(shingle, times) of the shingles in two texts or more; of a shingle's hash the upper 32 + BUCKET_BITS bits count.
+
+    Every batch sends its hashes once for each range of hashes, sorted and packed into four bytes each.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            sets = _sets(batch, n)
+            value = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+            low = (value >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32)
+            cuts = np.searchsorted(value, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+            cuts = np.concatenate([[0], cuts, [len(value)]])
+            full = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "packed"])
 
     def count(batches):
+        key, held = None, []
+
+        def flush():
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times > 1
+            shingle = (value[often].astype(np.uint64) << np.uint64(32 - BUCKET_BITS)) | (np.uint64(key) << np.uint64(64 - BUCKET_BITS))
+            return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(times[often].astype(np.int64))], names=["shingle", "times"])
+
         for batch in batches:
-            found = _sets(batch, n)
-            value, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            often = times >= HEAVY_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["shingle", "times"])
-
-    rows = (
-        docs.select("text").mapInArrow(count, "shingle long, times long")
-        .groupBy("shingle").agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "shingle").limit(HEAVY).toArrow()
-    )
-    value, times = rows["shingle"].to_numpy().view(np.uint64), rows["times"].to_numpy()
-    order = np.argsort(value)
-    return value[order], times[order]
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != key:
+                    if held:
+                        yield flush()
+                    key, held = bucket, []
+                held.append(np.frombuffer(packed.as_buffer(), np.uint32))
+        if held:
+            yield flush()
+
+    parts = docs.select("text").mapInArrow(deal, "bucket long, packed binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "shingle long, times long")
+
+
+def _cut(s: np.ndarray) -> np.ndarray:
+    """The bits of hashes that repeated_shingles() counts."""
+    return s & ~np.uint64((1 << (32 - BUCKET_BITS)) - 1)
 
 
-def _fingerprints(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    value, times = heavy_shingles(docs, n)
-    shared = docs.sparkSession.sparkContext.broadcast((value, times))
+def _candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, f1, f2, prefix, set) of the texts that may link with another.
+
+    A text links with nothing if more of its shingles than a link may leave out occur in no other text.
+    prefix: of its rarest shingles, as many as two linked texts can't both have apart, those that occur
+    in another text.
+    """
+    repeated = written(repeated_shingles(docs, n), "repeated")
+    top = repeated.orderBy(F.desc("times"), "shingle").limit(HEAVY).toArrow()
+    value, times = top["shingle"].to_numpy().view(np.uint64), top["times"].to_numpy()
+    order = np.argsort(value)
+    marks = bloom(repeated, "shingle", REPEATED_BITS)
+    words = np.zeros(REPEATED_BITS // 64, np.int64)
+    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((value[order], times[order], words))
+    dropped(repeated)
 
     def describe(batches):
-        value, times = shared.value
+        value, times, words = shared.value
         for batch in batches:
-            out = [[], [], [], []]
-            for s in _sets(batch, n):
+            out = [[], [], [], [], [], []]
+            for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch, n), strict=True):
                 size = len(s)
-                rank = np.zeros(size, np.int64)
-                if size and len(value):
-                    place = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    rank = np.where(value[place] == s, times[place], 0)
-                first = s[np.lexsort((s, rank))[: size - -(-num * size // den) + 1]] if size else s
-                out[0].append(size)
-                out[1].append(int(mix(s).sum().view(np.int64)) if size else 0)
-                out[2].append(int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum().view(np.int64)) if size else 0)
-                out[3].append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f1", "f2", "prefix"],
-            )
+                spare = size - -(-num * size // den)
+                if not size:
+                    continue
+                cut = _cut(s)
+                known = in_words(words, cut.view(np.int64))
+                if size - int(known.sum()) > spare:
+                    continue
+                rank = known.astype(np.int64)
+                if len(value):
+                    place = np.minimum(np.searchsorted(value, cut), len(value) - 1)
+                    rank = np.where(value[place] == cut, times[place], rank)
+                first = np.lexsort((s, rank))[: spare + 1]
+                for x, v in zip(out, (doc, size, *_prints(s), s[first][known[first]].view(np.int64), s.tobytes()), strict=True):
+                    x.append(v)
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "n", "f1", "f2", "prefix", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, prefix array<long>, set binary")
 
 
 class PrefixTree:
@@ -208,7 +270,7 @@ def _joined(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
-def _links(classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes: as many as connect all that links connect."""
     posts = classes.select("rep", F.explode("prefix").alias("token"))
     heads = written(posts.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
@@ -224,19 +286,7 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     )
     dropped(heads)
 
-    wanted = bloom(members, "doc_id")
-
-    def keep(batches):
-        for batch in batches:
-            found = [(d, s) for d, s in zip(batch.column("doc_id").to_pylist(), _sets(batch, n), strict=True) if len(s)]
-            f1 = [int(mix(s).sum().view(np.int64)) for _, s in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in found], pa.int64()), pa.array(f1, pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                names=["doc_id", "f1", "set"],
-            )
-
-    sets = in_bloom(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", wanted).mapInArrow(keep, "doc_id long, f1 long, set binary")
-    sets = written(sets.join(members.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "f1").agg(F.first("set").alias("set")).select("doc_id", "set"), "sets")
+    sets = written(classes.select(F.col("rep").alias("doc_id"), "set").join(members.select("doc_id"), "doc_id", "left_semi"), "sets")
 
     whole = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("total").alias("shingles"))
     cuts = (
@@ -293,9 +343,13 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
 def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(_fingerprints(docs, n, num, den), "prints")
-    classes = written(prints.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    groups = components(_links(classes, docs, n, num, den), "groups")
+    prints = written(_fingerprints(docs, n), "prints")
+    classes = written(prints.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    firsts = in_bloom(docs.where("doc_id is not null"), "doc_id", bloom(classes, "rep"))
+    maybe = _candidates(firsts, n, num, den).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
+    maybe = written(maybe.groupBy("n", "f1", "f2").agg(F.first("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("set").alias("set")), "maybe")
+    groups = components(_links(maybe, num, den), "groups")
+    dropped(maybe)
     of = written(
         classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "f1", "f2", F.least("rep", "component").alias("component")), "of"
     )

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordhash import mix
+
 
 def base(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,42 +51,48 @@ def dropped(*frames: DataFrame) -> None:
 BLOOM_BITS = 1 << 24
 
 
-def bloom(ids: DataFrame, column: str) -> list:
-    """A filter of 2**24 bits at most (two bits an id) over a column of integers: its set words.
+def bloom(ids: DataFrame, column: str, size: int = BLOOM_BITS) -> pa.Table:
+    """A filter of size bits at most (two bits a number) over a column of integers: its set words.
 
     Its size is fixed whatever the number of ids; more ids only let more rows through, and an exact
     join follows wherever it is used.
     """
-    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(BLOOM_BITS)) for k in range(2)])).alias("bit"))
-    return (
-        bits.groupBy((F.col("bit") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-        .collect()
-    )
 
+    def mark(batches):
+        for batch in batches:
+            bits = np.unique(np.concatenate([_bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64), k, size) for k in range(2)]))
+            word, mask = bits >> 6, np.int64(1) << (bits & 63)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first) if len(word) else mask)], names=["word", "mask"])
+
+    marks = ids.select(F.col(column).cast("long").alias("id")).mapInArrow(mark, "word long, mask long")
+    return marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+
+
+def _bits(ids: np.ndarray, k: int, size: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(size - 1)).astype(np.int64)
 
-def in_bloom(df: DataFrame, column: str, rows: list, inside: bool = True) -> DataFrame:
+
+def in_words(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids a filter with these words lets through."""
+    keep = np.ones(len(ids), bool)
+    for k in range(2):
+        bit = _bits(ids, k, len(words) * 64)
+        keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+    return keep
+
+
+def in_bloom(df: DataFrame, column: str, marks: pa.Table, inside: bool = True) -> DataFrame:
     """Rows of df that the filter lets through (or, not inside, those it stops); runs without a shuffle."""
     words = np.zeros(BLOOM_BITS // 64, np.int64)
-    if rows:
-        words[[r[0] for r in rows]] = [r[1] for r in rows]
+    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(words)
-    probes = [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(BLOOM_BITS)).alias(f"_bit{k}") for k in range(2)]
     names = df.columns
-    schema = df.schema
 
     def pick(batches):
-        held = shared.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for k in range(2):
-                bit = batch.column(len(names) + k).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep &= (held[bit >> 6] >> (bit & 63)) & 1 == 1
-            if not inside:
-                keep = ~keep
+            keep = in_words(shared.value, batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)) == inside
             if keep.any():
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(len(names))], names=names)
 
-    return df.select("*", *probes).mapInArrow(pick, schema)
-
-
+    return df.select("*", F.col(column).cast("long").alias("_bloom_key")).mapInArrow(pick, df.schema)

@@ -85,7 +85,7 @@ def brute_groups(rows, n, num, den):
 @pytest.mark.parametrize(("n", "num", "blocks"), [(3, 90, 128), (5, 80, 128), (3, 60, 2), (2, 80, 3)])
 def test_ngram_groups(spark, monkeypatch, n, num, blocks):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", blocks)
-    monkeypatch.setattr(ngram_join, "HEAVY_IN_BATCH", 2)
+    monkeypatch.setattr(ngram_join, "REPEATED_BITS", 1 << 12)
     rows = corpus(n + blocks, 40) + ODD + [(0, corpus(n + blocks, 40)[0][1]), (3, "w5 w6 w7 w8 other text")]
     got = {tuple(r) for r in ngram_join.ngram_groups(table(spark, rows), n, num, 100).collect()}
     assert got == brute_groups(rows, n, num, 100)
