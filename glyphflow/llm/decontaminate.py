@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bloom, in_bloom, written
-from .wordhash import shingle_hashes, word_hashes
+from .wordhash import shingle_hashes, slices, word_hashes
 
 PART_SHINGLES = 1 << 22
 
@@ -95,7 +95,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
 
         def run(batches):
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 words, at = word_hashes(batch.column("text"))
                 found = []
                 for i, doc in enumerate(batch.column("doc_id").to_pylist()):

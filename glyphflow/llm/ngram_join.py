@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import bloom, dropped, in_bloom, in_words, written
-from .wordhash import mix, shingle_hashes, word_hashes
+from .wordhash import mix, shingle_hashes, slices, word_hashes
 
 HEAVY = 1 << 18
 BUCKET_BITS = 12
@@ -57,7 +57,7 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, f1, f2) of every row: the size of its set and two 64-bit sums over it."""
 
     def describe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = _sets(batch, n)
             prints = [_prints(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -74,7 +74,7 @@ def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def deal(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = _sets(batch, n)
             value = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
             low = (value >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32)
@@ -130,7 +130,7 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def describe(batches):
         value, times, words = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], [], [], []]
             for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch, n), strict=True):
                 size = len(s)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bloom, in_bloom, written
-from .wordhash import _SPACE, _VALUE, _power, buffers, mix, word_hashes
+from .wordhash import _SPACE, _VALUE, _power, buffers, mix, slices, word_hashes
 
 SAMPLE = 8000
 FEATURES = 1 << 14
@@ -148,7 +148,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # sample ids at most
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = document_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column("bad")], names=["found", "bad"])
 
@@ -180,7 +180,7 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sampl
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             odds = [shared.value.log_odds(r) for r in document_features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4)), pa.array(odds, pa.float64())], names=["doc_id", "host", "path", "row_key", "odds"])
 

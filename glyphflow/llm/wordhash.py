@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
+PIECE = 1 << 20
+SLICE = 8 << 20
 
 _U = np.uint64
 
@@ -59,6 +60,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches, size: int = SLICE):
+    """Record batches cut so that their texts have about size bytes each, which bounds what one needs at a time."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.column("text").nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and n+1 offsets of the texts into the hashes."""
     raw, offsets = buffers(column)
