@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .scratch import written
 
-BLOCK = 4096
+BLOCK = 1 << 14
 QUERY_BLOCK = 256
 
 
