@@ -85,6 +85,27 @@ def queries() -> dict:
 
 #: DuckDB's SQL for the queries it can express.
 ORACLE: dict[str, str] = {
+    "op3_ngram_join": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        g as (select distinct doc_id, unnest(case when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k+2], ' ')) end) as g from w where len(ws) > 0),
+        n as (select doc_id, count(*) as n from g group by 1),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as m from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * m >= 90 * (nx.n + ny.n - m)),
+        e as (select x as a, y as b from l union all select y, x from l),
+        r(node, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.node),
+        c as (select node, min(root) as root from r group by 1)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, c.root as component_id from documents d left join n using (doc_id) join c on c.node = d.doc_id
+    """,
+    "op5_chat_format": r"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        x as (select *, row_number() over (partition by conv_id order by turn, role, text) as i, role = 'assistant' as reply, replace(text, '\', '\\') as et, replace(role, '\', '\\') as er from t),
+        s as (select *, 8 + length(et) + len(regexp_extract_all(et, '\[INST\]|\[/INST\]|\[ASST\]|<s>|</s>')) + length(er) + len(regexp_extract_all(er, '\[INST\]|\[/INST\]|\[ASST\]|<s>|</s>|\n')) + case when reply then 4 else 7 end as size from x),
+        u as (select *, sum(size) over (partition by conv_id order by i) as upto, i = count(*) over (partition by conv_id) as last from s)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+          cast(coalesce(sum(length(text)) filter (reply), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (reply), '')) as loss_sha256,
+          cast(sum(upto) filter (reply or last) as bigint) as formatted_chars, count(*) filter (reply or last) as n_examples from u group by 1
+    """,
     "op9_decontaminate": r"""
         with w as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents where text is not null),
         i as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark where text is not null),
