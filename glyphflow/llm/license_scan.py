@@ -90,7 +90,7 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
             rest -= unit[w] ** 2
         weights += [(k, name, w, x) for w, x in sorted(unit.items())]
     cue = F.array(*[F.lit(w) for w in sorted(cues)])
-    table = spark.createDataFrame(weights, "template int, license string, word string, weight double")
+    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(w).alias("word"), F.lit(x).alias("weight")) for k, name, w, x in weights])))
     rates = F.create_map(*[F.lit(x) for w in terms for x in (w, idf[w])])
 
     some = files.where(F.arrays_overlap(words_of(F.col("text")), cue)).select("row", "text")

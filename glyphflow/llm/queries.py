@@ -83,8 +83,29 @@ def queries() -> dict:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+
 #: DuckDB's SQL for the queries it can express.
 ORACLE: dict[str, str] = {
+    #: Paths end in doc_id.txt, so no document is a licence file and nothing is inherited.
+    "op2_license_scan": rf"""
+        with d as (select doc_id, coalesce(text, '') as text, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), cast(doc_id as varchar) || '.txt') as path from documents),
+        t as (select template, license, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as word from (values {_TEMPLATES}) v(template, license, text)),
+        c as (select template, license, word, count(*) as tf from t where word <> '' group by 1, 2, 3),
+        h as (select distinct doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) as word from d),
+        n as (select count(*) as files from d),
+        f as (select word, ln((files + 1) / (count(doc_id) + 1)) + 0.001 as idf from (select distinct word from c) left join h using (word), n group by word, files),
+        m as (select template, sqrt(sum(tf * idf * tf * idf)) as size from c join f using (word) group by 1),
+        w as (select template, license, word, tf * idf / size as weight from c join f using (word) join m using (template)),
+        u as (select doc_id, unnest(list_distinct(list_concat(regexp_split_to_array(text, '\r\n|[\n\r]'), regexp_split_to_array(text, '(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])\s*')))) as part from d),
+        p as (select doc_id, part, unnest(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) as word from u),
+        q as (select doc_id, part, word, count(*) * coalesce(any_value(idf), any_value(ln(files + 1)) + 0.001) as value from p left join f using (word), n where word <> '' group by 1, 2, 3),
+        s as (select doc_id, part, sqrt(sum(value * value)) as size from q group by 1, 2),
+        x as (select doc_id, part, template, license, sum(value * weight) as dot from q join w using (word) group by 1, 2, 3, 4),
+        y as (select doc_id, license, round(dot / size, 6) as score from x join s using (doc_id, part)),
+        z as (select doc_id, license, score, row_number() over (partition by doc_id order by score desc, license) as place from y where score >= {license_scan.THRESHOLD})
+        select d.doc_id, path, license, score, case when license is null then 'none' else 'own' end as origin from d left join z on z.doc_id = d.doc_id and place = 1
+    """,
     "op3_ngram_join": r"""
         with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
         g as (select distinct doc_id, unnest(case when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k+2], ' ')) end) as g from w where len(ws) > 0),
