@@ -77,6 +77,15 @@ def dictionary_contains(terms: DataFrame, keyword: str) -> bool:
     return not terms.where(F.col("term") == keyword).limit(1).isEmpty() or not terms.where(F.contains("term", F.lit(keyword))).limit(1).isEmpty()
 
 
+def dictionary_held(terms: DataFrame, keywords: list[str]) -> DataFrame:
+    """(keyword, held) for every keyword: whether a dictionary term holds it; one pass for all of them."""
+    asked = list(dict.fromkeys(keywords))
+    if not asked:
+        return terms.select(F.col("term").alias("keyword"), F.lit(False).alias("held")).where("false")
+    flags = terms.agg(*[F.coalesce(F.max(F.contains("term", F.lit(k))), F.lit(False)).alias(f"k{i}") for i, k in enumerate(asked)])
+    return flags.select(F.inline(F.array(*[F.struct(F.lit(k).alias("keyword"), (F.col(f"k{i}") & F.lit(k != "")).alias("held")) for i, k in enumerate(asked)])))
+
+
 def docs_containing(postings: DataFrame, keywords: list[str]) -> DataFrame:
     """(keyword, doc_id): documents with a term that holds the keyword."""
     asked = [k for k in dict.fromkeys(keywords) if k]

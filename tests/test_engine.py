@@ -157,6 +157,8 @@ def test_postings_and_stats(spark, index):
     assert all(texts[r["doc_id"]][p : p + len(r["term"])] == r["term"] for r in rows for p in r["positions"])
     row = stats.totals(index).first()
     assert (row["documents"], row["languages"], row["postings"], row["characters"]) == (6, 3, len(rows), sum(map(len, texts.values())))
+    held = ix.dictionary_held(index.terms, ["comput", "", "qqq"]).collect()
+    assert [(r["keyword"], r["held"]) for r in held] == [("comput", True), ("", False), ("qqq", False)] and ix.dictionary_held(index.terms, []).count() == 0
     assert ix.dictionary_contains(index.terms, "comput") and not ix.dictionary_contains(index.terms, "") and ix.docs_containing(index.postings, []).count() == 0
 
 
