@@ -19,6 +19,10 @@ Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
    classes outside the family's largest group meet all blocks of a fitting size.  No link between
    two groups can be lost, and copies never form all their pairs.
 
+That finds groups, and enough for distinct_documents().  ngram_links() finds every link instead: all pairs
+of classes of a family whose sizes fit, blocks against blocks, whatever group they are in.  Only the number
+of links of each class and a spanning set leave a task.
+
 Defined cases: null or blank texts have an empty set, n_shingles 0, and are alone.  A null doc_id
 takes part in nothing and has a null component_id.  Rows that repeat a doc_id are one document: each
 row is returned, with the links of all its texts.  Other columns are ignored.
@@ -42,6 +46,8 @@ BUCKET_BITS = 12
 REPEATED_BITS = 1 << 26
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
+PAIR_ROWS = 512
+PAIR_CELLS = 1 << 21
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -363,6 +369,139 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets link: all pairs where side is -1, else only those of side 0 with side 1."""
+    value, where = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    common = np.bincount(where, minlength=len(value)) > 1  # a shingle of one set only is in no intersection
+    keep = common[where]
+    row, col = row[keep], (np.cumsum(common) - 1)[where[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    wide = max(1, PAIR_CELLS // len(sets))
+    for at in range(0, int(common.sum()), wide):
+        low, high = np.searchsorted(col, [at, at + wide])
+        part = np.zeros((len(sets), wide), np.float32)
+        part[row[low:high], col[low:high] - at] = 1
+        shared += (part @ part.T).astype(np.int64)
+    out = shared * (den + num) >= num * (size[:, None] + size[None, :])
+    np.fill_diagonal(out, False)
+    return out & ((side[:, None] < 0) | (side[:, None] != side[None, :]))
+
+
+def count_group(sets: list[np.ndarray], keys: list[int], copies: list[int], sides: list[int], num: int, den: int) -> list[tuple[int, int, int]]:
+    """(a, a, the copies of all that a links with) of every set with links, and (a, b, 0) that connect what links connect."""
+    links = linked(sets, np.array(sides), num, den)
+    total = links @ np.array(copies, np.int64)
+    label = np.arange(len(sets))
+    while True:
+        new = np.minimum(label, np.where(links, label[None, :], len(sets)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    return [(keys[i], keys[i], int(total[i])) for i in np.flatnonzero(total)] + [(keys[i], keys[k], 0) for i, k in enumerate(label.tolist()) if i != k]
+
+
+def _all_links(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, links) of all links between classes (key, copies, n, prefix, set), as count_group() gives them, by groups."""
+    posts = classes.select("key", F.explode("prefix").alias("token"))
+    heads = written(posts.groupBy("token").agg(F.min("key").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
+    stars = posts.join(heads, "token").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    families = components(stars, "families")
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
+    members = written(families.join(classes, families["node"] == classes["key"]).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
+    sets = written(classes.select("key", "copies", "set").join(members.select("key"), "key", "left_semi"), "sets")
+    whole = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    whole = written(whole.select("family", ((F.col("rows") <= PAIR_ROWS) & (F.col("shingles") <= BLOCK_SHINGLES)).alias("small")), "whole")
+    at = members.join(whole, "family")
+    large = at.where("not small")
+    blocks = F.greatest(F.ceil(F.count("*") / PAIR_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    cuts = written(large.groupBy("family", "size").agg(blocks), "cuts")
+    blocked = written(large.join(cuts, ["family", "size"]).select("family", "size", "blocks", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
+
+    def placed(rows, side, *grp):
+        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", side.alias("side"))
+
+    #: Every two blocks of one size class meet once, and every block meets all of the next class.
+    own = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    side = F.when(F.col("block") == F.col("to"), -1).otherwise((F.col("block") > F.col("to")).cast("int"))
+    above = cuts.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("others"))
+    below = cuts.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("others"))
+    each = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("to")
+    up = blocked.join(above, ["family", "size"]).select("*", each)
+    down = blocked.join(below, ["family", "size"]).select("*", each)
+    groups = (
+        placed(at.where("small"), F.lit(-1), "family")
+        .unionByName(placed(own, side, "family", "size", F.least("block", "to"), F.greatest("block", "to")))
+        .unionByName(placed(up, F.lit(0), "family", "size", "block", "to", F.lit("up")))
+        .unionByName(placed(down, F.lit(1), "family", F.col("size") - 1, "to", "block", F.lit("up")))
+    )
+
+    def run(batches):
+        key, held = None, []
+
+        def flush():
+            if len(held) > 1:
+                keys, sides, copies, sets = zip(*held, strict=True)
+                if out := count_group([np.frombuffer(x, np.uint64) for x in sets], keys, copies, sides, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "links"])
+
+        for batch in batches:
+            for grp, node, side, copies, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if grp != key:
+                    yield from flush()
+                    key, held = grp, []
+                held.append((node, side, copies, s.as_buffer()))
+        yield from flush()
+
+    rows = groups.join(sets, "key").select("grp", "key", "side", "copies", "set")
+    links = written(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long"), "links")
+    dropped(heads, sets, members, whole, cuts, blocked)
+    return links
+
+
+def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text): see the module's text.
+
+    n_links is the number of other rows with a doc_id whose text links with this row's, equal sets among
+    them; null without a doc_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = written(_fingerprints(docs, n), "prints")
+    classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    firsts = in_bloom(docs.where("doc_id is not null"), "doc_id", bloom(classes, "rep"))
+    maybe = _candidates(firsts, n, num, den).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"])
+    maybe = written(maybe.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "copies", "prefix", "set"))), "maybe")
+    links = _all_links(maybe, num, den)
+    dropped(maybe)
+    edges = links.where("a <> b").select("a", "b")
+    #: Rows that repeat a doc_id are one document, whatever their texts.
+    rows = prints.join(classes.select("n", "f1", "f2", "key"), ["n", "f1", "f2"], "left").where("doc_id is not null").select("doc_id", "key")
+    again = rows.groupBy("doc_id").agg(F.min("key").alias("least"), F.count("*").alias("times")).where("times > 1 and least is not null")
+    again = written(again.select("doc_id", "least"), "again")
+    repeats = not again.isEmpty()
+    if repeats:
+        edges = edges.unionByName(rows.join(again, "doc_id").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    groups = components(edges, "groups")
+    of = classes.join(groups, classes["key"] == groups["node"], "left").withColumn("component", F.coalesce("component", "key"))
+    first = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    of = written(of.join(first, "component").join(counts, "key", "left").select("n", "f1", "f2", "key", "component_id", n_links), "of")
+    out = prints.join(of.drop("key"), ["n", "f1", "f2"], "left")
+    if repeats:
+        out = out.join(again.join(of.select(F.col("key").alias("least"), F.col("component_id").alias("whole")), "least").select("doc_id", "whole"), "doc_id", "left")
+        out = out.withColumn("component_id", F.coalesce("component_id", "whole"))
+    known = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(known, F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
+
+
 def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group: that of its smallest doc_id; rows without a doc_id stay."""
     groups = written(ngram_groups(docs, n, num, den), "ngram-groups")

@@ -91,6 +91,26 @@ def test_ngram_groups(spark, monkeypatch, n, num, blocks):
     assert got == brute_groups(rows, n, num, 100)
 
 
+@pytest.mark.parametrize(("n", "num", "blocks"), [(3, 90, 512), (3, 60, 2), (2, 80, 3), (5, 80, 7)])
+def test_ngram_links(spark, monkeypatch, n, num, blocks):
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", blocks)
+    monkeypatch.setattr(ngram_join, "PAIR_CELLS", 64)
+    monkeypatch.setattr(ngram_join, "REPEATED_BITS", 1 << 12)
+    base = [f"v{i}" for i in range(80)]
+    near = [(2000 + i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(12)]  # one group, not one text
+    rows = corpus(n + blocks, 40) + ODD + near + [(0, corpus(n + blocks, 40)[0][1]), (3, "w5 w6 w7 w8 other text"), (2003, ""), (None, near[0][1])]
+    groups = {i: c for i, _, c in brute_groups(rows, n, num, 100)}
+    sets = [(i, shingles(t, n)) for i, t in rows]
+    want = []
+    for k, (i, x) in enumerate(sets):
+        links = sum(bool(j is not None and x and y and 100 * len(x & y) >= num * len(x | y)) for m, (j, y) in enumerate(sets) if m != k)
+        want.append((i, len(x), groups[i], links if i is not None else None))
+    got = [tuple(r) for r in ngram_join.ngram_links(table(spark, rows), n, num, 100).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    if n == 3 and num == 60:
+        assert {c for i, _, _, c in got if i == 2005} == {11}
+
+
 def test_distinct_documents(spark):
     rows = corpus(5, 30) + [(0, corpus(5, 30)[0][1]), (None, "w1 w2"), (500, None)]
     docs = table(spark, rows).withColumn("component_id", F.lit("clash")).withColumn("n", F.lit(1))
