@@ -2,7 +2,8 @@
 
 An item is in a document when the document holds at least ``num / den`` of the item's distinct
 n-word shingles (with fewer words than n, the whole item as one shingle; a document has one shingle
-too then only if it is that short).  The search is a MinHash containment index:
+too then only if it is that short; with short, an item of fewer words than n is looked up among all
+runs of its own length of the document).  The search is a MinHash containment index:
 
 * items are partitioned by size, each size class covering a factor of two;
 * an item is sketched by the ``q - ceil(q * num / den) + 1`` smallest of its q shingle hashes.  A
@@ -40,12 +41,12 @@ def _item_sets(items: DataFrame, n: int) -> DataFrame:
             words, at = word_hashes(batch.column("text"))
             sets = [np.unique(shingle_hashes(words[at[i] : at[i + 1]], n)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["item_id", "n_item", "shingles"],
+                [batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(np.minimum(np.diff(at), n).astype(np.int64))],
+                names=["item_id", "n_item", "shingles", "width"],
             )
 
     rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "item_id long, n_item long, shingles binary").where("n_item > 0").distinct()
+    return rows.mapInArrow(run, "item_id long, n_item long, shingles binary, width long").where("n_item > 0").distinct()
 
 
 class SketchIndex:
@@ -80,12 +81,18 @@ class SketchIndex:
         return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _doc_set(words: np.ndarray, n: int, widths: list[int]) -> np.ndarray:
+    """The n-word shingles of a text and, of more than that, its runs of these smaller widths."""
+    return np.unique(np.concatenate([shingle_hashes(words, n), *(shingle_hashes(words, k) for k in widths if k < len(words))]))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of all pairs where the document holds the item."""
     spark = docs.sparkSession
     sets = written(_item_sets(items, n), "items")
     total = sets.agg(F.sum("n_item")).first()[0] or 0
     parts = -(-total // PART_SHINGLES)
+    widths = sorted(r["width"] for r in sets.where(F.col("width") < n).select("width").distinct().collect()) if short else []
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_item long, n_shared long"
 
@@ -99,7 +106,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
                 words, at = word_hashes(batch.column("text"))
                 found = []
                 for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    s = np.unique(shingle_hashes(words[at[i] : at[i + 1]], n))
+                    s = _doc_set(words[at[i] : at[i + 1]], n, widths)
                     if len(s):
                         found += [(doc, *hit) for hit in index.search(s)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_item", "n_shared"), x, strict=True)) for x in found], schema=kind)
@@ -112,9 +119,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
     return reduce(DataFrame.union, [one(p) for p in range(parts)])
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """docs without those that hold an item; rows without a doc_id stay."""
-    hits = written(contained_items(docs, items, n, num, den).select("doc_id").distinct(), "contaminated")
+    hits = written(contained_items(docs, items, n, num, den, short).select("doc_id").distinct(), "contaminated")
     marks = bloom(hits, "doc_id")
     known = docs.where("doc_id is not null")
     rest = in_bloom(known, "doc_id", marks).join(hits, "doc_id", "left_anti").select(docs.columns)

@@ -168,6 +168,15 @@ def test_contained_items(spark):
     assert kept == {d for d, _ in rows} - {d for d, *_ in want}
 
 
+def test_short_items_in_long_documents(spark):
+    rows = [(1, "one two three four five six seven"), (2, "Three four"), (3, "four three two one zero"), (4, "x"), (5, None), (6, "five six")]
+    items = [(1, "three four"), (2, "six"), (3, "two three four FIVE"), (4, "one three"), (5, "four three two one zero x"), (6, ""), (7, "x")]
+    got = {tuple(x) for x in decontaminate.contained_items(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), short=True).collect()}
+    assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (1, 2, 1, 1), (6, 2, 1, 1), (1, 3, 1, 1), (4, 7, 1, 1)}
+    kept = decontaminate.clean_documents(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), short=True)
+    assert {x.doc_id for x in kept.collect()} == {3, 5}
+
+
 def test_contained_items_in_parts(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(i, i + 50))) for i in range(20)]
     items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(20)], "item_id long, text string")
