@@ -63,6 +63,8 @@ class BitSlices:
         """Slices of sum(q[d] * x[d]) plus a constant of the query, least significant first."""
         up, down = [], []
         for weight, slices in zip(q, self.slices, strict=True):
+            if not slices:  # an attribute of one value is in the constant
+                continue
             into, size = (up, weight) if weight >= 0 else (down, -weight)
             for j in range(size.bit_length()):
                 if size >> j & 1:
@@ -108,7 +110,7 @@ class BitSlices:
         for i, s in enumerate(slices):
             value += ((s[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
         offset = sum(w * int(x) for w, x in zip(q, self.least, strict=True))
-        if any(w < 0 for w in q):
+        if any(w < 0 and x for w, x in zip(q, self.slices, strict=True)):
             offset -= 1 << (len(slices) - 1)
         return [(int(self.ids[i]), int(v) + offset) for i, v in zip(chosen, value, strict=True)]
 

@@ -232,6 +232,14 @@ def test_bit_slices_of_any_sign():
             assert sorted(bit_sliced.BitSlices(ids, x).top(q, 7, -1), key=lambda t: (-t[1], t[0])) == [(i, -s) for s, i in best]
 
 
+@pytest.mark.parametrize("rows", [[[3, -2]], [[3, -2]] * 4, [[7, 1], [7, 5], [7, -3]], [[1, 7], [5, 7], [-3, 7]], [[0, 0], [0, 1]]])
+def test_bit_slices_of_constant_attributes(rows):
+    x = np.array(rows)
+    for q in ([256, 1], [1, 256], [-256, 1], [1, -256], [-256, -256], [0, 0], [0, 512]):
+        best = sorted((-int(np.dot(q, v)), i) for i, v in enumerate(x))[:2]
+        assert sorted(bit_sliced.BitSlices(np.arange(len(x)), x).top(q, 2, -1), key=lambda t: (-t[1], t[0])) == [(i, -s) for s, i in best]
+
+
 def test_packing(spark):
     rows = corpus(7, 50) + ODD
     out = packing.packed(table(spark, rows), (16, 64, 128), 8).collect()
