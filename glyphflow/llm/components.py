@@ -29,7 +29,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         before = after
     dropped(both)
-    return labels.select("node", F.col("c").alias("component"))
+    out = labels.select("node", F.col("c").alias("component"))
+    out._scratch = labels._scratch
+    return out
 
 
 def _total(labels: DataFrame):

@@ -12,12 +12,14 @@ runs of its own length of the document).  The search is a MinHash containment in
 * a document looks its hashes up in the sketches of those classes only that are not too large for it,
   and every candidate is verified by the exact number of the item's shingles it holds.
 
-The index goes to the executors in parts of at most PART_SHINGLES shingles; a larger benchmark takes
-several passes over the documents.  There is no shuffle.
-
-Defined cases: null or blank texts hold nothing and are in nothing; items or documents with a null id
-are left out of the pairs; repeated rows give repeated pairs for documents and one for items of one
-id and text; other columns are ignored.
+The index goes to the executors in parts of about PART_SHINGLES shingles, one after the other; a larger
+benchmark takes several passes over the documents, each of which is written before the next part is sent.
+There is no shuffle.
+
+Defined cases: null or blank texts hold nothing and are in nothing; an item without an id is searched like
+all others and named null; a document without an id is searched too, its pairs have a null doc_id, and
+clean_documents() removes it if it holds an item, with or without an id; repeated rows give repeated pairs
+for documents and one for items of one id and text; other columns are ignored, or kept by clean_documents().
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bloom, in_bloom, written
+from .scratch import dropped, identity, without, written
 from .wordhash import shingle_hashes, slices, word_hashes
 
 PART_SHINGLES = 1 << 22
@@ -37,7 +39,7 @@ PART_SHINGLES = 1 << 22
 
 def _item_sets(items: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words, at = word_hashes(batch.column("text"))
             sets = [np.unique(shingle_hashes(words[at[i] : at[i + 1]], n)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
@@ -45,7 +47,7 @@ def _item_sets(items: DataFrame, n: int) -> DataFrame:
                 names=["item_id", "n_item", "shingles", "width"],
             )
 
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "item_id long, n_item long, shingles binary, width long").where("n_item > 0").distinct()
 
 
@@ -86,18 +88,18 @@ def _doc_set(words: np.ndarray, n: int, widths: list[int]) -> np.ndarray:
     return np.unique(np.concatenate([shingle_hashes(words, n), *(shingle_hashes(words, k) for k in widths if k < len(words))]))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared) of all pairs where the document holds the item."""
+def _hits(docs: DataFrame, items: DataFrame, n: int, num: int, den: int, short: bool) -> DataFrame:
+    """(key_a, key_b, doc_id, item_id, n_item, n_shared) of docs (key_a, key_b, doc_id, text): a written table."""
     spark = docs.sparkSession
     sets = written(_item_sets(items, n), "items")
     total = sets.agg(F.sum("n_item")).first()[0] or 0
     parts = -(-total // PART_SHINGLES)
-    widths = sorted(r["width"] for r in sets.where(F.col("width") < n).select("width").distinct().collect()) if short else []
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, n_item long, n_shared long"
+    widths = sorted(r["width"] for r in sets.where(F.col("width") < n).select("width").distinct().collect()) if short else []  # n - 1 rows at most
+    names = ["key_a", "key_b", "doc_id", "item_id", "n_item", "n_shared"]
+    schema, kind = ", ".join(f"{x} long" for x in names), pa.schema([(x, pa.int64()) for x in names])
 
     def one(part: int) -> DataFrame:
-        held = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id").toArrow()
+        held = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(parts)) == part).orderBy("item_id", "shingles").select("item_id", "shingles").toArrow()  # about PART_SHINGLES
         shared = spark.sparkContext.broadcast(SketchIndex(held["item_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in held["shingles"].to_pylist()], num, den))
 
         def run(batches):
@@ -105,24 +107,35 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
             for batch in slices(batches):
                 words, at = word_hashes(batch.column("text"))
                 found = []
-                for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                for i in range(batch.num_rows):
                     s = _doc_set(words[at[i] : at[i + 1]], n, widths)
-                    if len(s):
-                        found += [(doc, *hit) for hit in index.search(s)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_item", "n_shared"), x, strict=True)) for x in found], schema=kind)
+                    if len(s) and (hits := index.search(s)):
+                        doc = [batch.column(k)[i].as_py() for k in range(3)]
+                        found += [dict(zip(names, (*doc, *hit), strict=True)) for hit in hits]
+                yield pa.RecordBatch.from_pylist(found, schema=kind)
+
+        out = written(docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(run, schema), "hits")
+        shared.unpersist()
+        return out
 
-        kind = pa.schema([(x, pa.int64()) for x in ("doc_id", "item_id", "n_item", "n_shared")])
-        return rows.mapInArrow(run, schema)
+    out = reduce(DataFrame.union, [one(p) for p in range(parts)]) if parts else spark.createDataFrame([], schema)
+    dropped(sets)
+    return out
 
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.union, [one(p) for p in range(parts)])
+
+def _plain(docs: DataFrame) -> tuple[Column, Column]:
+    return F.col("doc_id").cast("long"), F.col("text").cast("string")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared) of all pairs where the document holds the item."""
+    doc_id, text = _plain(docs)
+    none = F.lit(None).cast("long")
+    return _hits(docs.select(none.alias("key_a"), none.alias("key_b"), doc_id.alias("doc_id"), text.alias("text")), items, n, num, den, short).drop("key_a", "key_b")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
-    """docs without those that hold an item; rows without a doc_id stay."""
-    hits = written(contained_items(docs, items, n, num, den, short).select("doc_id").distinct(), "contaminated")
-    marks = bloom(hits, "doc_id")
-    known = docs.where("doc_id is not null")
-    rest = in_bloom(known, "doc_id", marks).join(hits, "doc_id", "left_anti").select(docs.columns)
-    return docs.where("doc_id is null").unionByName(in_bloom(known, "doc_id", marks, False)).unionByName(rest)
+    """docs without those that hold an item."""
+    doc_id, text = _plain(docs)
+    hits = _hits(docs.select(*identity(doc_id, text), doc_id.alias("doc_id"), text.alias("text")), items, n, num, den, short)
+    return without(docs, [doc_id, text], written(hits.select("key_a", "key_b").distinct(), "contaminated"))

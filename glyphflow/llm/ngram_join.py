@@ -3,29 +3,32 @@
 A document's set holds its distinct n-word shingles (with fewer words, the whole sequence as one).
 Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
 
-1. Equal sets become one class, kept by its smallest doc_id.
+1. Equal sets become one class, kept by one of its rows.
 2. The shingles of classes are counted.  A class of whose shingles more than ``n - ceil(n * num / den)``
    occur in no other class links with none and is done.  (The repeated shingles go to the executors as
-   a bit filter of fixed size, which takes some unique ones for repeated and never the other way.)
-   Each class left posts those of its rarest ``n - ceil(n * num / den) + 1`` shingles that are repeated;
-   linked classes share at least one.  The counts of the most common shingles, a bounded list, only
-   decide the order.
+   a bit filter of bounded size, which takes some unique ones for repeated and never the other way.)
+   One global order holds everywhere: by count, then by hash; the counts are those of the most common
+   shingles, a bounded list, and 1 or 0 for the rest.  Each class left posts, of its first
+   ``n - ceil(n * num / den) + 1`` shingles, rarest first, those that are repeated; linked classes share
+   at least one.
 3. Classes that share a posted shingle form families (connected components of star edges: each
-   class with the smallest class of the shingle, so no pairs are written).
-4. Every family goes through a prefix tree of its sets, most common shingles first: equal beginnings
-   are compared once, and a subtree is left as soon as the shingles that remain on either side
-   cannot reach the overlap asked for.  Pairs that already are in one group are not compared again.
-5. Large families are dealt out in blocks.  Every block meets a pivot block first; then only the
-   classes outside the family's largest group meet all blocks of a fitting size.  No link between
-   two groups can be lost, and copies never form all their pairs.
-
-That finds groups, and enough for distinct_documents().  ngram_links() finds every link instead: all pairs
-of classes of a family whose sizes fit, blocks against blocks, whatever group they are in.  Only the number
-of links of each class and a spanning set leave a task.
-
-Defined cases: null or blank texts have an empty set, n_shingles 0, and are alone.  A null doc_id
-takes part in nothing and has a null component_id.  Rows that repeat a doc_id are one document: each
-row is returned, with the links of all its texts.  Other columns are ignored.
+   class with the smallest class of the shingle, so no pairs are written).  A large family whose classes
+   share few shingles each is split by shingle: shingles are dealt into buckets of about PAIR_ROWS
+   classes, and a class goes to the buckets of its own.  Families, or such buckets, are the units.
+4. The sets of a unit are stored in a prefix tree, most common shingles of the global order first.  All
+   probes go down the tree together: equal beginnings are counted once for all sets below, and a probe
+   leaves a subtree as soon as the shingles that remain on either side cannot reach the overlap asked for.
+5. Large units are dealt out in blocks by size; every two blocks whose sizes fit meet in a task.
+
+ngram_links() finds every link: of classes a and b that link each adds the other's rows to its number,
+once, in the first unit that both are in.  connected() finds as many links as connect what all links
+connect: every block meets a pivot block first; then only the classes outside the unit's largest group
+meet all blocks of a fitting size, and equal labels are pruned in the tree.
+
+Defined cases: null or blank texts have an empty set, n_shingles 0, and are alone.  ngram_links(): a null
+doc_id takes part in nothing and has a null component_id; rows that repeat a doc_id are one document: each
+row is returned, with the links of all its texts.  distinct_documents() looks at rows, whatever their id.
+Other columns are ignored there and kept here.
 """
 
 from __future__ import annotations
@@ -38,21 +41,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bloom, dropped, in_bloom, in_words, written
+from .scratch import dropped, identity, without, written
 from .wordhash import mix, shingle_hashes, slices, word_hashes
 
 HEAVY = 1 << 18
-BUCKET_BITS = 12
-REPEATED_BITS = 1 << 26
-BLOCK_ROWS = 128
+BUCKET_SHINGLES = 1 << 20
+LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 6, 18
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
+PAIR_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
-PAIR_ROWS = 512
-PAIR_CELLS = 1 << 21
+PAIR_CELLS = 1 << 24
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+def _sets(batch: pa.RecordBatch, n: int, keep: np.ndarray | None = None) -> list[np.ndarray]:
     words, at = word_hashes(batch.column("text"))
-    return [np.unique(shingle_hashes(words[at[i] : at[i + 1]], n)) for i in range(batch.num_rows)]
+    return [np.unique(shingle_hashes(words[at[i] : at[i + 1]], n)) for i in (range(batch.num_rows) if keep is None else np.flatnonzero(keep))]
 
 
 def _prints(s: np.ndarray) -> tuple[int, int]:
@@ -60,408 +63,461 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
 
 
 def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, f1, f2) of every row: the size of its set and two 64-bit sums over it."""
+    """(key_a, key_b, doc_id, n, f1, f2) of every row: the size of its set and two 64-bit sums over it."""
 
     def describe(batches):
         for batch in slices(batches):
             sets = _sets(batch, n)
             prints = [_prints(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))], names=["doc_id", "n", "f1", "f2"]
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))],
+                names=["key_a", "key_b", "doc_id", "n", "f1", "f2"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, f1 long, f2 long")
+    return docs.select("key_a", "key_b", "doc_id", "text").mapInArrow(describe, "key_a long, key_b long, doc_id long, n long, f1 long, f2 long")
 
 
-def repeated_shingles(docs: DataFrame, n: int) -> DataFrame:
-    """(shingle, times) of the shingles in two texts or more; of a shingle's hash the upper 32 + BUCKET_BITS bits count.
+def _bits_of(values: np.ndarray, k: int, size: int) -> np.ndarray:
+    return (mix(values.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(size - 1)).astype(np.int64)
 
-    Every batch sends its hashes once for each range of hashes, sorted and packed into four bytes each.
+
+def bit_filter(values: DataFrame, column: str, n: int) -> np.ndarray:
+    """The words of a bit filter over a column of n integers: about 16 bits each, within fixed bounds.
+
+    What it doesn't let through isn't in the column; more values than it has room for only let more through.
+    """
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+    def mark(batches):
+        for batch in batches:
+            bits = np.unique(np.concatenate([_bits_of(batch.column(0).to_numpy(zero_copy_only=False), k, size) for k in range(2)]))
+            word, mask = bits >> 6, np.int64(1) << (bits & 63)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first) if len(word) else mask)], names=["word", "mask"])
+
+    marks = values.select(F.col(column).cast("long").alias("value")).mapInArrow(mark, "word long, mask long")
+    marks = marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # size / 64 rows at most
+    words = np.zeros(size // 64, np.int64)
+    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
+    return words
+
+
+def let_through(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter with these words lets through."""
+    keep = np.ones(len(values), bool)
+    for k in range(2):
+        bit = _bits_of(values, k, len(words) * 64)
+        keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+    return keep
+
+
+def bucket_bits(shingles: int) -> int:
+    """Of a shingle's hash, the bits that name its bucket: buckets of about BUCKET_SHINGLES each."""
+    return min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, (max(1, shingles) // BUCKET_SHINGLES).bit_length()))
+
+
+def cut_hashes(s: np.ndarray, bits: int) -> np.ndarray:
+    """The upper 32 + bits bits of hashes, which are those that repeated_shingles() counts."""
+    return s & ~np.uint64((1 << (32 - bits)) - 1)
+
+
+def repeated_shingles(docs: DataFrame, n: int, bits: int, chosen=None) -> DataFrame:
+    """(shingle, times) of the shingles in two texts or more; of a shingle's hash the upper 32 + bits bits count.
+
+    Every batch counts its own shingles first and sends each once for its bucket, sorted and packed into
+    four bytes: those that it has once, and those that it has more often with their numbers.
     """
 
     def deal(batches):
         for batch in slices(batches):
-            sets = _sets(batch, n)
-            value = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-            low = (value >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32)
-            cuts = np.searchsorted(value, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+            keep = None if chosen is None else let_through(chosen.value, batch.column("key_a").to_numpy())
+            sets = _sets(batch, n, keep)
+            value, times = np.unique(cut_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), bits), return_counts=True)
+            low = (value >> np.uint64(32 - bits)).astype(np.uint32)
+            cuts = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             cuts = np.concatenate([[0], cuts, [len(value)]])
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "packed"])
+            once, often = [], []
+            for k in full.tolist():
+                v, t = low[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]]
+                once.append(v[t == 1].tobytes())
+                often.append(np.stack([v[t > 1], t[t > 1].astype(np.uint32)]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(once, pa.binary()), pa.array(often, pa.binary())], names=["bucket", "once", "often"])
 
     def count(batches):
-        key, held = None, []
+        key, values, numbers = None, [], []
 
         def flush():
-            value, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times > 1
-            shingle = (value[often].astype(np.uint64) << np.uint64(32 - BUCKET_BITS)) | (np.uint64(key) << np.uint64(64 - BUCKET_BITS))
-            return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(times[often].astype(np.int64))], names=["shingle", "times"])
+            value, where = np.unique(np.concatenate(values), return_inverse=True)
+            times = np.bincount(where, weights=np.concatenate(numbers), minlength=len(value)).astype(np.int64)
+            more = times > 1
+            shingle = (value[more].astype(np.uint64) << np.uint64(32 - bits)) | (np.uint64(key) << np.uint64(64 - bits))
+            return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(times[more])], names=["shingle", "times"])
 
         for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, once, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if bucket != key:
-                    if held:
+                    if values:
                         yield flush()
-                    key, held = bucket, []
-                held.append(np.frombuffer(packed.as_buffer(), np.uint32))
-        if held:
+                    key, values, numbers = bucket, [], []
+                one, more = np.frombuffer(once.as_buffer(), np.uint32), np.frombuffer(often.as_buffer(), np.uint32).reshape(2, -1)
+                values += [one.copy(), more[0].copy()]
+                numbers += [np.ones(len(one), np.uint32), more[1].copy()]
+        if values:
             yield flush()
 
-    parts = docs.select("text").mapInArrow(deal, "bucket long, packed binary")
+    parts = docs.select("key_a", "text").mapInArrow(deal, "bucket long, once binary, often binary")
     return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "shingle long, times long")
 
 
-def _cut(s: np.ndarray) -> np.ndarray:
-    """The bits of hashes that repeated_shingles() counts."""
-    return s & ~np.uint64((1 << (32 - BUCKET_BITS)) - 1)
+class GlobalOrder:
+    """The one order of all shingles: by number of texts, then by hash."""
 
+    def __init__(self, value: np.ndarray, times: np.ndarray, words: np.ndarray, bits: int):
+        order = np.argsort(value)
+        self.value, self.times, self.words, self.bits = value[order], times[order], words, bits
 
-def _candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, set) of the texts that may link with another.
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """0: in no other text; 1: repeated, or taken for it; else the number of a common shingle."""
+        cut = cut_hashes(s, self.bits)
+        rank = let_through(self.words, cut.view(np.int64)).astype(np.int64)
+        if len(self.value) and len(s):
+            place = np.minimum(np.searchsorted(self.value, cut), len(self.value) - 1)
+            rank = np.where(self.value[place] == cut, self.times[place], rank)
+        return rank
 
-    A text links with nothing if more of its shingles than a link may leave out occur in no other text.
-    prefix: of its rarest shingles, as many as two linked texts can't both have apart, those that occur
-    in another text.
-    """
-    repeated = written(repeated_shingles(docs, n), "repeated")
+
+def global_order(docs: DataFrame, n: int, shingles: int, chosen=None) -> GlobalOrder:
+    bits = bucket_bits(shingles)
+    repeated = written(repeated_shingles(docs, n, bits, chosen), "repeated")
     top = repeated.orderBy(F.desc("times"), "shingle").limit(HEAVY).toArrow()
-    value, times = top["shingle"].to_numpy().view(np.uint64), top["times"].to_numpy()
-    order = np.argsort(value)
-    marks = bloom(repeated, "shingle", REPEATED_BITS)
-    words = np.zeros(REPEATED_BITS // 64, np.int64)
-    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((value[order], times[order], words))
+    out = GlobalOrder(top["shingle"].to_numpy().view(np.uint64), top["times"].to_numpy(), bit_filter(repeated, "shingle", repeated.count()), bits)
     dropped(repeated)
+    return out
+
+
+def _candidates(docs: DataFrame, n: int, num: int, den: int, order, chosen) -> DataFrame:
+    """(key_a, key_b, n, prefix, set) of the chosen texts that may link with another.
+
+    A text links with nothing if more of its shingles than a link may leave out occur in no other text.
+    prefix: of its first shingles in the global order, as many as two linked texts can't both have apart,
+    those that occur in another text.
+    """
 
     def describe(batches):
-        value, times, words = shared.value
         for batch in slices(batches):
-            out = [[], [], [], [], [], []]
-            for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch, n), strict=True):
+            keep = let_through(chosen.value, batch.column("key_a").to_numpy())
+            out = [[], [], [], [], []]
+            for i, s in zip(np.flatnonzero(keep).tolist(), _sets(batch, n, keep), strict=True):
                 size = len(s)
                 spare = size - -(-num * size // den)
                 if not size:
                     continue
-                cut = _cut(s)
-                known = in_words(words, cut.view(np.int64))
-                if size - int(known.sum()) > spare:
+                rank = order.value.counts(s)
+                if int((rank == 0).sum()) > spare:
                     continue
-                rank = known.astype(np.int64)
-                if len(value):
-                    place = np.minimum(np.searchsorted(value, cut), len(value) - 1)
-                    rank = np.where(value[place] == cut, times[place], rank)
                 first = np.lexsort((s, rank))[: spare + 1]
-                for x, v in zip(out, (doc, size, *_prints(s), s[first][known[first]].view(np.int64), s.tobytes()), strict=True):
+                prefix = s[first][rank[first] > 0].view(np.int64)
+                for x, v in zip(out, (batch.column("key_a")[i].as_py(), batch.column("key_b")[i].as_py(), size, prefix, s.tobytes()), strict=True):
                     x.append(v)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "n", "f1", "f2", "prefix", "set"])
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key_a", "key_b", "n", "prefix", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, prefix array<long>, set binary")
+    return docs.select("key_a", "key_b", "text").mapInArrow(describe, "key_a long, key_b long, n long, prefix array<long>, set binary")
 
 
 class PrefixTree:
-    """A compressed trie over sets given as ascending integer arrays."""
-
-    __slots__ = ("edge", "below", "low", "high", "here", "depth")
-
-    def __init__(self, edge: np.ndarray, depth: int, size: int):
-        self.edge, self.below, self.low, self.high, self.here, self.depth = edge, {}, size, size, [], depth
-
-    def insert(self, s: np.ndarray, key: int) -> None:
-        node, at, size = self, 0, len(s)
-        while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
-            if at == size:
-                node.here.append(key)
-                return
-            child = node.below.get(int(s[at]))
-            if child is None:
-                leaf = PrefixTree(s[at:], size, size)
-                leaf.here.append(key)
-                node.below[int(s[at])] = leaf
-                return
-            m = min(len(child.edge), size - at)
-            differ = np.flatnonzero(child.edge[:m] != s[at : at + m])
-            same = int(differ[0]) if len(differ) else m
-            if same < len(child.edge):
-                upper = PrefixTree(child.edge[:same], child.depth - len(child.edge) + same, child.low)
-                upper.high = child.high
-                child.edge = child.edge[same:]
-                upper.below[int(child.edge[0])] = child
-                node.below[int(s[at])] = upper
-                child = upper
-            node, at = child, at + same
-
-    def search(self, s: np.ndarray, mask: np.ndarray, num: int, den: int, skip):
-        """Keys of the sets that link with s; mask marks the members of s; skip(key): not to be compared."""
-        size, stack = len(s), [(self, 0)]
+    """A trie over sets given as ascending arrays of ranks; nodes in lists, a parent before its children.
+
+    size: the sets' whole sizes (an array may leave out ranks of one set only).  label: pairs of one label
+    aren't asked for.
+    """
+
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray, label: np.ndarray):
+        keys = [s.astype(">u4").tobytes() for s in sets]  # compare like the arrays
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), np.int64)
+        self.size = size[self.order]
+        label = label[self.order]
+        run = [sets[i] for i in self.order]
+        same = np.zeros(len(run), np.int64)
+        for i in range(1, len(run)):
+            m = min(len(run[i - 1]), len(run[i]))
+            differ = np.flatnonzero(run[i - 1][:m] != run[i][:m])
+            same[i] = differ[0] if len(differ) else m
+        self.nodes = []
+        stack = [(0, len(run), 0, -1)]
         while stack:
-            node, got = stack.pop()
-            if den * min(size, node.high) < num * max(size, node.low) and (node.high < size or node.low > size):
-                continue
-            if not node.below and all(map(skip, node.here)):
+            low, high, depth, above = stack.pop()
+            end = len(run[low]) if high - low == 1 else int(same[low + 1 : high].min())
+            here = low
+            while here < high and len(run[here]) == end:
+                here += 1
+            sizes = self.size[low:high]
+            one = int(label[low]) if (label[low:high] == label[low]).all() else None
+            at = len(self.nodes)
+            self.nodes.append((run[low][depth:end], end, max(len(x) for x in run[low:high]), int(sizes.min()), int(sizes.max()), low, here, one, []))
+            if above >= 0:
+                self.nodes[above][-1].append(at)
+            if here < high:
+                cuts = [here, *(here + 1 + np.flatnonzero(same[here + 1 : high] == end)).tolist(), high]
+                stack += [(a, b, end, at) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def search(self, sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, values: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set) of all links of the probes with the tree's sets, but for those of one label."""
+        held = np.zeros((values, len(sets)), np.uint8)
+        for i, s in enumerate(sets):
+            held[s, i] = 1
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        flat = np.concatenate([s.astype(np.int64) + i * values for i, s in enumerate(sets)])
+        found = []
+        stack = [(0, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
+        while stack:
+            at, live, got = stack.pop()
+            edge, end, longest, least, most, low, here, one, below = self.nodes[at]
+            z = size[live]
+            fits = (den * np.minimum(z, most) >= num * z) & (num * least <= den * np.maximum(z, least))
+            fits &= (least <= z) | (num * least <= den * z)
+            if one is not None:
+                fits &= label[live] != one
+            live, got, z = live[fits], got[fits], z[fits]
+            if not len(live):
                 continue
-            if len(node.edge):
-                got += int(mask[node.edge].sum())
-                left = size - int(np.searchsorted(s, node.edge[-1], "right"))
-                if (got + min(left, node.high - node.depth)) * (den + num) < num * (size + node.low):
+            if len(edge):
+                part = held[edge] if len(live) * 2 > len(sets) else held[np.ix_(edge, live)]
+                more = part.sum(axis=0, dtype=np.int64)
+                got = got + (more if part.shape[1] == len(live) else more[live])
+                left = starts[live + 1] - np.searchsorted(flat, live * values + int(edge[-1]), "right")
+                reach = (got + np.minimum(left, longest - end)) * (den + num) >= num * (z + least)
+                live, got, z = live[reach], got[reach], z[reach]
+                if not len(live):
                     continue
-            if node.here and got * (den + num) >= num * (size + node.depth):
-                yield from (k for k in node.here if not skip(k))
-            stack += [(child, got) for child in node.below.values()]
-
-
-def join_group(sets: list[np.ndarray], nodes: list[int], labels: list[int], probes: list[bool], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (pairs of nodes) that connect whatever the links of probes with the group's sets connect.
-
-    Nodes with one label count as connected already.
-    """
-    value, where = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.lexsort((value, -np.bincount(where, minlength=len(value))))
+            if here > low:
+                link = got[:, None] * (den + num) >= num * (z[:, None] + self.size[None, low:here])
+                p, k = np.nonzero(link)
+                if len(p):
+                    found.append((live[p], self.order[low + k]))
+            stack += [(child, live, got) for child in below]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([p for p, _ in found]), np.concatenate([k for _, k in found])
+
+
+def group_links(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, order: GlobalOrder, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both directions of all links between sets (ascending hashes): side -1 with all, else side 0 with side 1."""
+    size = np.array([len(s) for s in sets])
+    value, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # a shingle of one set only is in no intersection
     rank = np.empty(len(value), np.int64)
-    rank[order] = np.arange(len(value))
-    ends = np.cumsum([len(x) for x in sets])
-    ranked = [np.sort(rank[where[e - len(x) : e]]) for x, e in zip(sets, ends, strict=True)]
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    first: dict[int, int] = {}
-    for node, label in zip(nodes, labels, strict=True):
-        root[find(node)] = find(first.setdefault(label, node))
-    tree = PrefixTree(np.zeros(0, np.int64), 0, len(ranked[0]))
-    for i in sorted(range(len(sets)), key=lambda i: len(ranked[i])):
-        tree.insert(ranked[i], i)
-    mask, found = np.zeros(len(value), bool), []
-    for i, s in enumerate(ranked):
-        if probes[i]:
-            mask[s] = True
-            for k in tree.search(s, mask, num, den, lambda k: find(nodes[k]) == find(nodes[i])):  # noqa: B023
-                if find(nodes[k]) != find(nodes[i]):
-                    found.append((nodes[i], nodes[k]))
-                    root[find(nodes[k])] = find(nodes[i])
-            mask[s] = False
-    return found
-
-
-def _joined(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of the groups in placed (grp, doc_id, label, probe)."""
+    rank[np.lexsort((value, -order.counts(value), ~shared))] = np.arange(len(value))
+    values = int(shared.sum())
+    ends = np.cumsum(size)
+    ranked = [np.sort(r[r < values]) for r in (rank[where[e - n : e]] for e, n in zip(ends, size, strict=True))]
+    index = np.flatnonzero(side != 0)
+    probes = np.flatnonzero(side != 1)
+    if not values or not len(index) or not len(probes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = PrefixTree([ranked[i] for i in index], size[index], label[index])
+    step = max(1, PAIR_CELLS // values)
+    a, b = [], []
+    for at in range(0, len(probes), step):
+        some = probes[at : at + step]
+        p, k = tree.search([ranked[i] for i in some], size[some], label[some], values, num, den)
+        a.append(some[p])
+        b.append(index[k])
+    a, b = np.concatenate(a), np.concatenate(b)
+    other = label[a] != label[b]
+    a, b = a[other], b[other]
+    one_way = side[a] == 0  # links of two sides are found once, from side 0
+    return np.concatenate([a, b[one_way]]), np.concatenate([b, a[one_way]])
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that links (both directions of them) lead to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    def run(batches):
-        key, held = None, []
 
-        def flush():
-            if len(held) > 1:
-                cols = list(zip(*held, strict=True))
-                links = join_group([np.frombuffer(x, np.uint64) for x in cols[3]], cols[0], cols[1], cols[2], num, den)
-                if links:
-                    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
-            return None
+def _met_before(buckets: list[np.ndarray], own: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share a bucket before their own."""
+    before = [x[x < own] for x in buckets]
+    value, where = np.unique(np.concatenate(before), return_inverse=True)
+    if not len(value) or not len(a):
+        return np.zeros(len(a), bool)
+    held = np.zeros((len(buckets), len(value)), np.float32)
+    held[np.repeat(np.arange(len(before)), [len(x) for x in before]), where] = 1
+    return (held @ held.T)[a, b] > 0
 
-        for batch in batches:
-            for grp, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if grp != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, held = grp, []
-                held.append(row)
-        if (out := flush()) is not None:
-            yield out
-
-    rows = placed.join(sets, "doc_id").select("grp", "doc_id", "label", "probe", "set")
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
-
-
-def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes: as many as connect all that links connect."""
-    posts = classes.select("rep", F.explode("prefix").alias("token"))
-    heads = written(posts.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
-    stars = posts.join(heads, "token").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    families = components(stars, "families")
-    sized = classes.groupBy("rep").agg(F.max("n").alias("n"), F.sum("n").alias("total"))
-    step = math.log(den / num)
-    members = written(
-        families.join(sized, families["node"] == sized["rep"]).select(
-            F.col("rep").alias("doc_id"), F.col("component").alias("family"), "total", F.floor(F.log(F.col("n").cast("double")) / step).alias("size")
-        ),
-        "members",
-    )
-    dropped(heads)
-
-    sets = written(classes.select(F.col("rep").alias("doc_id"), "set").join(members.select("doc_id"), "doc_id", "left_semi"), "sets")
-
-    whole = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("total").alias("shingles"))
-    cuts = (
-        members.groupBy("family", "size").agg(F.count("*").alias("rows"), F.sum("total").alias("shingles"))
-        .select("family", "size", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    )
-    small = F.col("rows") <= BLOCK_ROWS
-    small &= F.col("shingles") <= BLOCK_SHINGLES
-    whole = written(whole.withColumn("small", small), "whole")
-    cuts = written(cuts.join(whole.where("not small").select("family"), "family"), "cuts")
-    at = members.join(whole.select("family", "small"), "family")
-    one = at.where("small").select(F.concat_ws("/", "family").alias("grp"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"))
-    blocked = written(
-        at.where("not small").join(cuts, ["family", "size"]).select("family", "size", "blocks", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block")), "blocked"
-    )
-    #: A block meets block 0 of its own size class and of the next; block 0 goes to all of them.
-    own = blocked.select(
-        "doc_id", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("block")))).alias("to"), "family", "size"
-    ).select(F.concat_ws("/", "family", "size", "to").alias("grp"), "doc_id")
-    before = cuts.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("others"))
-    up = blocked.select("doc_id", F.concat_ws("/", "family", F.col("size"), "block", F.lit("up")).alias("grp"))
-    down = blocked.where("block = 0").join(before, ["family", "size"]).select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("to"), "family", "size"
-    ).select("doc_id", F.concat_ws("/", "family", F.col("size") - 1, "to", F.lit("up")).alias("grp"))
-    first = one.unionByName(own.unionByName(up).unionByName(down).select("grp", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe")))
-    links = written(_joined(first, sets, num, den), "links")
-    if not blocked.isEmpty():
-        got = components(links, "pivots")
-        tagged = written(blocked.join(got, blocked["doc_id"] == got["node"], "left").select(*blocked.columns, F.coalesce("component", "doc_id").alias("label")), "tagged")
-        most = tagged.groupBy("family", "label").agg(F.count("*").alias("rows")).groupBy("family").agg(F.max_by("label", F.struct("rows", "label")).alias("top"))
-        outside = written(tagged.join(most, "family").where("label <> top").drop("top"), "outside")
-        if not outside.isEmpty():
-            packs = outside.groupBy("family", "size").agg(F.count("*").alias("rows")).select("family", "size", F.ceil(F.col("rows") / BLOCK_ROWS).alias("packs"))
-            packs = written(packs, "packs")
-            near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("other")
-            probes = (
-                outside.join(packs, ["family", "size"]).withColumn("pack", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("packs"))).select("family", "size", "pack", "doc_id", "label", near)
-                .join(cuts.select("family", F.col("size").alias("other"), F.col("blocks").alias("others")), ["family", "other"])
-                .select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("to"))
-                .select(F.concat_ws("/", "family", "size", "pack", "other", "to").alias("grp"), "doc_id", "label", F.lit(True).alias("probe"))
-            )
-            packs2 = packs.select("family", F.col("size").alias("other"), "packs")
-            index = (
-                tagged.select("family", "size", "block", "doc_id", "label", near).join(packs2, ["family", "other"])
-                .select("*", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"))
-                .select(F.concat_ws("/", "family", "other", "pack", "size", "block").alias("grp"), "doc_id", "label", F.lit(False).alias("probe"))
-            )
-            more = written(_joined(probes.unionByName(index), sets, num, den), "links")
-            links = written(links.union(more), "links")
-    dropped(sets, members, whole)
-    return links
 
+def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> DataFrame:
+    """(a, b, links) of the groups in placed (grp, key, label, side, bucket, buckets) with sets (key, copies, set).
 
-def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): see the module's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(_fingerprints(docs, n), "prints")
-    classes = written(prints.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = in_bloom(docs.where("doc_id is not null"), "doc_id", bloom(classes, "rep"))
-    maybe = _candidates(firsts, n, num, den).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    maybe = written(maybe.groupBy("n", "f1", "f2").agg(F.first("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("set").alias("set")), "maybe")
-    groups = components(_links(maybe, num, den), "groups")
-    dropped(maybe)
-    of = written(
-        classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "f1", "f2", F.least("rep", "component").alias("component")), "of"
-    )
-    rows = prints.select("doc_id", "n", "f1", "f2").join(of, ["n", "f1", "f2"], "left")
-    #: Rows that repeat a doc_id with other texts bring their groups together.
-    again = written(rows.where("doc_id is not null and component is not null").groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b"), "again")
-    if not again.isEmpty():
-        wide = rows.where("component is not null").join(again.select("doc_id", F.col("a").alias("least")), "doc_id").select(F.col("component").alias("a"), F.col("least").alias("b"))
-        merged = components(wide, "again")
-        rows = rows.join(merged, rows["component"] == merged["node"], "left").select("doc_id", "n", F.coalesce(merged["component"], rows["component"]).alias("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of the sets link: all pairs where side is -1, else only those of side 0 with side 1."""
-    value, where = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    common = np.bincount(where, minlength=len(value)) > 1  # a shingle of one set only is in no intersection
-    keep = common[where]
-    row, col = row[keep], (np.cumsum(common) - 1)[where[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    shared = np.zeros((len(sets), len(sets)), np.int64)
-    wide = max(1, PAIR_CELLS // len(sets))
-    for at in range(0, int(common.sum()), wide):
-        low, high = np.searchsorted(col, [at, at + wide])
-        part = np.zeros((len(sets), wide), np.float32)
-        part[row[low:high], col[low:high] - at] = 1
-        shared += (part @ part.T).astype(np.int64)
-    out = shared * (den + num) >= num * (size[:, None] + size[None, :])
-    np.fill_diagonal(out, False)
-    return out & ((side[:, None] < 0) | (side[:, None] != side[None, :]))
-
-
-def count_group(sets: list[np.ndarray], keys: list[int], copies: list[int], sides: list[int], num: int, den: int) -> list[tuple[int, int, int]]:
-    """(a, a, the copies of all that a links with) of every set with links, and (a, b, 0) that connect what links connect."""
-    links = linked(sets, np.array(sides), num, den)
-    total = links @ np.array(copies, np.int64)
-    label = np.arange(len(sets))
-    while True:
-        new = np.minimum(label, np.where(links, label[None, :], len(sets)).min(axis=1))
-        if (new == label).all():
-            break
-        label = new
-    return [(keys[i], keys[i], int(total[i])) for i in np.flatnonzero(total)] + [(keys[i], keys[k], 0) for i, k in enumerate(label.tolist()) if i != k]
-
-
-def _all_links(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, links) of all links between classes (key, copies, n, prefix, set), as count_group() gives them, by groups."""
-    posts = classes.select("key", F.explode("prefix").alias("token"))
-    heads = written(posts.groupBy("token").agg(F.min("key").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
-    stars = posts.join(heads, "token").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    families = components(stars, "families")
-    size = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
-    members = written(families.join(classes, families["node"] == classes["key"]).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
-    sets = written(classes.select("key", "copies", "set").join(members.select("key"), "key", "left_semi"), "sets")
-    whole = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    whole = written(whole.select("family", ((F.col("rows") <= PAIR_ROWS) & (F.col("shingles") <= BLOCK_SHINGLES)).alias("small")), "whole")
-    at = members.join(whole, "family")
-    large = at.where("not small")
-    blocks = F.greatest(F.ceil(F.count("*") / PAIR_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    cuts = written(large.groupBy("family", "size").agg(blocks), "cuts")
-    blocked = written(large.join(cuts, ["family", "size"]).select("family", "size", "blocks", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
-
-    def placed(rows, side, *grp):
-        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", side.alias("side"))
-
-    #: Every two blocks of one size class meet once, and every block meets all of the next class.
-    own = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    side = F.when(F.col("block") == F.col("to"), -1).otherwise((F.col("block") > F.col("to")).cast("int"))
-    above = cuts.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("others"))
-    below = cuts.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("others"))
-    each = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("to")
-    up = blocked.join(above, ["family", "size"]).select("*", each)
-    down = blocked.join(below, ["family", "size"]).select("*", each)
-    groups = (
-        placed(at.where("small"), F.lit(-1), "family")
-        .unionByName(placed(own, side, "family", "size", F.least("block", "to"), F.greatest("block", "to")))
-        .unionByName(placed(up, F.lit(0), "family", "size", "block", "to", F.lit("up")))
-        .unionByName(placed(down, F.lit(1), "family", F.col("size") - 1, "to", "block", F.lit("up")))
-    )
+    (x, x, n): x links with other classes of n rows in all.  (x, y, 0): links, as many as connect the rest.
+    """
 
     def run(batches):
         key, held = None, []
 
         def flush():
             if len(held) > 1:
-                keys, sides, copies, sets = zip(*held, strict=True)
-                if out := count_group([np.frombuffer(x, np.uint64) for x in sets], keys, copies, sides, num, den):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "links"])
+                keys, labels, sides, own, buckets, copies, found = zip(*held, strict=True)
+                a, b = group_links([np.frombuffer(x, np.uint64) for x in found], np.array(sides), np.array(labels), order.value, num, den)
+                if len(a):
+                    keys, root = np.array(keys), spanning(len(keys), a, b)
+                    if own[0] is not None:
+                        first = ~_met_before([np.array(x, np.int64) for x in buckets], own[0], a, b)
+                        a, b = a[first], b[first]
+                    total = np.bincount(a, weights=np.array(copies)[b], minlength=len(keys)).astype(np.int64)
+                    some, apart = np.flatnonzero(total), np.flatnonzero(root != np.arange(len(keys)))
+                    yield pa.RecordBatch.from_arrays(
+                        [np.concatenate([keys[some], keys[apart]]), np.concatenate([keys[some], keys[root[apart]]]), np.concatenate([total[some], np.zeros(len(apart), np.int64)])], names=["a", "b", "links"]
+                    )
 
         for batch in batches:
-            for grp, node, side, copies, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            for grp, *row, s in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), strict=True):
                 if grp != key:
                     yield from flush()
                     key, held = grp, []
-                held.append((node, side, copies, s.as_buffer()))
+                held.append((*row, s.as_buffer()))
         yield from flush()
 
-    rows = groups.join(sets, "key").select("grp", "key", "side", "copies", "set")
-    links = written(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long"), "links")
-    dropped(heads, sets, members, whole, cuts, blocked)
+    rows = placed.join(sets, "key").select("grp", "key", "label", "side", "bucket", "buckets", "copies", "set")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long")
+
+
+class _Units:
+    """Classes (key, copies, n, prefix, set) dealt into units, and those into blocks by size."""
+
+    def __init__(self, classes: DataFrame, num: int, den: int):
+        posts = classes.select("key", F.explode("prefix").alias("token"))
+        heads = written(posts.groupBy("token").agg(F.min("key").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
+        of = posts.join(heads, "token").groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_set("head").alias("heads"))  # a class' own prefix
+        shared = written(of, "shared")
+        families = components(shared.select(F.col("key").alias("a"), F.explode("heads").alias("b")).where("a <> b"), "families")
+        size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
+        members = written(families.join(classes.select("key", "n"), families["node"] == F.col("key")).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
+        small = (F.count("*") <= PAIR_ROWS) & (F.sum("n") <= BLOCK_SHINGLES)
+        whole = members.groupBy("family").agg(small.alias("small"), F.count("*").alias("rows"))
+        whole = written(whole.withColumn("deal", F.ceil(F.col("rows") / PAIR_ROWS)), "whole")
+        #: A large family is split by shingle if that takes less than half of the work of all its blocks.
+        large = members.join(whole.where("not small").select("family", "deal"), "family").join(shared.select("key", "tokens"), "key")
+        buckets = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.col("deal"))))).alias("buckets")
+        spread = written(large.select("key", "family", "deal", "n", "size", buckets), "spread")
+        per = spread.select("family", "deal", F.explode("buckets").alias("bucket")).groupBy("family", "deal", "bucket").agg(F.count("*").alias("rows"))
+        work = per.groupBy("family").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("work"), F.sum("rows").alias("sent"))
+        sparse = work.join(whole, "family").select("family", (F.col("work") * 2 < F.col("rows").cast("double") * F.col("rows")).alias("sparse"))
+        spread = spread.join(sparse, "family")
+        none, nothing = F.lit(None).cast("long"), F.array().cast("array<long>")
+        units = spread.where("sparse").select(
+            "key", "n", "size", "family", F.explode("buckets").alias("bucket"), "buckets"
+        ).unionByName(spread.where("not sparse").select("key", "n", "size", "family", none.alias("bucket"), nothing.alias("buckets")))
+        units = units.withColumn("unit", F.concat_ws("/", "family", "bucket"))
+        blocks = F.greatest(F.ceil(F.count("*") / PAIR_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+        self.cuts = written(units.groupBy("unit", "size").agg(blocks), "cuts")
+        self.blocked = written(units.join(self.cuts, ["unit", "size"]).select("unit", "size", "blocks", "key", "bucket", "buckets", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
+        self.small = members.join(whole.where("small"), "family").select(F.concat_ws("/", "family").alias("grp"), "key", F.col("key").alias("label"), F.lit(-1).alias("side"), none.alias("bucket"), nothing.alias("buckets"))
+        self.sets = written(classes.select("key", "copies", "set").join(members.select("key"), "key", "left_semi"), "sets")
+        self.of = [heads, shared, members, whole, spread, self.cuts, self.blocked, self.sets]
+        self.some_large = not self.blocked.isEmpty()
+
+    @staticmethod
+    def placed(rows: DataFrame, side, *grp) -> DataFrame:
+        label = F.col("label") if "label" in rows.columns else F.col("key")
+        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", label.alias("label"), side.cast("int").alias("side"), "bucket", "buckets")
+
+    def near(self, step: int) -> DataFrame:
+        """(unit, size, others): the number of blocks one size class above or below."""
+        return self.cuts.select("unit", (F.col("size") - step).alias("size"), F.col("blocks").alias("others"))
+
+
+def _each(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("to")
+
+
+def all_links(classes: DataFrame, order, num: int, den: int) -> DataFrame:
+    """(a, b, links) of all links between classes (key, copies, n, prefix, set), as _joined() gives them."""
+    u = _Units(classes, num, den)
+    groups = u.small
+    if u.some_large:  # every two blocks of one size class meet once, and every block meets all of the next class
+        own = u.blocked.select("*", _each("blocks"))
+        side = F.when(F.col("block") == F.col("to"), -1).otherwise((F.col("block") > F.col("to")).cast("int"))
+        up, down = u.blocked.join(u.near(1), ["unit", "size"]).select("*", _each("others")), u.blocked.join(u.near(-1), ["unit", "size"]).select("*", _each("others"))
+        groups = (
+            groups.unionByName(u.placed(own, side, "unit", F.lit("at"), "size", F.least("block", "to"), F.greatest("block", "to")))
+            .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block", "to"))
+            .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to", "block"))
+        )
+    links = written(_joined(groups, u.sets, order, num, den), "links")
+    dropped(*u.of)
     return links
 
 
+def connected(classes: DataFrame, order, num: int, den: int) -> DataFrame:
+    """(a, b): links between classes, as many as connect all that links connect."""
+    u = _Units(classes, num, den)
+    groups = u.small
+    if u.some_large:  # a block meets block 0 of its own size class and of the next; block 0 goes to all of them
+        to = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+        own = u.blocked.select("*", F.explode(to).alias("to"))
+        side = F.when(F.col("to") == 0, -1).otherwise((F.col("block") == 0).cast("int"))
+        up = u.blocked.join(u.near(1).drop("others"), ["unit", "size"])
+        down = u.blocked.where("block = 0").join(u.near(-1), ["unit", "size"]).select("*", _each("others"))
+        groups = (
+            groups.unionByName(u.placed(own, side, "unit", F.lit("at"), "size", "to"))
+            .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block"))
+            .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to"))
+        )
+    links = written(_joined(groups, u.sets, order, num, den).where("a <> b").select("a", "b"), "links")
+    if u.some_large:
+        got = components(links, "pivots")
+        tagged = written(u.blocked.join(got, F.col("key") == got["node"], "left").select(*u.blocked.columns, F.coalesce("component", "key").alias("label")), "tagged")
+        most = tagged.groupBy("unit", "label").agg(F.count("*").alias("rows")).groupBy("unit").agg(F.max_by("label", F.struct("rows", "label")).alias("top"))
+        outside = written(tagged.join(most, "unit").where("label <> top").drop("top"), "outside")
+        if not outside.isEmpty():
+            packs = written(outside.groupBy("unit", "size").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("packs")), "packs")
+            near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("other")
+            probes = outside.join(packs, ["unit", "size"]).withColumn("pack", F.pmod(F.xxhash64("key", F.lit(1)), F.col("packs"))).select("*", near)
+            probes = probes.join(u.cuts.select("unit", F.col("size").alias("other"), F.col("blocks").alias("others")), ["unit", "other"]).select("*", _each("others"))
+            index = tagged.select("*", near).join(packs.select("unit", F.col("size").alias("other"), "packs"), ["unit", "other"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
+            groups = u.placed(probes, F.lit(0), "unit", "size", "pack", "other", "to").unionByName(u.placed(index, F.lit(1), "unit", "other", "pack", "size", "block"))
+            more = written(_joined(groups, u.sets, order, num, den).where("a <> b").select("a", "b"), "links")
+            links = links.union(more)
+            u.of.append(packs)
+        u.of += [tagged, outside, got]
+    out = written(links, "all-links")
+    dropped(*u.of)
+    return out
+
+
+def _classes(docs: DataFrame, n: int, num: int, den: int, whole: bool):
+    """(prints, classes, candidates, order): every row's fingerprints, the classes of equal sets, those that may link.
+
+    docs: (doc_id, text).  classes: (n, f1, f2, key, copies, doc_id, key_a, key_b), the latter of its first
+    row; rows without a doc_id come last (whole) or take no part.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(*identity(F.col("doc_id"), F.col("text")), "doc_id", "text")
+    prints = written(_fingerprints(keyed, n), "prints")
+    rows = prints.where("n > 0") if whole else prints.where("n > 0 and doc_id is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")).alias("first")
+    classes = rows.groupBy("n", "f1", "f2").agg(first, F.count("*").alias("copies"))
+    classes = written(classes.select("n", "f1", "f2", "copies", "first.doc_id", "first.key_a", "first.key_b", F.monotonically_increasing_id().alias("key")), "classes")
+    seen = classes.agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).first()
+    chosen = spark.sparkContext.broadcast(bit_filter(classes, "key_a", seen["rows"]))
+    order = spark.sparkContext.broadcast(global_order(keyed, n, seen["shingles"] or 0, chosen))
+    found = written(_candidates(keyed, n, num, den, order, chosen).withColumn("row", F.monotonically_increasing_id()), "found")
+    #: Rows that repeat an id and its text are found again; one of them stands for the class.
+    picked = found.select("row", "key_a", "key_b").join(classes.select("key", "copies", "key_a", "key_b"), ["key_a", "key_b"]).groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies"))
+    maybe = written(found.drop("key_a", "key_b").join(picked, "row").drop("row"), "maybe")
+    dropped(found)
+    return prints, classes, maybe, order
+
+
 def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text): see the module's text.
 
@@ -469,13 +525,8 @@ def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     them; null without a doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(_fingerprints(docs, n), "prints")
-    classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
-    firsts = in_bloom(docs.where("doc_id is not null"), "doc_id", bloom(classes, "rep"))
-    maybe = _candidates(firsts, n, num, den).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"])
-    maybe = written(maybe.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "copies", "prefix", "set"))), "maybe")
-    links = _all_links(maybe, num, den)
+    prints, classes, maybe, order = _classes(docs, n, num, den, False)
+    links = all_links(maybe, order, num, den)
     dropped(maybe)
     edges = links.where("a <> b").select("a", "b")
     #: Rows that repeat a doc_id are one document, whatever their texts.
@@ -487,10 +538,11 @@ def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         edges = edges.unionByName(rows.join(again, "doc_id").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
     groups = components(edges, "groups")
     of = classes.join(groups, classes["key"] == groups["node"], "left").withColumn("component", F.coalesce("component", "key"))
-    first = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    first = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     of = written(of.join(first, "component").join(counts, "key", "left").select("n", "f1", "f2", "key", "component_id", n_links), "of")
+    dropped(classes, links)
     out = prints.join(of.drop("key"), ["n", "f1", "f2"], "left")
     if repeats:
         out = out.join(again.join(of.select(F.col("key").alias("least"), F.col("component_id").alias("whole")), "least").select("doc_id", "whole"), "doc_id", "left")
@@ -503,11 +555,31 @@ def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id; rows without a doc_id stay."""
-    groups = written(ngram_groups(docs, n, num, den), "ngram-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    double = groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    touched = bloom(gone.union(double), "doc_id")
-    sure = docs.where("doc_id is null").unionByName(in_bloom(docs.where("doc_id is not null"), "doc_id", touched, False))
-    rest = in_bloom(docs.where("doc_id is not null"), "doc_id", touched).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return sure.unionByName(rest).select(docs.columns)
+    """docs with one row of each group of linked texts: the first by doc_id, those without an id last.
+
+    Rows count by their texts, whatever their ids: other texts under one id are judged each, and copies
+    without an id go like all copies.  Of rows that repeat an id and its text one stays, with its other columns.
+    Rows with null or blank texts all stay.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints, classes, maybe, order = _classes(plain, n, num, den, True)
+    links = connected(maybe, order, num, den)
+    dropped(maybe)
+    groups = components(links, "groups")
+    of = classes.join(groups, classes["key"] == groups["node"], "left").withColumn("component", F.coalesce("component", "key"))
+    kept = written(of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")).alias("first")).select("first.key_a", "first.key_b"), "kept")
+    rows = prints.where("n > 0").groupBy("key_a", "key_b").agg(F.count("*").alias("times"))
+    marked = rows.join(kept.withColumn("stays", F.lit(True)), ["key_a", "key_b"], "left")
+    #: Rows that must go, and rows that stay but are there more than once.
+    gone = written(marked.where("stays is null or times > 1").select("key_a", "key_b", F.coalesce("stays", F.lit(False)).alias("stays")), "gone")
+    dropped(links, prints, classes, kept, groups)
+    values = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    out = without(docs, values, gone.select("key_a", "key_b"))
+    double = gone.where("stays").select("key_a", "key_b")
+    if double.isEmpty():
+        return out
+    names = docs.columns
+    key_a, key_b = identity(*values)
+    again = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key_a, key_b).join(double, ["key_a", "key_b"], "left_semi")
+    one = again.groupBy("key_a", "key_b").agg(F.first("row").alias("row"))
+    return out.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in names]))

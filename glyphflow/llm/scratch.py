@@ -1,25 +1,31 @@
-"""Shared scratch space: written tables cut lineage and survive the loss of executors.
+"""Shared scratch space, row identities and exact removal of rows.
 
-Everything goes below ``spark.checkpoint.dir`` as the session has it.  Only where that setting is
-missing, as in tests, a temporary folder of this machine is set.
+Written tables cut lineage and survive the loss of executors.  Everything goes below
+``spark.checkpoint.dir`` as the session has it.  Only a local session, as in tests, may do without that
+setting and gets a folder of its own; on a cluster a folder of one machine would lose rows, so that fails.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .wordhash import mix
+#: Batches of this size reach Python, however long the texts, and readers hold as few rows at a time.
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+#: Bits of a removal filter: 64 for each removed row, between 2^16 and 2^24 (a broadcast table of 2^18 rows, 4 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 
 
 def base(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,10 +35,24 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def lean(spark: SparkSession):
+    """Within it, jobs hand small batches to Python."""
+    before = {k: spark.conf.get(k) for k in LEAN}
+    try:
+        for k, v in LEAN.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once and read again."""
     spark = df.sparkSession
-    df.write.parquet(at := fresh(spark, name))
+    with lean(spark):
+        df.write.parquet(at := fresh(spark, name))
     out = spark.read.schema(df.schema).parquet(at)
     out._scratch = at
     return out
@@ -48,51 +68,42 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BLOOM_BITS = 1 << 24
-
-
-def bloom(ids: DataFrame, column: str, size: int = BLOOM_BITS) -> pa.Table:
-    """A filter of size bits at most (two bits a number) over a column of integers: its set words.
-
-    Its size is fixed whatever the number of ids; more ids only let more rows through, and an exact
-    join follows wherever it is used.
-    """
+def null_safe(*values: Column) -> list[Column]:
+    """The values with a flag for each that is null, so that a hash tells nulls apart."""
+    return [x for v in values for x in (v, v.isNull())]
 
-    def mark(batches):
-        for batch in batches:
-            bits = np.unique(np.concatenate([_bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64), k, size) for k in range(2)]))
-            word, mask = bits >> 6, np.int64(1) << (bits & 63)
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first) if len(word) else mask)], names=["word", "mask"])
 
-    marks = ids.select(F.col(column).cast("long").alias("id")).mapInArrow(mark, "word long, mask long")
-    return marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+def identity(*values: Column) -> list[Column]:
+    """128 bits that tell rows with other values apart, nulls included: columns key_a and key_b."""
+    return [F.xxhash64(*null_safe(*values)).alias("key_a"), F.xxhash64(F.lit("second"), *null_safe(*values)).alias("key_b")]
 
 
-def _bits(ids: np.ndarray, k: int, size: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(size - 1)).astype(np.int64)
+def without(docs: DataFrame, values: list[Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose identity() of values is in gone (key_a, key_b), a written table; no Python.
 
-
-def in_words(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which ids a filter with these words lets through."""
-    keep = np.ones(len(ids), bool)
-    for k in range(2):
-        bit = _bits(ids, k, len(words) * 64)
-        keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
-    return keep
-
-
-def in_bloom(df: DataFrame, column: str, marks: pa.Table, inside: bool = True) -> DataFrame:
-    """Rows of df that the filter lets through (or, not inside, those it stops); runs without a shuffle."""
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
-    words[marks["word"].to_numpy()] = marks["mask"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    names = df.columns
-
-    def pick(batches):
-        for batch in batches:
-            keep = in_words(shared.value, batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)) == inside
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(len(names))], names=names)
-
-    return df.select("*", F.col(column).cast("long").alias("_bloom_key")).mapInArrow(pick, df.schema)
+    Whole rows are shuffled only where a bit filter lets them through: its words are a table of at most
+    2^18 rows, so it can be broadcast whatever the number of rows to remove.  Behind it an exact anti join
+    decides; where the filter is full, that join has all rows.
+    """
+    n = gone.count()
+    if not n:
+        return docs
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (64 * n - 1).bit_length()))
+    names = docs.columns
+    a, b, w, m = (f"_{x}_{uuid.uuid4().hex}" for x in ("a", "b", "word", "mask"))  # clash with no column of docs
+
+    def word(key: Column) -> Column:
+        return F.shiftright(key.bitwiseAND(F.lit(bits - 1)), 6)
+
+    def bit(key: Column) -> Column:
+        return key.bitwiseAND(F.lit(63)).cast("int")
+
+    one = F.lit(1).cast("long")
+    words = gone.select(word(F.col("key_a")).alias(w), F.call_function("shiftleft", one, bit(F.col("key_a"))).alias("x")).groupBy(w).agg(F.bit_or("x").alias(m))
+    key_a, key_b = identity(*values)
+    keyed = docs.select("*", key_a.alias(a), key_b.alias(b))
+    marked = keyed.withColumn(w, word(F.col(a))).join(F.broadcast(words), w, "left")  # 2^18 rows at most
+    hit = F.coalesce(F.call_function("shiftright", F.col(m), bit(F.col(a))).bitwiseAND(one), F.lit(0).cast("long")) == 1
+    maybe = marked.where(hit).join(gone.select(F.col("key_a").alias(a), F.col("key_b").alias(b)), [a, b], "left_anti")
+    quoted = [F.col(f"`{c}`") for c in names]
+    return marked.where(~hit).select(*quoted).unionByName(maybe.select(*quoted))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _U = np.uint64
 
