@@ -1,55 +1,40 @@
 """Licence scans: sparse TF-IDF cosine against licence templates, then inheritance down directories.
 
-Units of a file are its lines and its paragraphs (runs between blank lines), over the whole text.  A
-unit's words (runs of a-z and 0-9 after lower-casing) are weighted ``tf * ln((N + 1) / (df + 1))``, with
-df the number of files that hold the word, counted over all N files; words of no template weigh like a
-word of no file.  A unit has the licence of the template with the highest cosine, if that is THRESHOLD
-or more; a file has that of its best unit (ties: the first licence by name).
+Units of a file are its whole text, its paragraphs (runs between lines without letters and digits), its
+lines and its sentences.  A unit's features are its words (runs of a-z and 0-9 after lower-casing) and its
+pairs of neighbouring words, which tell versions and variants apart.  A word weighs
+``tf * ln((N + 1) / (df + 1))``, with df the number of files that hold it, counted over all N files; words of
+no template weigh like a word of no file.  A pair of a template weighs like the rarer of its words, any
+other pair like a word of no file.  A unit has the licence of the template with the highest cosine, if that
+is THRESHOLD or more; a file has that of its best unit (ties: the first licence by name).  The column near
+names other licences whose score is within NEAR of it.
 
 Only files that hold a cue are cut into units.  Cues are the words of a template without which the rest
-of the template cannot reach the threshold (the squared weights of all other words stay below its
-square), so this filter loses nothing.
+of the template cannot reach the threshold (the squared weights of all else stay below its square), so
+this filter loses nothing.
 
 A file whose name says licence (LICENSE, LICENCE, COPYING, COPYRIGHT, NOTICE, UNLICENSE, any case and
 extension) gives its licence to its directory; a file without a licence of its own has that of the
 nearest directory above it (its own first) that has one.  Of several licence files in a directory the
 best scoring counts.
 
-Everything is DataFrame functions.  Defined cases: null texts hold nothing; a null path has no name and
-no directory; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+Everything is DataFrame functions and SQL.  Defined cases: null texts hold nothing; a null path has no name
+and no directory; repeated rows are judged each; an empty table gives no rows;
+other columns are given back, but for those that are called like one of the result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .license_texts import TEMPLATES
+from .scratch import identity, written
 
 THRESHOLD = 0.75
-
-#: Fixed texts: usual notices of public licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+NEAR = 0.02
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,53 +46,96 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(text, UPPER, LOWER), r"[^a-z0-9]+")
 
 
+def features(words: list[str]) -> list[str]:
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def features_of(text: Column) -> Column:
+    """Words and pairs of neighbouring words; blank for what precedes the first and follows the last."""
+    words = F.filter(words_of(text), lambda w: w != "")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def units_of(text: Column) -> Column:
+    """The whole text, its lines, paragraphs and sentences, each once."""
+    cuts = (r"\r\n|[\n\r]", r"(?:\r\n|[\n\r])[^\p{L}\p{N}\r\n]*(?:\r\n|[\n\r])", r"[.!?][ \t\r\n]+")
+    return F.array_distinct(F.concat(F.array(text), *[F.split(text, cut) for cut in cuts]))
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else f"{value}L" if isinstance(value, int) else f"{value!r}D"
+
+
+def _table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small table as SQL values; words are of a-z, 0-9 and spaces."""
+    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)} as t({names})")
+
+
+def weights_of(templates, idf: dict[str, float], threshold: float) -> tuple[set[str], list[tuple[int, str, str, float]]]:
+    """The cues, and (template, licence, feature, weight) with weights of length one."""
+    cues, weights = set(), []
+    for k, (name, text) in enumerate(templates):
+        fs = features(template_words(text))
+        weight = {f: fs.count(f) * max(idf[w] for w in f.split()) for f in fs}
+        norm = math.sqrt(sum(x * x for x in weight.values()))
+        unit = {f: x / norm for f, x in weight.items()}
+        left = {f: x * x for f, x in unit.items()}
+        while sum(left.values()) >= (threshold * 0.999) ** 2:  # without a word its pairs are missing too
+            gain: dict[str, float] = {}
+            for f, x in left.items():
+                for w in set(f.split()):
+                    gain[w] = gain.get(w, 0) + x
+            cue = min(gain, key=lambda w: (-gain[w], w))
+            cues.add(cue)
+            left = {f: x for f, x in left.items() if cue not in f.split()}
+        weights += [(k, name, f, x) for f, x in sorted(unit.items())]
+    return cues, weights
+
+
 def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, row, license, score, origin) of files (path, text, row): origin is own, inherited or none.
+    """(path, license, score, near, origin, *others) of files (path, text, *others): origin is own, inherited or none.
 
-    row is a number of the caller's that tells the rows apart.
+    others are the columns that files has beside path, text and those of the result; they are given back with each row.
     """
     spark = files.sparkSession
-    files = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("row").cast("long").alias("row"))
-    counted = [(name, text, template_words(text)) for name, text in templates]
-    terms = sorted({w for _, _, ws in counted for w in ws})
-    literal = F.array(*[F.lit(w) for w in terms])
-    held = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words_of(F.col("text")), literal))).alias("word"))
+    others = [c for c in files.columns if c not in ("path", "text", "license", "score", "near", "origin")]
+    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("carried")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    files = files.select(F.col("path").cast("string").alias("path"), carried, *identity(text), text.alias("text"))
+    terms = sorted({w for _, text in templates for w in template_words(text)})
+    literal = F.split(F.lit(" ".join(terms)), " ")
+    held = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(literal, words_of(F.col("text"))))).alias("word"))
     df = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row a template word
     n = df.pop("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in terms}
     most = math.log(n + 1) + 1e-3
-
-    cues, weights = set(), []
-    for k, (name, _, ws) in enumerate(counted):
-        weight = {w: ws.count(w) * idf[w] for w in ws}
-        norm = math.sqrt(sum(x * x for x in weight.values()))
-        unit = {w: x / norm for w, x in weight.items()}
-        rest = 1.0
-        for w in sorted(unit, key=lambda w: (-unit[w], w)):
-            if rest < (threshold * 0.999) ** 2:
-                break
-            cues.add(w)
-            rest -= unit[w] ** 2
-        weights += [(k, name, w, x) for w, x in sorted(unit.items())]
-    cue = F.array(*[F.lit(w) for w in sorted(cues)])
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(w).alias("word"), F.lit(x).alias("weight")) for k, name, w, x in weights])))
-    rates = F.create_map(*[F.lit(x) for w in terms for x in (w, idf[w])])
-
-    some = files.where(F.arrays_overlap(words_of(F.col("text")), cue)).select("row", "text")
-    units = F.array_distinct(F.concat(F.split("text", r"\r\n|[\n\r]"), F.split("text", r"(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])\s*")))
-    words = some.select("row", F.posexplode(units).alias("unit", "part")).select("row", "unit", words_of(F.col("part")).alias("words")).where(F.arrays_overlap("words", cue))
-    tf = words.select("row", "unit", F.explode("words").alias("word")).where("word <> ''").groupBy("row", "unit", "word").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("value", F.col("tf") * F.coalesce(F.element_at(rates, F.col("word")), F.lit(most)))
-    norms = tf.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = tf.join(F.broadcast(table), "word").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))  # the templates are a fixed list
-    close = dots.join(norms, ["row", "unit"]).select("row", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    own = written(close.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best")).select("row", F.col("best.license").alias("license"), (-F.col("best.less")).alias("score")), "own-licences")
+    cues, weights = weights_of(templates, idf, threshold)
+    cue = F.split(F.lit(" ".join(sorted(cues))), " ")
+    rates = {f: max(idf[w] for w in f.split()) for _, _, f, _ in weights}
+    rates = F.broadcast(_table(spark, sorted(rates.items()), "feature, rate"))  # the templates are a fixed list
+    table = F.broadcast(_table(spark, weights, "template, license, feature, weight"))
+
+    #: A file's own licence depends on its text only; copies of a text have one key, and counts that are a multiple have the same cosine.
+    key = ["key_a", "key_b"]
+    some = files.where(F.arrays_overlap(words_of(F.col("text")), cue)).select(*key, "text")
+    units = some.select(*key, F.posexplode(units_of(F.col("text"))).alias("unit", "part")).where(F.arrays_overlap(words_of(F.col("part")), cue))
+    tf = units.select(*key, "unit", F.explode(features_of(F.col("part"))).alias("feature")).groupBy(*key, "unit", "feature").agg(F.count("*").alias("tf"))
+    tf = tf.join(rates, "feature", "left").select(*key, "unit", "feature", (F.col("tf") * F.coalesce("rate", F.lit(most))).alias("value"))
+    norms = tf.groupBy(*key, "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    dots = tf.join(table, "feature").groupBy(*key, "unit", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    close = dots.join(norms, [*key, "unit"]).select(*key, "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    close = close.groupBy(*key, "license").agg(F.max("score").alias("score"))
+    by = close.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "license"))).alias("by"))  # the licences of the templates at most
+    top = F.col("by")[0]
+    near = F.filter("by", lambda x: (x["less"] <= F.round(top["less"] + NEAR, 6)) & (x["license"] != top["license"]))
+    own = written(by.select(*key, top["license"].alias("license"), (-top["less"]).alias("score"), F.array_join(F.sort_array(F.transform(near, lambda x: x["license"])), ",").alias("near")), "own-licences")
 
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
-    names = files.select("row", "path", folder.alias("dir"))
+    names = files.select(*key, "path", "carried", folder.alias("dir"))
     is_file = F.regexp_extract("path", r"[^/]*$", 0).rlike(r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice")
     given = (
-        names.where(is_file).join(own, "row").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
+        names.where(is_file).join(own, key).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("best"))
         .select(F.col("dir").alias("above"), F.col("best.license").alias("license"), (-F.col("best.less")).alias("score"))
     )
     given = written(given, "licence-directories")
@@ -119,8 +147,9 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
         .groupBy("dir").agg(F.max(F.struct("depth", "license", "score")).alias("from")).select("dir", F.col("from.license").alias("from_license"), F.col("from.score").alias("from_score"))
     )
     nearest = written(nearest, "nearest-licences")
-    out = names.join(own, "row", "left").join(nearest, "dir", "left")
+    out = names.join(own, key, "left").join(nearest, "dir", "left")
+    mine = F.col("license").isNotNull()
     return out.select(
-        "path", "row", F.coalesce("license", "from_license").alias("license"), F.when(F.col("license").isNotNull(), F.col("score")).otherwise(F.col("from_score")).alias("score"),
-        F.when(F.col("license").isNotNull(), "own").when(F.col("from_license").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        "path", F.coalesce("license", "from_license").alias("license"), F.when(mine, F.col("score")).otherwise(F.col("from_score")).alias("score"), F.when(mine, F.col("near")).alias("near"),
+        F.when(mine, "own").when(F.col("from_license").isNotNull(), "inherited").otherwise("none").alias("origin"), *[F.col("carried").getField(c).alias(c) for c in others],
     )
