@@ -8,35 +8,43 @@ slice downward: rows with the digit set win while they are k at most, else the s
 them.  Rows that are still equal after the last slice are the boundary; they have exactly equal scores
 and are taken by ascending vec_id.
 
-All queries meet all blocks: query blocks and index blocks are paired by key and each block returns k
-rows a query, of which the best k stay.  Block sizes are fixed, so a task's memory is bounded; the
-number of blocks grows with the table.
-
-Defined cases: vectors that are null, or hold null or non-finite components, or whose id is null take
-no part; vectors of another length than the query are no candidates of it; rows that repeat a vec_id
-are candidates of their own, except for queries of that id.  Other columns are ignored.
+Every block is built once and kept in a written table.  Queries go to the blocks in packs of PACK, one
+pack after the other, each a broadcast of fixed size; a task takes its blocks one by one and keeps k rows
+a query.  With few blocks each is read by several tasks, which share the pack.  All queries meet all
+blocks, as exact search has to, so the work grows with rows times queries.
+
+Defined cases: vectors that are null or empty, or hold null or non-finite components, or whose id is null
+take no part; nor do those with components so large that an inner product could leave 64 bits
+(``dim * x * x >= 2^62``); vectors of another length than the query are no candidates of it; rows that repeat
+a vec_id are candidates of their own, except for queries of that id; rows that repeat a query's id and vector
+are one query, other vectors under its id are queries with ranks of their own.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import dropped, written
 
-BLOCK = 1 << 14
-QUERY_BLOCK = 256
+BLOCK = 1 << 16
+PACK = 1 << 13
 
 
 def quantised(rows: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, x array<bigint>) of the rows that take part."""
+    """(vec_id, x array<bigint>, dim) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    ok = F.col("vec_id").isNotNull() & x.isNotNull()
-    ok &= F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return rows.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    dim = F.size("embedding")
+    most = F.sqrt(F.lit(2.0**62) / dim)
+    ok = F.col("vec_id").isNotNull() & x.isNotNull() & (dim > 0)
+    ok &= F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) + 1 < most))
+    return rows.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("x"), dim.alias("dim"))
 
 
 class BitSlices:
@@ -141,46 +149,72 @@ def _add(into: list[np.ndarray], slices: list[np.ndarray], shift: int) -> None:
         at += 1
 
 
+def _matrix(column) -> np.ndarray:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+    return np.asarray(x.flatten()).reshape(len(x), -1)
+
+
+def _build(table: pa.Table) -> pa.Table:
+    index = BitSlices(table["vec_id"].to_numpy(), _matrix(table["x"]))
+    return pa.table({"block": table["block"].slice(0, 1), "index": pa.array([pickle.dumps(index, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+
+
+class Best:
+    """The k best (score, vec_id) of each query so far: descending scores, then ascending ids."""
+
+    def __init__(self, k: int):
+        self.k, self.of = k, {}
+
+    def add(self, query: int, hits: list[tuple[int, int]]) -> None:
+        self.of[query] = sorted(self.of.get(query, []) + [(-score, vec) for vec, score in hits])[: self.k]
+
+
+def _asked(index: DataFrame, queries: list[tuple[int, int, list[int]]], k: int, splits: int) -> DataFrame:
+    """(query, query_id, vec_id, score): the best rows of the index's blocks for the queries (query, vec_id, x), k for each task."""
+    shared = index.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        best, ids = Best(k), {}
+        for batch in batches:
+            for split, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = pickle.loads(blob.as_buffer())
+                for query, own, x in shared.value[split::splits]:
+                    ids[query] = own
+                    best.add(query, block.top(x, k, own))
+        out = [(query, ids[query], vec, -less) for query, hits in best.of.items() for less, vec in hits]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[]] * 4)], names=["query", "query_id", "vec_id", "score"])
+
+    n = index.count()
+    spread = index.select(F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "index").repartition(min(n * splits, 1 << 16))
+    out = written(spread.mapInArrow(run, "query long, query_id long, vec_id long, score long"), "best")
+    shared.unpersist()
+    return out
+
+
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by every, its k best others."""
-    data = written(quantised(rows, scale).withColumn("dim", F.size("x")).where("dim > 0"), "vectors")
+    spark = rows.sparkSession
+    data = written(quantised(rows, scale), "vectors")
     sizes = {r["dim"]: r["rows"] for r in data.groupBy("dim").agg(F.count("*").alias("rows")).collect()}  # a row for each length of vectors
-    parts = []
+    parts, base = [], 0
     for dim, n in sorted(sizes.items()):
-        blocks = -(-n // BLOCK)
         of = data.where(F.col("dim") == dim)
-        base = of.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
-        queries = of.where(F.pmod("vec_id", F.lit(every)) == 0)
-        packs = max(1, -(-n // (QUERY_BLOCK * every)))
-        asked = queries.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int").alias("pack"))
-        asked = asked.select("vec_id", "x", "pack", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        given = base.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), "block")
-        parts.append(asked.withColumn("asked", F.lit(True)).unionByName(given.withColumn("asked", F.lit(False))).groupBy("block", "pack").applyInArrow(_searcher(k), "query_id long, vec_id long, score long"))
+        blocks = -(-n // BLOCK)
+        dealt = of.select("vec_id", "x", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+        index = written(dealt.groupBy("block").applyInArrow(_build, "block long, index binary").select("index"), "slices")
+        splits = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
+        queries = of.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "x").distinct()
+        queries = written(queries.withColumn("pack", F.pmod(F.xxhash64("vec_id", "x"), F.lit(-(-n // (every * PACK))))), "queries")
+        for pack in sorted(r["pack"] for r in queries.select("pack").distinct().collect()):  # a number for each pack
+            held = queries.where(F.col("pack") == pack).select("vec_id", "x").toArrow()  # about PACK rows
+            asked = list(zip(range(base, base + len(held)), held["vec_id"].to_pylist(), held["x"].to_pylist(), strict=True))
+            base += len(held)
+            parts.append(_asked(index, asked, k, splits))
+        dropped(index, queries)
+    dropped(data)
     if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    found = reduce(DataFrame.union, parts)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _searcher(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        asked = table["asked"].to_numpy(zero_copy_only=False)
-        ids = table["vec_id"].to_numpy()
-        x = table["x"].combine_chunks()
-        x = np.asarray(x.flatten() if not isinstance(x, pa.ChunkedArray) else pa.concat_arrays(x.chunks).flatten()).reshape(len(ids), -1)
-        out = []
-        if asked.any() and not asked.all():
-            index = BitSlices(ids[~asked], x[~asked])
-            seen = {}
-            for own, q in zip(ids[asked].tolist(), x[asked].tolist(), strict=True):
-                key = (own, *q)
-                if key not in seen:
-                    seen[key] = index.top(q, k, own)
-                    out += [(own, *hit) for hit in seen[key]]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    return run
