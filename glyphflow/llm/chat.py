@@ -31,7 +31,8 @@ _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"\[(INST|ASST)\] ((?:[^\\\n]++|\\.)*+)\n((?:[^\\\[<]++|\\.|\[(?!/INST\])|<(?!/s>))*+)(?:\[/INST\]|</s>)", re.S)
 
-ROWS = 256
+#: Examples leave a task in batches of about so many characters, one example at least.
+BATCH_CHARS = 1 << 22
 
 
 def escape(text: str) -> str:
@@ -68,7 +69,7 @@ def examples(turns: DataFrame) -> DataFrame:
 
     def run(batches):
         conv, context, waiting, count, out = object(), [], False, 0, []
-        size = 0
+        size, filled = 0, 0
 
         def rest():
             return [{"conv_id": conv, "example": count, "formatted": "".join(context), "loss_start": size, "loss_end": size}] if waiting else []
@@ -76,7 +77,8 @@ def examples(turns: DataFrame) -> DataFrame:
         for batch in batches:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if c != conv:
-                    out += rest()
+                    out += (last := rest())
+                    filled += size if last else 0
                     conv, context, waiting, count, size = c, [], False, 0, 0
                 formatted, a, b = turn(role, text)
                 context.append(formatted)
@@ -84,10 +86,11 @@ def examples(turns: DataFrame) -> DataFrame:
                 if not waiting:
                     out.append({"conv_id": c, "example": count, "formatted": "".join(context), "loss_start": size + a, "loss_end": size + b})
                     count += 1
+                    filled += size + len(formatted)
                 size += len(formatted)
-                if len(out) >= ROWS or size > 1 << 22:
+                if filled > BATCH_CHARS:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
-                    out = []
+                    out, filled = [], 0
         yield pa.RecordBatch.from_pylist(out + rest(), schema=kind)
 
     rows = turns.select(
