@@ -15,6 +15,9 @@ Counts of words are one table for all documents.  Documents get them through HOT
 executors (the most frequent, a fixed number) and a join for all other words, where each batch sends a
 word once with its list of documents.
 
+A word of more than LONG characters has a lattice of its own that is gone through character by character,
+in time in proportion to its length (about 5 s for a million characters).
+
 Defined cases: null and blank texts have the end token only; a null doc_id counts as the empty string in
 the fold rule (crc32 0: a training document); repeated rows are scored, and count, each; an empty table
 gives no rows; other columns are ignored.
@@ -22,6 +25,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +42,9 @@ PRIOR = 1000.0
 HOT = 1 << 16
 START = "▁"
 CELLS = 1 << 18
+#: Longer words are taken one by one, in time and memory in proportion to their length.
+LONG = 1 << 11
+LONG_STEP = 1 << 16
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,12 +107,75 @@ class Pieces:
                     alone.append((i, rest, chars[i][rest]))
         return edges, alone
 
+    def _long_edges(self, chars: np.ndarray):
+        """(from, to, log weight, piece id) by from of one word; characters without a piece have the id -1 and their bytes' weights."""
+        length = len(chars)
+        h = np.zeros(length, np.uint64)
+        found = [[], [], []]
+        known = np.zeros(length, bool)
+        for k in range(1, min(self.longest, length) + 1):
+            h = (h[: length - k + 1] + chars[k - 1 :] + np.uint64(1)) * _K
+            m = mix(h)
+            at = np.flatnonzero(self.maybe[(m >> np.uint64(42)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.keys, m[at]), len(self.keys) - 1)
+            ok = self.keys[place] == m[at]
+            if k == 1:
+                known[at[ok]] = True
+            for x, v in zip(found, (at[ok], at[ok] + k, self.ids[place[ok]]), strict=True):
+                x.append(v)
+        alone = np.flatnonzero(~known)
+        code, of = np.unique(chars[alone], return_inverse=True)
+        weight = np.array([sum(self.log[self.bytes[b]] for b in chr(int(c)).encode("utf-8", "surrogatepass")) for c in code])
+        start, end, ids = (np.concatenate(x) for x in found)
+        start, end = np.concatenate([start, alone]), np.concatenate([end, alone + 1])
+        log = np.concatenate([self.log[ids], weight[of] if len(alone) else np.zeros(0)])
+        ids = np.concatenate([ids, np.full(len(alone), -1)])
+        order = np.lexsort((end, start))
+        return start[order], end[order], log[order], ids[order]
+
+    def _run_long(self, word: str, count: float | None, expected: np.ndarray | None) -> float:
+        """run() for one long word."""
+        chars = np.frombuffer((START + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        start, end, log, ids = self._long_edges(chars)
+
+        def add(x: float, y: float) -> float:
+            if x < y:
+                x, y = y, x
+            return x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+
+        a = [-math.inf] * (len(chars) + 1)
+        a[0] = 0.0
+        for at in range(0, len(start), LONG_STEP):
+            part = slice(at, at + LONG_STEP)
+            for i, j, w in zip(start[part].tolist(), end[part].tolist(), log[part].tolist(), strict=True):
+                a[j] = add(a[j], a[i] + w)
+        if expected is not None and count:
+            b = [-math.inf] * len(a)
+            b[-1] = math.log(count) - a[-1]
+            for at in range(len(start), 0, -LONG_STEP):
+                part = slice(max(0, at - LONG_STEP), at)
+                shares = []
+                for i, j, w in zip(start[part].tolist()[::-1], end[part].tolist()[::-1], log[part].tolist()[::-1], strict=True):
+                    ahead = b[j] + w
+                    shares.append(math.exp(min(0.0, a[i] + ahead - math.log(count))) * count)
+                    b[i] = add(b[i], ahead)
+                share, which = np.array(shares[::-1]), ids[part]
+                expected += np.bincount(which[which >= 0], weights=share[which >= 0], minlength=len(expected))
+                for c, x in zip(chars[start[part][which < 0]].tolist(), share[which < 0].tolist(), strict=True):
+                    for y in chr(c).encode("utf-8", "surrogatepass"):
+                        expected[self.bytes[y]] += x
+        return a[-1]
+
     def run(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log marginals of words; with counts also the expected number of each piece."""
         out = np.zeros(len(words))
         expected = np.zeros(len(self.log)) if counts is not None else None
         sizes = np.array([len(w) + 1 for w in words])
         order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], LONG, "right"))
+        for i in order[short:].tolist():
+            out[i] = self._run_long(words[i], None if counts is None else float(counts[i]), expected)
+        order = order[:short]
         begin = 0
         while begin < len(order):
             size = int(sizes[order[begin]])
