@@ -7,18 +7,20 @@ than the stage that runs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import decontaminate, ngram_join, packing, quality
-from glyphflow.llm.queries import bad_labels
+from glyphflow.llm.queries import TOKENIZER, bad_labels, document_sites
 from glyphflow.llm.scratch import written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     labels = bad_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.kept(docs, labels, F.col("source"), F.col("lang"))
+    sites = document_sites(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return quality.kept(docs, labels, F.col("source"), F.col("lang"), sites)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents in training sequences."""
-    return packing.packed(docs)
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

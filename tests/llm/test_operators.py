@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from glyphflow.llm import bit_sliced, chat, decontaminate, lattice_lm, license_scan, ngram_join, packing, quality, token_bins, url_rules
+from glyphflow.llm import bit_sliced, chat, decontaminate, lattice_lm, license_scan, license_texts, ngram_join, packing, quality, token_bins, url_rules
 from glyphflow.llm.components import components
 from glyphflow.llm.wordhash import shingle_hashes, word_hashes
 from pyspark.sql import functions as F
@@ -82,20 +82,12 @@ def brute_groups(rows, n, num, den):
     return {(i, len(s), find(i)) for i, s in sets} | {(None, len(shingles(t, n)), None) for i, t in rows if i is None}
 
 
-@pytest.mark.parametrize(("n", "num", "blocks"), [(3, 90, 128), (5, 80, 128), (3, 60, 2), (2, 80, 3)])
-def test_ngram_groups(spark, monkeypatch, n, num, blocks):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", blocks)
-    monkeypatch.setattr(ngram_join, "REPEATED_BITS", 1 << 12)
-    rows = corpus(n + blocks, 40) + ODD + [(0, corpus(n + blocks, 40)[0][1]), (3, "w5 w6 w7 w8 other text")]
-    got = {tuple(r) for r in ngram_join.ngram_groups(table(spark, rows), n, num, 100).collect()}
-    assert got == brute_groups(rows, n, num, 100)
-
-
-@pytest.mark.parametrize(("n", "num", "blocks"), [(3, 90, 512), (3, 60, 2), (2, 80, 3), (5, 80, 7)])
+@pytest.mark.parametrize(("n", "num", "blocks"), [(3, 90, 512), (3, 60, 2), (2, 80, 3)])
 def test_ngram_links(spark, monkeypatch, n, num, blocks):
     monkeypatch.setattr(ngram_join, "PAIR_ROWS", blocks)
     monkeypatch.setattr(ngram_join, "PAIR_CELLS", 64)
-    monkeypatch.setattr(ngram_join, "REPEATED_BITS", 1 << 12)
+    monkeypatch.setattr(ngram_join, "MOST_FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(ngram_join, "LEAST_FILTER_BITS", 1 << 10)
     base = [f"v{i}" for i in range(80)]
     near = [(2000 + i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(12)]  # one group, not one text
     rows = corpus(n + blocks, 40) + ODD + near + [(0, corpus(n + blocks, 40)[0][1]), (3, "w5 w6 w7 w8 other text"), (2003, ""), (None, near[0][1])]
@@ -111,21 +103,76 @@ def test_ngram_links(spark, monkeypatch, n, num, blocks):
         assert {c for i, _, _, c in got if i == 2005} == {11}
 
 
-def test_distinct_documents(spark):
-    rows = corpus(5, 30) + [(0, corpus(5, 30)[0][1]), (None, "w1 w2"), (500, None)]
-    docs = table(spark, rows).withColumn("component_id", F.lit("clash")).withColumn("n", F.lit(1))
-    out = ngram_join.distinct_documents(docs)
+def brute_distinct(rows, n, num, den):
+    """The ids that stay, in any order: one of each group of linked texts, and all blank texts."""
+    sets = [shingles(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            root[find(b)] = find(a)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(find(k), []).append(i)
+    return [min(g, key=lambda i: (i is None, i or 0)) for g in groups.values()]
+
+
+@pytest.mark.parametrize(("n", "num", "blocks"), [(5, 80, 256), (3, 60, 2)])
+def test_distinct_documents(spark, monkeypatch, n, num, blocks):
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", blocks)
+    base = [f"v{i}" for i in range(80)]
+    near = [(2000 + i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(12)]
+    first = corpus(5, 30)
+    rows = first + near + ODD + [first[0], first[0], (0, "other words under an id that is taken"), (None, near[3][1]), (None, "alone without an id"), (None, "alone without an id"), (500, None)]
+    docs = table(spark, rows).withColumnsRenamed({"source": "component", "n_chars": "key_a"}).withColumns({"stays": F.lit(1), "a.b": F.lit("x")})
+    out = ngram_join.distinct_documents(docs, n, num, 100)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == sorted({c if c is not None else -1 for _, _, c in brute_groups(rows, 5, 80, 100)})
+    got = out.collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(brute_distinct(rows, n, num, 100), key=str)
+    assert {r.key_a for r in got if r.doc_id == 1006} == {300000}
+
+
+@pytest.mark.parametrize("connect", [False, True])
+def test_chains_of_texts_that_share_little(spark, monkeypatch, connect):
+    """A large family whose texts share a shingle with the next only is split by shingle; no link is lost."""
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 4)
+    rows = [(i, " ".join(f"w{3 * i + k}" for k in range(6))) for i in range(12)] + [(100 + i, " ".join(f"w{3 * i + k}" for k in range(5))) for i in range(0, 12, 5)]
+    if connect:
+        assert sorted(r.doc_id for r in ngram_join.distinct_documents(table(spark, rows), 1, 30, 100).collect()) == sorted(brute_distinct(rows, 1, 30, 100)) == [0]
+        return
+    sets = dict((i, shingles(t, 1)) for i, t in rows)
+    want = {i: sum(j != i and 100 * len(x & y) >= 30 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    assert {r.doc_id: r.n_links for r in ngram_join.ngram_links(table(spark, rows), 1, 30, 100).collect()} == want
+
+
+def test_prefix_tree():
+    r = random.Random(8)
+    for _ in range(40):
+        values = r.choice([5, 30])
+        sets = [np.array(sorted(r.sample(range(values), r.randint(0, min(values, 12)))), np.int64) for _ in range(r.randint(1, 25))]
+        size = np.array([len(s) + r.randint(0, 3) for s in sets])
+        label = np.array([r.randrange(6) for _ in sets])
+        tree = ngram_join.PrefixTree(sets, size, label)
+        num = r.choice([30, 60, 90])
+        p, k = tree.search(sets, size, label, values, num, 100)
+        p, k = p[label[p] != label[k]], k[label[p] != label[k]]  # it leaves out whole subtrees only
+        both = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+        want = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if label[i] != label[j] and both[i][j] * (100 + num) >= num * (size[i] + size[j])}
+        assert set(zip(p.tolist(), k.tolist(), strict=True)) == want and len(p) == len(want)
 
 
 def test_empty_tables(spark):
     none = table(spark, [])
     labels = spark.createDataFrame([], "doc_id long, bad boolean")
-    assert ngram_join.ngram_groups(none).count() == 0
+    assert ngram_join.ngram_links(none).count() == 0
     assert ngram_join.distinct_documents(none).count() == 0
     assert decontaminate.contained_items(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
-    assert packing.packed(none).count() == 0
+    assert packing.packed(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert quality.judged(none, labels, F.col("source"), F.col("lang")).count() == 0
     assert quality.kept(none, labels, F.col("source"), F.col("lang")).count() == 0
     assert token_bins.read_store(token_bins.write_store(none, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
@@ -156,16 +203,18 @@ def test_components(spark):
 def test_contained_items(spark):
     rows = corpus(9, 40) + ODD
     r = random.Random(4)
-    items = [(i, " ".join(words(r.choice(rows[:40])[1])[: r.choice([1, 3, 4, 5, 12, 40])])) for i in range(40)] + [(99, None), (None, "w1"), (98, "")]
+    items = [(i, " ".join(words(r.choice(rows[:40])[1])[: r.choice([1, 3, 4, 5, 12, 40])])) for i in range(40)] + [(99, None), (None, "One"), (98, ""), (97, "W1 w2 w3")]
     got = {tuple(x) for x in decontaminate.contained_items(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for (d, t), (i, q) in itertools.product(rows, items):
         a, b = shingles(t, 5), shingles(q, 5)
-        if d is not None and i is not None and b and 100 * len(a & b) >= 80 * len(b):
+        if b and 100 * len(a & b) >= 80 * len(b):
             want.add((d, i, len(b), len(a & b)))
-    assert got == want
-    kept = {x.doc_id for x in decontaminate.clean_documents(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert kept == {d for d, _ in rows} - {d for d, *_ in want}
+    assert got == want and {(None, 97, 1, 1), (1003, None, 1, 1)} <= want
+    docs = table(spark, rows).withColumns({"key_a": F.lit(1), "item_id": F.lit("x"), "a.b": F.lit(2)})
+    kept = decontaminate.clean_documents(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted((x.text or "") for x in kept.collect()) == sorted((t or "") for d, t in rows if d not in {d for d, *_ in want})
 
 
 def test_short_items_in_long_documents(spark):
@@ -185,15 +234,29 @@ def test_contained_items_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contained_items(table(spark, rows), items).collect())) == whole
 
 
-def test_token_store(spark):
+@pytest.mark.parametrize("local", [True, False])
+def test_token_store(spark, monkeypatch, local):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_bins, "RANGE_DOCS", 7)
+    monkeypatch.setattr(token_bins, "READ_IDS", 50)
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    rows = [(i, x) for i, x in corpus(2, 30) + ODD if i is not None] + [(7, "It's <|endoftext|> a\u00a0b!! 's Ünï\u0301 Σας ΣΑΣ x<|startoftext|>y"), (8, "e\u0301 \u0301x 12 3"), (7, "again")]
-    got = [tuple(r) for r in token_bins.read_store(token_bins.write_store(table(spark, rows), path, 2, parts=3)).collect()]
+    rows = corpus(2, 30) + ODD + [(7, "It's <|endoftext|> a\u00a0b!! 's Ünï\u0301 Σας ΣΑΣ x<|startoftext|>y"), (8, "e\u0301 \u0301x 12 3"), (7, "again"), (None, "z"), (-5, "z")]
+    docs = table(spark, rows).withColumns({"part": F.lit(1), "name": F.lit("x"), "a.b": F.lit(0)})
+    manifest = token_bins.write_store(docs, path, 2, parts=3)
+    if not local:  # read by offsets, as from a store that can't be mapped
+        init = token_bins.Reader.__init__
+
+        class Remote(token_bins.Reader):
+            def __init__(self, *a):
+                init(self, *a)
+                self.local = False
+
+        monkeypatch.setattr(token_bins, "Reader", Remote)
+    got = [tuple(r) for r in token_bins.read_store(manifest).collect()]
     got.sort(key=lambda r: r[1])
-    assert [r[0] for r in got] == sorted(i for i, _ in rows)
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     ids = {}
     for i, x in rows:
         ids.setdefault(i, []).append([*t.encode(x or "", add_special_tokens=False).ids, 2])
@@ -202,24 +265,42 @@ def test_token_store(spark):
         assert at == start
         assert (n, crc) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids[d]]
         start += n
+    lengths = sorted(((r.doc_id, r.length) for r in token_bins.token_lengths(docs, path).collect()), key=str)
+    assert lengths == sorted(((i, len(x)) for i, xs in ids.items() for x in xs), key=str)
+
+
+def brute_top(rows, every, k, scale=256):
+    ok = []
+    for i, v in rows:
+        if i is None or not v or not all(x is not None and math.isfinite(x) for x in v):
+            continue
+        q = tuple(math.floor(scale * float(np.float32(x))) for x in v)
+        if max(map(abs, q)) < 2**29:
+            ok.append((i, q))
+    want = []
+    for i, q in set((i, q) for i, q in ok if i % every == 0):
+        best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ok if j != i and len(x) == len(q))[:k]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(want)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("block", "pack"), [(1 << 16, 1 << 13), (64, 2)])
+def test_top_k(spark, monkeypatch, block, pack):
+    monkeypatch.setattr(bit_sliced, "BLOCK", block)
+    monkeypatch.setattr(bit_sliced, "PACK", pack)
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
-    rows += [(i, rows[100][1]) for i in range(300, 330)]
+    rows += [(i, rows[100][1]) for i in range(300, 330)] + [rows[150], rows[150]]
     rows += [(400, None), (401, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (402, [float("nan")] * 6), (450, [float("inf")] + [0.0] * 5), (None, [0.5] * 6), (500, [0.25] * 6), (50, [0.75] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = sorted(map(tuple, bit_sliced.top_k(df).collect()))
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    want = []
-    for i, q in ok:
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ok if j != i)[:5]
-            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    single = [x for x in want if x[0] != 50]
-    assert [x for x in got if x[0] != 50] == sorted(single)
-    assert len([x for x in got if x[0] == 50]) == 5
+    rows += [(550, []), (600, [1.0, 2.0]), (601, [1.0, 2.0]), (602, [0.5, -2.0]), (650, [1e30, 0.0]), (700, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "dim": F.lit("x"), "query": F.lit(0)})
+    assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == brute_top(rows, 50, 5)
+
+
+@pytest.mark.parametrize("rows", [[(0, [1.0, 0.5])], [(0, [0.5, 0.25]), (1, [0.5, 0.75])], [(0, [0.0, 0.0]), (50, [0.0, 0.0])], [(i, [1.0, -0.5]) for i in range(101)]])
+def test_top_k_of_few_and_of_equal_rows(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == brute_top(rows, 50, 5)
 
 
 def test_bit_slices_of_any_sign():
@@ -240,14 +321,13 @@ def test_bit_slices_of_constant_attributes(rows):
         assert sorted(bit_sliced.BitSlices(np.arange(len(x)), x).top(q, 2, -1), key=lambda t: (-t[1], t[0])) == [(i, -s) for s, i in best]
 
 
-def test_packing(spark):
-    rows = corpus(7, 50) + ODD
-    out = packing.packed(table(spark, rows), (16, 64, 128), 8).collect()
-    want = sorted(((d if d is not None else -1), len(words(t)) + 1) for d, t in rows)
+def check_places(out, want, sizes):
+    """Every document's pieces cover it, every sequence is filled from its start, in the smallest size that holds it."""
     got, bins = {}, {}
     for p in out:
         bins.setdefault((p.bin_id, p.bin_used, p.bin_capacity), []).append((p.bin_place, p.piece_length))
         got.setdefault(p.doc_id if p.doc_id is not None else -1, []).append((p.piece_start, p.piece_length))
+    assert {d for d, _ in want} == set(got)
     for d, n in want:
         at = 0
         for start, size in sorted(got[d]):
@@ -260,15 +340,66 @@ def test_packing(spark):
         for place, size in sorted(pieces):
             assert place == at
             at += size
-        assert at == used <= capacity and capacity in (16, 64, 128) and all(c >= capacity or c < used for c in (16, 64, 128))
+        assert at == used <= capacity and capacity in sizes and all(c >= capacity or c < used for c in sizes)
 
 
-def test_shard_cost_is_no_worse_than_one_size():
-    r = np.random.default_rng(1)
-    lengths = r.integers(1, 120, 300)
-    *_, final = packing.pack_shard(lengths, [32, 64, 128], 10)
-    _, _, used = packing.best_fit(lengths, [128], 128)
-    assert final.sum() + 10 * len(final) <= 128 * len(used) + 10 * len(used)
+def test_packing(spark):
+    rows = corpus(7, 50) + ODD
+    docs = table(spark, rows).withColumns({"length": F.lit("x"), "row": F.lit(1), "shard": F.lit(2), "a.b": F.lit(3)})
+    want = sorted(((d if d is not None else -1), len(words(t)) + 1) for d, t in rows)
+    count = F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")) + 1
+    check_places(packing.packed(docs, None, (16, 64, 128), 8, 256, length=count).collect(), want, (16, 64, 128))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths = {(r.doc_id if r.doc_id is not None else -1): r.length for r in token_bins.token_lengths(docs, path).collect()}
+    out = packing.packed(docs, path).collect()
+    check_places(out, sorted(lengths.items()), (512, 1024, 2048, 4096))
+
+
+def test_trial_fill_against_a_plain_loop():
+    r = random.Random(3)
+    for _ in range(200):
+        ascending = sorted(r.randint(1, 40) for _ in range(r.randint(0, 30)))
+        sums = [0, *itertools.accumulate(ascending)]
+        upto, room = r.randint(0, len(ascending)), r.randint(0, 200)
+        left, filled = room, 0
+        for x in reversed(ascending[:upto]):
+            if x <= left:
+                left, filled = left - x, filled + x
+        assert packing.trial_fill(ascending, sums, upto, room) == filled
+
+
+def test_best_fit_against_a_plain_version():
+    """The same rule without an ordered list of rooms; then its cost against single sizes, and the sizes in use."""
+    r, sizes, overhead, quadratic = np.random.default_rng(1), [512, 1024, 2048, 4096], 64, 16384
+    costs = {c: packing.cost(c, overhead, quadratic) for c in sizes}
+    for k in range(12):
+        lengths = np.minimum(4095, (np.exp(r.normal(5.5 + k / 8, 1.2, 300)) + 1).astype(int))
+        bins, places, used = packing.best_fit(lengths, sizes, None, overhead, quadratic)
+        rooms, content, waiting = [], [], sorted(lengths.tolist(), reverse=True)
+        for at, i in enumerate(np.argsort(-lengths, kind="stable")):
+            size = int(lengths[i])
+            fits = [(rooms[b], b) for b in range(len(rooms)) if rooms[b] >= size]
+            if not fits:
+                rates = []
+                for c in (c for c in sizes if c >= size):
+                    held = size
+                    for x in waiting[at + 1 :]:
+                        held += x if held + x <= c else 0
+                    rates.append((costs[min(z for z in sizes if z >= held)] / held, -c))
+                rooms.append(-min(rates)[1])
+                content.append(0)
+                fits = [(rooms[-1], len(rooms) - 1)]
+            b = min(fits)[1]
+            assert (bins[i], places[i]) == (b, content[b])
+            content[b] += size
+            rooms[b] -= size
+        assert used.tolist() == content
+        *_, final = packing.pack_shard(lengths, sizes, overhead, quadratic)
+        spent = sum(costs[c] for c in final.tolist())
+        for only in sizes:
+            _, _, one = packing.best_fit(lengths, sizes, only)
+            assert spent <= sum(costs[min(z for z in sizes if z >= u)] for u in one.tolist())
+        assert len(set(final.tolist())) >= 2
 
 
 CONTROL = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<s>", "</s", "[/INST", "a\nb", "", "[ASST] assistant\nx</s>", "<", "[", "\\[/INST]</s>\\"]
@@ -296,6 +427,16 @@ def test_chat(spark):
         chat.parse(x.formatted)
 
 
+def test_long_conversations_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BATCH_CHARS", 1000)
+    said = "é[INST]\\" * 20000
+    rows = [(1, t, "assistant" if t % 2 else "user", said if t == 2 else "x" * 50) for t in range(41)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    x = chat.digest(chat.examples(df)).collect()[0]
+    assert (x.n_turns, x.n_examples, x.loss_chars) == (41, 21, 20 * 50)
+    assert x.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
 def test_escape_round_trip():
     r = random.Random(8)
     for _ in range(500):
@@ -331,6 +472,18 @@ def test_lattice():
     assert spelt == pytest.approx(known)  # expected pieces spell each known character once
 
 
+def test_long_words_have_the_same_lattice(monkeypatch):
+    p = lattice_lm.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    some = ["thereabouts" * 12, "😀x\ue000" * 30, "q" * 90, "the", "ünïcode" * 9]
+    counts = np.array([1.0, 2, 1, 4, 3])
+    log, expected = p.run(some, counts)
+    monkeypatch.setattr(lattice_lm, "LONG", 8)
+    monkeypatch.setattr(lattice_lm, "LONG_STEP", 17)
+    log_long, expected_long = p.run(some, counts)
+    assert log_long == pytest.approx(log, rel=1e-9) and expected_long == pytest.approx(expected, rel=1e-6, abs=1e-12)
+    assert p.run(some)[0] == pytest.approx(log, rel=1e-9)
+
+
 def test_lattice_lm(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "HOT", 20)
     rows = corpus(11, 60) + ODD
@@ -350,6 +503,21 @@ def test_lattice_lm(spark, monkeypatch):
         assert x.n_known == sum(v in count for v in w)
         assert x.base_score == pytest.approx(sum(math.log10((count.get(v, 0) + 1) / (total + kinds + 1)) for v in w))
         assert x.score < 0
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i)}
+    p, known = lattice_lm.Pieces(path), [w for w in count if w is not None]
+    for _ in range(lattice_lm.ROUNDS):
+        expected = p.run(known, np.array([float(count[w]) for w in known]))[1]
+        p.weigh(expected)
+    ends = (count[None] + 1) / (count[None] + expected.sum() + 2)
+    log = p.log + math.log1p(-ends)
+    for x in got:
+        if len(text[x.doc_id] or "") < 2000:
+            want = math.log(ends) + sum(brute_marginal("▁" + w, log, plain) for w in words(text[x.doc_id]))
+            assert x.score == pytest.approx(want / math.log(10), rel=1e-6)
     held = [x for x in got if x.held_out and x.doc_id < 1000]
     assert sum(x.score for x in held) > sum(-3.2 * (len(text[x.doc_id]) + 1) for x in held)
 
@@ -381,7 +549,7 @@ def test_mined_rules_against_all_combinations(spark):
     r = random.Random(3)
     rows = [(f"http://{r.choice('abc')}.{r.choice('xyz')}.org/{r.choice(['p', 'q'])}", r.random() < 0.3) for _ in range(150)]
     rows += [("http://a.x.org/p", True)] * 30
-    got = {(tuple(x.antecedent), round(x.confidence, 9)) for x in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 0.5, 1).collect()}
+    got = {(tuple(x.antecedent), round(x.confidence, 9)) for x in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 0.5, 1)[0].collect()}
     sets = [({f"host={h}" for h in u.split("/")[2].split(".")} | {f"path={u.split('/')[3]}"}, b) for u, b in rows]
     found = {}
     for k in range(1, 5):
@@ -393,6 +561,17 @@ def test_mined_rules_against_all_combinations(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_tokens_that_always_come_together(spark, monkeypatch, limit):
+    """Forty tokens of one set of URLs would have 2^40 combinations; each of them still blocks."""
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
+    many = "/".join("bad" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(40))
+    labelled = spark.createDataFrame([(f"http://h.org/{many}/{i}", True) for i in range(20)] + [(f"http://h.org/good/{i}", False) for i in range(60)], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://h.org/badac/x"), (2, "http://h.org/good/x"), (3, "http://other.net/badbn?y=1"), (4, "http://h.org/"), (5, None)], "page_id long, url string")
+    got = {x.page_id: x.verdict for x in url_rules.judged(pages, labelled, []).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_license_scan(spark):
     files = [
         ("a/LICENSE", "MIT\n\nReleased under the MIT License.\n"), ("a/b/c/x.py", "print()"), ("a/b/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
@@ -400,31 +579,86 @@ def test_license_scan(spark):
         ("w/LICENSE", "nothing known"), ("w/v.py", "x"), ("deep/" * 40 + "f", "word " * 5000), ("a/late.py", "text\n" * 3000 + "Released under the MIT License."),
     ]
     rows = [(p, t, i) for i, (p, t) in enumerate(files)]
-    got = {x.row: (x.license, x.origin) for x in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string, row long").withColumn("license", F.lit(0))).collect()}
+    got = {x.row: (x.license, x.origin) for x in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string, row long").withColumns({"license": F.lit(0), "a.b": F.lit(1), "key_a": F.lit("x")})).collect()}
     want = ["MIT own", "GPL-3.0 inherited", "GPL-3.0 own", "Apache-2.0 own", "None none", "None none", "CC-BY-NC-4.0 own", "GPL-3.0 inherited", "None none", "None none", "None none", "MIT own"]
     assert [" ".join(map(str, got[i])) for i in range(len(rows))] == want
 
 
+#: Notices as they stand in files: the licence that each should have.
+REAL_NOTICES = [
+    ("GPL-2.0", "/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n */\nint main;"),
+    ("GPL-3.0", "# Copyright (C) 2019 Jane Doe\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of"),
+    ("AGPL-3.0", "# This program is free software: you can redistribute it and/or modify it under the terms of the\n# GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n"),
+    ("LGPL-2.1", "   This library is free software; you can redistribute it and/or\n   modify it under the terms of the GNU Lesser General Public\n   License as published by the Free Software Foundation; either\n   version 2.1 of the License, or (at your option) any later version.\n\n   This library is distributed"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation."),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n"),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"),
+    ("LGPL-2.1", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n"),
+    ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\npackage x"),
+    ("MIT", "# SPDX-License-Identifier: MIT\nimport os\n"),
+    ("ISC", "// SPDX-License-Identifier: ISC"),
+    ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\n"),
+    ("GPL-3.0", "/* SPDX-License-Identifier: GPL-3.0-only */"),
+    ("BSD-3-Clause", "# SPDX-License-Identifier: BSD-3-Clause"),
+    ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software"),
+    ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + license_texts.MIT_GRANT + "\n\n" + license_texts.MIT_REST),
+    ("ISC", "Copyright (c) 2011, Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED"),
+    ("0BSD", "Copyright (c) 2011, Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED"),
+    ("BSD-2-Clause", "Copyright 2012 Jane Doe. All rights reserved.\n\n" + license_texts.BSD_TWO + license_texts.BSD_REST),
+    ("BSD-3-Clause", "Copyright (c) 2012 Jane Doe. All rights reserved.\n\n" + license_texts.BSD_TWO + "\n\n3. " + license_texts.BSD_THIRD + "\n\n" + license_texts.BSD_REST),
+    ("Apache-2.0", "Copyright (c) 2020 Jane Doe. Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", '/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */'),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy"),
+    ("CC-BY-SA-4.0", "Text here. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. More."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MIT", "## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details\n"),
+    ("Zlib", license_texts.ZLIB.replace(". ", ".\n")),
+    (None, "# SPDX-License-Identifier: Foo"),
+    (None, "All rights reserved. No part of this software may be used without written permission."),
+    (None, "The licence of the driver was released by the public office under version 2.0 of the form."),
+    (None, "This program is free and you can use it"),
+    (None, "Copyright (c) 2011, Jane Doe"),
+]
+
+
+def test_real_notices(spark):
+    """Of the licences found none is wrong, and of the notices none is missed; among other files, which give the weights."""
+    r = random.Random(5)
+    other = [(f"o/{i}", " ".join(r.choice(["the", "of", "software", "public", "a", "use", "in", "version", "general", f"w{r.randrange(900)}"]) for _ in range(60)), None) for i in range(400)]
+    rows = [(f"n/{i}", t, w) for i, (w, t) in enumerate(REAL_NOTICES)] + other
+    got = license_scan.license_scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()
+    assert [(x.path, x.want, x.license, x.score, x.near) for x in got if x.want != x.license] == []
+
+
 def test_license_cosine_by_hand(spark):
     texts = ["Released under the MIT License.", "released under the mit license by the author", "the mit", "Licensed under CC BY-NC 4.0. or so", "under the"]
     got = {x.row: x for x in license_scan.license_scan(spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "path string, text string, row long"), threshold=0.5).collect()}
+    units = [dict.fromkeys([t, *re.split(r"[.!?][ \t\r\n]+", t)]) for t in texts]
     bags = [license_scan.template_words(t) for t in texts]
-
-    def idf(w):
-        df = sum(w in b for b in bags) if any(w in license_scan.template_words(t) for _, t in license_scan.TEMPLATES) else 0
-        return math.log((len(texts) + 1) / (df + 1)) + 1e-3
-
-    for i, bag in enumerate(bags):
-        best = []
-        for name, t in license_scan.TEMPLATES:
-            a = {w: bag.count(w) * idf(w) for w in bag}
-            tw = license_scan.template_words(t)
-            b = {w: tw.count(w) * idf(w) for w in tw}
-            cos = sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    known = {f for _, t in license_scan.TEMPLATES for f in license_scan.features(license_scan.template_words(t))}
+
+    def idf(f):
+        df = [sum(w in b for b in bags) for w in f.split()]
+        return math.log((len(texts) + 1) / (min(df) + 1 if f in known else 1)) + 1e-3
+
+    for i in range(len(texts)):
+        best = {}
+        for unit, (name, t) in itertools.product(units[i], license_scan.TEMPLATES):
+            fs, ft = (license_scan.features(license_scan.template_words(x)) for x in (unit, t))
+            a, b = ({f: x.count(f) * idf(f) for f in x} for x in (fs, ft))
+            cos = sum(a[f] * b.get(f, 0) for f in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if a else 0
             if cos >= 0.5:
-                best.append((-round(cos, 6), name))
+                best[name] = max(best.get(name, 0), round(cos, 6))
         if best:
-            assert (got[i].license, got[i].score) == (min(best)[1], pytest.approx(-min(best)[0], abs=2e-6))
+            top = min(best, key=lambda n: (-best[n], n))
+            assert (got[i].license, got[i].score) == (top, pytest.approx(best[top], abs=2e-6))
+            assert got[i].near == ",".join(sorted(n for n, x in best.items() if n != top and x >= round(best[top] - license_scan.NEAR, 6)))
         else:
             assert got[i].license is None
 
@@ -445,6 +679,7 @@ def quality_rows(n=300, seed=2):
 def test_quality(spark):
     rows = quality_rows()
     docs = table(spark, [(i, t) for i, t, _ in rows] + ODD).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise(F.lit(None)))
+    docs = docs.withColumns({"_host": F.lit("mine"), "key_a": F.lit(1), "row_key": F.lit("x"), "a.b": F.lit(2)})
     labels = spark.createDataFrame([(i, b) for i, _, b in rows[:200]] + [(None, True), (5, None)], "doc_id long, bad boolean")
     got = quality.judged(docs, labels, F.col("source"), F.col("lang")).collect()
     assert len(got) == len(rows) + len(ODD)
@@ -452,12 +687,76 @@ def test_quality(spark):
     assert sum(keep[i] == b for i, _, b in rows[200:]) <= 2
     out = quality.kept(docs, labels, F.col("source"), F.col("lang"))
     assert out.columns == docs.columns
-    key = lambda x: -1 if x is None else x
-    assert sorted((x.doc_id for x in out.collect()), key=key) == sorted((x.doc_id for x in got if x.keep), key=key)
+    out, key = out.collect(), lambda x: -1 if x is None else x
+    assert {(x._host, x.key_a, x.row_key) for x in out} == {("mine", 1, "x")}
+    assert sorted((x.doc_id for x in out), key=key) == sorted((x.doc_id for x in got if x.keep), key=key)
     one = spark.createDataFrame([(0, True)], "doc_id long, bad boolean")
     assert all(x.keep for x in quality.judged(docs, one, F.col("source"), F.col("lang")).collect())
 
 
+def test_quality_tells_null_sites_apart(spark):
+    """One id and text with host null and path "a", and the other way round: a rejection concerns its row only."""
+    rows = [(1, "t", None, "a"), (1, "t", "a", None), (None, "t", "a", None), (1, None, "t", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    values = [F.col(c) for c in docs.columns]
+    keys = docs.select("*", *quality.identity(*values)).collect()
+    assert len({(x.key_a, x.key_b) for x in keys}) == 4
+    gone = spark.createDataFrame([(keys[0].key_a, keys[0].key_b)], "key_a long, key_b long")
+    assert sorted(map(tuple, quality.without(docs, values, gone).collect()), key=str) == sorted(rows[1:], key=str)
+
+
+def brute_strength(groups):
+    """(n, total, parent) rows."""
+    groups = [g for g in groups if g[0] > 1]
+    found = sum(n * (t / n - m) ** 2 for n, t, m in groups)
+    chance, more = sum(m * (1 - m) for _, _, m in groups), sum((n - 1) * m * (1 - m) for n, _, m in groups)
+    rho = (found - chance) / more if more else 0
+    return min(1e6, max(2.0, 1 / rho - 1)) if rho > 1e-6 else 1e6
+
+
+def test_posteriors_against_plain_sums(spark):
+    """Many sites of few documents and a few large ones that differ; a site table overrides the columns."""
+    r = random.Random(11)
+    bad_hosts = {"h0": 0.9, "h1": 0.6}
+    rows, sites, labels = [], [], []
+    for i in range(400):
+        host = r.choice(["h0", "h1", "h2", "h3", None]) if r.random() < 0.8 else f"rare{r.randrange(30)}"
+        path = r.choice(["/a/", "/b/", None])
+        bad = r.random() < bad_hosts.get(host, 0.1)
+        w = [f"w{r.randrange(60)}" for _ in range(30)] + (["nasty"] * r.randint(0, 3) if bad else [])
+        rows.append((i, " ".join(w), "en", f"s{i % 3}", 1))
+        labels.append((i, bad))
+        if i % 5:
+            sites += [(i, host, path), (i, host, path)]
+    sites += [(None, "h0", "/a/"), (7000, "h0", "/a/")]
+    site = {i: (h, p) for i, h, p in sites}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = quality.judged(docs, spark.createDataFrame(labels[:300], "doc_id long, bad boolean"), F.col("source"), F.col("lang"), spark.createDataFrame(sites, "doc_id long, host string, path string")).collect()
+    at = {x.doc_id: site.get(x.doc_id, (f"s{x.doc_id % 3}", "en")) for x in got}
+    assert {x.doc_id: (x.host, x.path) for x in got} == at and len(got) == 400
+    own = {x.doc_id: x.p_document for x in got}
+    paths, hosts = {}, {}
+    for i, (h, p) in at.items():
+        paths.setdefault((h, p), []).append(own[i])
+        hosts.setdefault(h, []).append(own[i])
+    overall = sum(own.values()) / 400
+    k = brute_strength([(len(v), sum(v), overall) for v in hosts.values()])
+    parent = {h: (sum(v) + k * overall) / (len(v) + k) for h, v in hosts.items()}
+    k2 = brute_strength([(len(v), sum(v), parent[h]) for (h, _), v in paths.items()])
+    assert k < 100 and got[0].k_host == pytest.approx(k) and got[0].k_path == pytest.approx(k2, rel=1e-6)
+    rates = []
+    for x in got:
+        h, p = at[x.doc_id]
+        rest = (sum(own.values()) - x.p_document) / 399
+        up = (sum(hosts[h]) - x.p_document + k * rest) / (len(hosts[h]) - 1 + k)
+        want = (sum(paths[h, p]) - x.p_document + k2 * up) / (len(paths[h, p]) - 1 + k2)
+        assert x.p_site == pytest.approx(want, rel=1e-9) and x.p_all == pytest.approx(rest, rel=1e-9) and x.site_docs == len(paths[h, p])
+        odds = math.log(x.p_document / (1 - x.p_document)) + math.log(want / (1 - want)) - math.log(rest / (1 - rest))
+        assert x.p_bad == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6) and x.keep == (x.p_bad < quality.THRESHOLD)
+        rates.append(x.p_site)
+    assert max(rates) > 2 * overall > 4 * min(rates)
+
+
 def test_sites_are_shrunk(spark):
     groups = spark.createDataFrame([("a", 1000, 500.0, 0.1), ("b", 1000, 20.0, 0.1), ("c", 10, 1.0, 0.1)], "host string, n long, total double, parent double")
     assert 2 <= quality._strength(groups) < 20
