@@ -1,14 +1,16 @@
-"""Text functions: normal form, case folding, tokens, scripts.  All but NFC are JVM expressions."""
+"""Text functions: normal form, case folding, tokens, scripts.
+
+All but NFC and tokens with offsets are JVM expressions; these two work on Arrow batches.
+"""
 
 from __future__ import annotations
 
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,14 +26,16 @@ TOKEN = r"[[\p{L}\p{Nd}\p{M}\x{200C}\x{200D}]&&[\x{0}-\x{FFFF}]]"
 SCRIPTS = (("telugu", 0x0C00, 0x0C7F), ("hindi", 0x0900, 0x097F), ("tamil", 0x0B80, 0x0BFF), ("bengali", 0x0980, 0x09FF))
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    #: Arrow's own utf8_normalize leaves texts decomposed; this is one call in C for each text that isn't null.
+    return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def normalize(text: Column) -> Column:
-    """NFC; null is empty.  Pure ASCII text is in normal form already."""
-    return _nfc(F.coalesce(text, F.lit("")))
+    """NFC; null is empty.  Texts without a character from U+0300 on are in normal form and stay in the JVM."""
+    odd = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.coalesce(_nfc(F.when(odd, text)), text, F.lit(""))
 
 
 def fold_case(text: Column) -> Column:
@@ -72,25 +76,69 @@ def token_array(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN}+)"), F.lit(1))
 
 
-def tokens(docs: DataFrame, key: str = "id", text: str = "searchable") -> DataFrame:
-    """(key, term, start): every token with its offset in code points; no shuffle.
+def _token_table() -> np.ndarray:
+    table = np.zeros(0x10001, bool)  # the last place stands for all beyond the basic plane
+    table[:0x10000] = [_is_token_char(chr(c)) for c in range(0x10000)]
+    return table
+
+
+_TABLE: list[np.ndarray] = []
 
-    The JVM's regex cuts the text into runs; a vectorised running sum of their lengths gives the offsets.
+
+def token_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All tokens of searchable texts, each with its offset in code points, and n+1 offsets of the texts into them.
+
+    Works on the bytes of the whole column: code points by their leading bytes, runs by a table of characters.
     """
-    runs = F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN}+|(?:(?!{TOKEN})[\\s\\S])+)"), F.lit(1))
+    if not _TABLE:
+        _TABLE.append(_token_table())
+    texts = pc.fill_null(pa.concat_arrays([texts]), "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    lead = (raw & 0xC0) != 0x80  # the first byte of a character
+    place = np.flatnonzero(lead)
+    code = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    token = _TABLE[0][np.minimum(code, 0x10000)]
+    begins = np.searchsorted(place, at)  # of each text, in characters
+    first = token.copy()
+    first[1:] &= ~token[:-1]
+    starts_text = begins[:-1][begins[:-1] < len(code)]
+    first[starts_text] = token[starts_text]
+    start = np.flatnonzero(first)
+    upto = np.searchsorted(start, begins)
+    width = np.diff(np.append(place, len(raw)))
+    ends = np.cumsum(np.where(token, width, 0))
+    ends = np.concatenate([ends[start] - width[start], ends[-1:]]) if len(start) else np.zeros(1, np.int64)
+    kept = raw[np.repeat(token, width)]
+    terms = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())).cast(pa.string())
+    return terms, start - np.repeat(begins[:-1], np.diff(upto)), upto
+
+
+def tokens(docs: DataFrame, key: str = "id", text: str = "searchable") -> DataFrame:
+    """(key, term, start): every token with its offset in code points; no shuffle."""
     kind = docs.schema[key].dataType.simpleString()
 
     def place(batches):
-        for batch in batches:
-            lists = pa.concat_arrays([batch.column(1)])
-            flat, ends = lists.flatten(), lists.offsets.to_numpy()
-            size = pc.utf8_length(flat).to_numpy().astype(np.int64)
-            before = np.cumsum(size) - size
-            n = np.diff(ends)
-            first = before[np.minimum(ends[:-1], max(0, len(before) - 1))] if len(before) else np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), flat, pa.array((before - np.repeat(first, n)).astype(np.int32))], names=[key, "term", "start"])
+        for batch in text_slices(batches):
+            terms, start, upto = token_runs(batch.column(1))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(upto))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), terms, pa.array(start.astype(np.int32))], names=[key, "term", "start"])
+
+    return docs.select(key, text).mapInArrow(place, f"`{key}` {kind}, term string, start int")
+
+
+#: Bytes of text that a vectorised function takes at a time.
+TEXT_BYTES = 4 << 20
 
-    return docs.select(key, runs.alias("runs")).mapInArrow(place, f"`{key}` {kind}, term string, start int").where(F.col("term").rlike(f"^{TOKEN}"))
+
+def text_slices(batches, column: int = 1):
+    """Record batches cut so that the texts of each have about TEXT_BYTES."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * TEXT_BYTES // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def preprocess(text: Column) -> Column:
@@ -113,3 +161,16 @@ def detect_script(text: Column) -> Column:
     for name, n in counts:
         out = out.when(n == most, name)
     return F.coalesce(out, F.lit("unknown"))
+
+
+def register(spark: SparkSession) -> None:
+    """The functions under SQL names: nfc, fold_case, searchable, tokenize, detect_script, strip_punctuation, preprocess, edit_script."""
+    from ..operators.fuzzy import edit_script_udf
+
+    spark.udf.register("nfc", _nfc)
+    spark.udf.register("edit_script", edit_script_udf)
+    upper, lower = UPPER.replace("'", "''"), LOWER.replace("'", "''")
+    spark.sql(f"create or replace temporary function fold_case(t string) returns string return translate(t, '{upper}', '{lower}')")
+    spark.sql("create or replace temporary function searchable(t string) returns string return fold_case(coalesce(nfc(t), ''))")
+    token = TOKEN.replace("\\", "\\\\")
+    spark.sql(f"create or replace temporary function tokenize(t string) returns array<string> return regexp_extract_all(searchable(t), '({token}+)', 1)")

@@ -31,14 +31,17 @@ def load_corpus(spark: SparkSession, root: str, strict: bool = True) -> DataFram
     A first line ``TITLE: ...`` is the title; the body is what follows, without leading white space.
     strict: a file that isn't UTF-8 fails the load.
     """
-    if "://" not in root and not os.path.isdir(root):
+    at = spark._jvm.org.apache.hadoop.fs.Path(root if "://" in root else f"file://{os.path.abspath(root)}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(f"corpus directory not found: {root}")
     depth = len(root.split("://")[-1].rstrip("/").split("/"))
     raw = spark.read.format("binaryFile").options(pathGlobFilter="*.txt", recursiveFileLookup="true").load(root)
     parts = F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")
     raw = raw.select("content", parts.alias("parts")).where(F.size("parts") == F.lit((depth if root.startswith("/") or "://" in root else len(os.path.abspath(root).split("/"))) + 2))
     text = F.decode(F.expr("content"), F.lit("UTF-8")) if not strict else F.validate_utf8(F.expr("cast(content as string)"))
-    raw = raw.select(F.element_at("parts", -2).alias("language"), F.element_at("parts", -1).alias("file"), text.alias("raw"))
+    names = raw.select(F.element_at("parts", -2).alias("language"), F.element_at("parts", -1).alias("file"))
+    order = names.withColumn("ord", F.row_number().over(Window.partitionBy("language").orderBy("file")))  # names only, no texts
+    raw = raw.select(F.element_at("parts", -2).alias("language"), F.element_at("parts", -1).alias("file"), text.alias("raw")).join(order, ["language", "file"])
     base = F.replace(F.col("file"), F.lit(".txt"), F.lit(""))
     has = F.startswith(F.col("raw"), F.lit("TITLE:"))
     cut = F.instr("raw", "\n")
@@ -46,8 +49,7 @@ def load_corpus(spark: SparkSession, root: str, strict: bool = True) -> DataFram
     body = F.when(~has, F.col("raw")).when(cut > 0, F.regexp_replace(F.expr("substring(raw, instr(raw, '\n') + 1)"), r"^[\s\x1C-\x1F]+", "")).otherwise("")
     trimmed = F.regexp_replace(head, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     docs = raw.select(
-        F.concat_ws("-", "language", base).alias("id"), F.when(has, trimmed).otherwise(fallback_title(F.col("language"), base)).alias("title"), "language", body.alias("original"),
-        F.row_number().over(Window.partitionBy("language").orderBy("file")).alias("ord"),
+        F.concat_ws("-", "language", base).alias("id"), F.when(has, trimmed).otherwise(fallback_title(F.col("language"), base)).alias("title"), "language", body.alias("original"), "ord",
     )
     return prepared(docs)
 
@@ -55,7 +57,8 @@ def load_corpus(spark: SparkSession, root: str, strict: bool = True) -> DataFram
 def from_documents_table(docs: DataFrame) -> DataFrame:
     """The document schema from a table (doc_id, text, lang)."""
     language = F.coalesce("lang", F.lit(""))
-    return prepared(docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.initcap(language), F.lit(" Document "), F.col("doc_id").cast("string")).alias("title"), language.alias("language"), F.col("text").alias("original")))
+    name = F.concat(F.upper(F.substring(language, 1, 1)), F.substring(language, 2, 1 << 30))
+    return prepared(docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(name, F.lit(" Document "), F.col("doc_id").cast("string")).alias("title"), language.alias("language"), F.col("text").alias("original")))
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
@@ -63,6 +66,15 @@ def from_rows(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> Dat
     return prepared(spark.createDataFrame(rows, "id string, title string, language string, original string"))
 
 
+def register_views(docs: DataFrame, prefix: str = "") -> None:
+    """Temporary views documents, postings and dictionary over prepared documents, for SQL."""
+    from ..operators import index as ix
+
+    docs.createOrReplaceTempView(f"{prefix}documents")
+    ix.build_postings(docs).createOrReplaceTempView(f"{prefix}postings")
+    ix.build_dictionary(docs).createOrReplaceTempView(f"{prefix}dictionary")
+
+
 def to_json(df: DataFrame) -> DataFrame:
     """One JSON object a row, in the column json; nulls are kept."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
