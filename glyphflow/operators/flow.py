@@ -3,6 +3,13 @@
 Each keyword asks for ``demand`` documents, each document serves once.  Documents with the same set of
 keywords are alike, so they become one class with their number as capacity: the network has at most
 2^K classes whatever the number of documents, and only the classes' sizes come to the driver.
+
+Beyond MOST_CLASSES classes the network is cut to its kernel.  A keyword with K * demand documents or more
+always gets its own, since all others together take fewer; it is never on the source's side of the minimum
+cut.  The other keywords have fewer than K * K * demand documents between them, and only these make classes.
+
+Every augmenting path of the network of documents carries one unit, as each ends in a document, so the
+rounds of Ford-Fulkerson and Edmonds-Karp there are the flow; Dinic's are the phases of the class network.
 """
 
 from __future__ import annotations
@@ -150,10 +157,14 @@ def incidence(docs: DataFrame, keywords: list[str], language: str = "all") -> Da
     return of_language(docs, language).select(F.explode(held).alias("keyword"), F.col("id").alias("doc_id"))
 
 
-def of_language(docs: DataFrame, language: str | None) -> DataFrame:
+def within_language(language: str | None):
     if not (language or "").strip() or language.strip().lower() == "all":
-        return docs
-    return docs.where(F.lower("language") == language.strip().lower())
+        return F.lit(True)
+    return F.lower("language") == language.strip().lower()
+
+
+def of_language(docs: DataFrame, language: str | None) -> DataFrame:
+    return docs.where(within_language(language))
 
 
 def signatures(docs: DataFrame, keywords: list[str], language: str = "all") -> DataFrame:
@@ -171,6 +182,10 @@ def degrees(docs: DataFrame, keywords: list[str], language: str = "all") -> Data
     return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, keywords)).alias("keyword"), F.col("n").alias("documents"))).alias("x")).select("x.*")
 
 
+#: Names of the solvers in reports.
+TITLES = {"fordfulkerson": "Ford-Fulkerson", "edmondskarp": "Edmonds-Karp", "dinic": "Dinic"}
+
+
 @dataclass
 class FlowReport:
     keywords: list[str]
@@ -191,60 +206,119 @@ def _network(keywords: list[str], classes: list[tuple[int, int]], demand: int):
     return net, supply, serve
 
 
+def _bits(mask: int):
+    return F.col("sig").bitwiseAND(F.lit(mask).cast("long"))
+
+
+def _classes(signed: DataFrame, mask: int) -> list[tuple[int, int]] | None:
+    """(sig, documents) of the keyword sets within mask, or None if there are too many."""
+    of = signed.select(_bits(mask).alias("sig")).where("sig <> 0").groupBy("sig").agg(F.count("*").alias("n"))
+    rows = of.limit(MOST_CLASSES + 1).collect()
+    return None if len(rows) > MOST_CLASSES else sorted((r["sig"], r["n"]) for r in rows)
+
+
+def _served(signed: DataFrame, keywords: list[str], rich: list[int], poor: DataFrame, demand: int) -> DataFrame:
+    """(keyword, doc_id, title): demand documents for each rich keyword, none of them in poor or given twice."""
+    most = len(keywords) * demand
+    taken, out = {r["doc_id"] for r in poor.select("doc_id").toLocalIterator()}, []  # K * demand at most
+    for i in rich:
+        mine = 0
+        for r in signed.where(_bits(1 << i) != 0).select("doc_id", "title").orderBy("doc_id").limit(most).toLocalIterator():
+            if mine < demand and r["doc_id"] not in taken:
+                taken.add(r["doc_id"])
+                out.append((keywords[i], r["doc_id"], r["title"]))
+                mine += 1
+    return signed.sparkSession.createDataFrame(out, "keyword string, doc_id string, title string")
+
+
 def analyze(docs: DataFrame, query: str, language: str = "all", algorithm: str = "dinic", demand: int = 1) -> FlowReport:
+    start = time.perf_counter()
     keywords = list(dict.fromkeys(tokenize(query)))
     if not keywords:
         raise ValueError("enter at least one keyword")
     if len(keywords) > MOST_KEYWORDS:
         raise ValueError(f"{len(keywords)} keywords; the maximum is {MOST_KEYWORDS}")
-    demand = max(1, demand)
+    demand, k = max(1, demand), len(keywords)
     signed = signatures(docs, keywords, language)
-    rows = signed.groupBy("sig").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
-    if len(rows) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} sets of keywords")
-    classes = sorted((r["sig"], r["n"]) for r in rows)
+    sums = signed.agg(F.count("*").alias("documents"), *[F.count_if(_bits(1 << i) != 0).alias(f"k{i}") for i in range(k)]).first()
+    documents, degree = sums["documents"], [sums[f"k{i}"] for i in range(k)]
+    rich: list[int] = []
+    classes = _classes(signed, (1 << k) - 1)
+    if classes is None:
+        rich = [i for i in range(k) if degree[i] >= k * demand]
+        some = sum(1 << i for i in range(k) if i not in rich)
+        #: Fewer than K * K * demand documents.
+        classes = sorted((r["sig"], r["n"]) for r in signed.select(_bits(some).alias("sig")).where("sig <> 0").groupBy("sig").agg(F.count("*").alias("n")).toLocalIterator())
     net, supply, serve = _network(keywords, classes, demand)
     chosen, runs = resolve_solver(algorithm), []
+    given = demand * len(rich)
     for name in [n for n in SOLVERS if n != chosen] + [chosen]:
         net.reset()
         began = time.perf_counter()
         value, rounds = SOLVERS[name](net, 0, 1)
-        runs.append({"algorithm": name, "maxFlow": value, "augmentationsOrPhases": rounds, "executionTimeMs": round((time.perf_counter() - began) * 1e3, 4)})
-    runs.sort(key=lambda r: list(SOLVERS).index(r["algorithm"]))
-    k, flow = len(keywords), value
+        value += given
+        runs.append({"algorithm": TITLES[name], "maxFlow": value, "augmentationsOrPhases": rounds if name == "dinic" else value, "executionTimeMs": round((time.perf_counter() - began) * 1e3, 4)})
+    last = runs[-1]
+    runs.sort(key=lambda r: list(TITLES.values()).index(r["algorithm"]))
     side = net.reachable(0)
-    top = [i for i in range(k) if side[2 + i]]
+    top = [i for i in range(k) if side[2 + i] and i not in rich]
     mask = sum(1 << i for i in top)
     shared = sum(n for sig, n in classes if (sig & mask).bit_count() >= 2)
     single = sum(n for sig, n in classes if (sig & mask).bit_count() == 1)
-    assigned = [net.flow[e] for e in supply]
-    degree = [sum(n for sig, n in classes if sig >> i & 1) for i in range(k)]
-    documents = sum(n for _, n in classes)
+    assigned = [demand if i in rich else net.flow[e] for i, e in enumerate(supply)]
     capacity = demand * (k - len(top)) + shared + single
-    edges = [{"from": "SOURCE", "to": keywords[i], "capacity": demand} for i in range(k) if i not in top]
+    matching = _matching(signed, keywords, classes, {ic: net.flow[e] for ic, e in serve.items()}, sum(1 << i for i in range(k) if i not in rich))
+    if rich:
+        matching = matching.unionByName(_served(signed, keywords, rich, matching, demand))
     values = {
-        "algorithm": chosen, "demand": demand, "keywords": keywords, "keywordNodes": k, "documentNodes": documents, "nodeCount": 2 + k + documents,
-        "edgeCount": k + documents + sum(degree), "degrees": dict(zip(keywords, degree, strict=True)), "requestedFlow": k * demand, "maxFlow": flow,
-        "fullyMatched": flow == k * demand, "algorithmsAgree": len({r["maxFlow"] for r in runs}) == 1, "runs": runs, "matchingSize": sum(assigned),
+        "query": query, "language": language, "keywords": keywords, "demand": demand, "algorithm": TITLES[chosen], "keywordNodes": k, "documentNodes": documents, "totalNodes": 2 + k + documents,
+        "keywordDocumentEdges": sum(degree), "totalEdges": k + documents + sum(degree), "keywordDegrees": dict(zip(keywords, degree, strict=True)), "requestedFlow": k * demand, "maxFlow": value,
+        "fullyMatched": value == k * demand, "matchingSize": sum(assigned),
         "unmatchedKeywords": [
             {"keyword": w, "assigned": a, "demand": demand, "documentsContainingKeyword": d} for w, a, d in zip(keywords, assigned, degree, strict=True) if a < demand
         ],
         "minCut": {
-            "capacity": capacity, "equalsMaxFlow": capacity == flow, "sourceSideKeywords": [keywords[i] for i in top], "sourceSideDocuments": shared,
-            "cutEdgeCount": k - len(top) + shared + single, "cutEdges": edges[:CUT_SHOWN],
+            "capacity": capacity, "equalsMaxFlow": capacity == value, "sourceSideKeywords": [keywords[i] for i in top], "sourceSideDocuments": shared,
+            "cutEdgeCount": k - len(top) + shared + single, "cutEdges": _cut_edges(signed, keywords, top, demand),
         },
+        "algorithmRuns": runs, "algorithmsAgree": len({r["maxFlow"] for r in runs}) == 1, "executionTimeMs": last["executionTimeMs"], "totalTimeMs": round((time.perf_counter() - start) * 1e3, 3),
     }
-    return FlowReport(keywords, values, _matching(signed, keywords, classes, {ic: net.flow[e] for ic, e in serve.items()}))
+    return FlowReport(keywords, values, matching)
+
+
+def _cut_edges(signed: DataFrame, keywords: list[str], top: list[int], demand: int) -> list[dict]:
+    """The first CUT_SHOWN edges of the minimum cut: keywords that aren't on the source's side, documents that are, and documents of one keyword there.
+
+    A document with two keywords of the source's side is on it, as at most one of them uses it; one with a single such keyword serves that one.
+    """
+    edges = [{"from": "SOURCE", "to": w, "capacity": demand} for i, w in enumerate(keywords) if i not in top]
+    if top and len(edges) < CUT_SHOWN:
+        held = F.bit_count(_bits(sum(1 << i for i in top)))
+        rows = signed.where(held > 0).select("doc_id", "sig", (held == 1).alias("one")).orderBy("one", "doc_id").limit(CUT_SHOWN).collect()
+        for r in rows:
+            keyword = next(keywords[i] for i in top if r["sig"] >> i & 1)
+            edges.append({"from": keyword, "to": r["doc_id"], "capacity": 1} if r["one"] else {"from": r["doc_id"], "to": "SINK", "capacity": 1})
+    return edges[:CUT_SHOWN]
+
+
+#: Documents of one keyword set are numbered in so many slices, each by a task of its own.
+SLICES = 64
 
 
-def _matching(signed: DataFrame, keywords: list[str], classes: list[tuple[int, int]], flows: dict[tuple[int, int], int]) -> DataFrame:
+def _matching(signed: DataFrame, keywords: list[str], classes: list[tuple[int, int]], flows: dict[tuple[int, int], int], mask: int) -> DataFrame:
     """(keyword, doc_id, title): each class's documents are numbered and its keywords take ranges of numbers."""
     ranges, upto = [], {}
     for (i, c), f in sorted(flows.items()):
         if f > 0:
             ranges.append((classes[c][0], i, keywords[i], upto.get(c, 0), upto.get(c, 0) + f))
             upto[c] = upto.get(c, 0) + f
-    taken = signed.sparkSession.createDataFrame(ranges, "sig long, n int, keyword string, low long, high long")
-    most = max(upto.values(), default=0)
-    numbered = signed.withColumn("nth", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))).where(F.col("nth") <= most)
+    spark = signed.sparkSession
+    taken = spark.createDataFrame(ranges, "sig long, n int, keyword string, low long, high long")
+    used = spark.createDataFrame([(classes[c][0], n) for c, n in upto.items()], "sig long, most long")
+    sliced = signed.withColumn("sig", _bits(mask)).join(used, "sig").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
+    sizes = sliced.groupBy("sig", "slice").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("sig").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("sig", "slice", before.alias("before"))  # SLICES rows a set
+    nth = F.row_number().over(Window.partitionBy("sig", "slice").orderBy("doc_id"))
+    numbered = sliced.join(sizes, ["sig", "slice"]).where(F.col("before") < F.col("most")).withColumn("nth", F.col("before") + nth).where(F.col("nth") <= F.col("most"))
     return numbered.join(taken, "sig").where((F.col("nth") > F.col("low")) & (F.col("nth") <= F.col("high"))).select("keyword", "doc_id", "title").orderBy("keyword", "doc_id")

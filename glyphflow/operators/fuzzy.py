@@ -62,6 +62,16 @@ def edit_script(a: str, b: str) -> list[str]:
     return out[::-1]
 
 
+def target_of(script: Column) -> Column:
+    """What a script makes: the last character of every step that isn't a deletion."""
+    return F.array_join(F.transform(F.filter(script, lambda x: ~F.startswith(x, F.lit("DELETE"))), lambda x: F.substring(x, -1, 1)), "")
+
+
+def source_of(script: Column) -> Column:
+    """What a script starts from."""
+    return F.array_join(F.transform(F.filter(script, lambda x: ~F.startswith(x, F.lit("INSERT"))), lambda x: F.when(F.startswith(x, F.lit("SUBSTITUTE")), F.substring(x, 12, 1)).otherwise(F.substring(x, -1, 1))), "")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def edit_script_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_script(x, y) for x, y in zip(a, b, strict=True)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import searchable, tokenize
 from ..operators import fuzzy, index as ix, match, rank, snippet
-from ..operators.flow import of_language
+from ..operators.flow import of_language, within_language
 
 MOST_KEYWORDS = 50
 
@@ -70,6 +70,16 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("score"), F.desc("match_count"), "title", "doc_id")
 
 
+def counted(docs: DataFrame, keywords: list[str], language: str = "all") -> tuple[int, int, dict[str, int]]:
+    """In one pass: all documents, those of the language that hold every keyword, and for each keyword those that hold it."""
+    holds = [F.contains("searchable", F.lit(k)) for k in keywords]
+    every = within_language(language)
+    for h in holds:
+        every = every & h
+    row = docs.agg(F.count("*").alias("total"), F.count_if(every).alias("every"), *[F.count_if(h).alias(f"k{i}") for i, h in enumerate(holds)]).first()
+    return row["total"], row["every"], {k: row[f"k{i}"] for i, k in enumerate(keywords)}
+
+
 def _message(response: SearchResponse, absent: list[str]) -> str | None:
     if response.total_results:
         return "Showing results for " + ", ".join(f"{c['original']} -> {c['corrected']} (edit distance {c['editDistance']})" for c in response.corrections) if response.corrections else None
@@ -93,8 +103,9 @@ def search(index: ix.Index, query: str | None, language: str | None = "all", alg
         response.error = f"The query has {len(words)} keywords; the maximum is {MOST_KEYWORDS}."
         return response
     keywords = list(dict.fromkeys(words))
-    held = {r["keyword"] for r in ix.terms_containing(index.terms, keywords).select("keyword").distinct().collect()}  # fifty at most
-    absent = [k for k in keywords if k not in held]
+    #: Keywords are of tokens' characters only, so one is in a dictionary term where it is in a text.
+    total, found, counts = counted(index.docs, keywords, language)
+    absent = [k for k in keywords if not counts[k]]
     if absent:
         for r in fuzzy.suggest(index.terms, absent).orderBy("keyword", "rank").collect():  # five a keyword
             response.suggestions.setdefault(r["keyword"], []).append({"term": r["term"], "distance": r["distance"], "documentFrequency": r["df"]})
@@ -111,10 +122,11 @@ def search(index: ix.Index, query: str | None, language: str | None = "all", alg
     if len(keywords) > 1 and response.algorithm != "ahocorasick":
         response.algorithm_note = f"{response.algorithm} finds one keyword; Aho-Corasick is used for {len(keywords)}."
         response.algorithm = "ahocorasick"
-    response.keyword_document_counts = {r["keyword"]: r["documents"] for r in ix.keyword_doc_counts(index.postings, keywords).collect()}
+    if response.corrections:
+        total, found, counts = counted(index.docs, keywords, language)
+    response.keyword_document_counts = counts
     response.results = ordered(matches(index.docs, keywords, language, with_snippet=True))
-    response.total_documents = index.docs.count()
-    response.documents_scanned = response.total_results = matches(index.docs, keywords, language).count()
+    response.total_documents, response.documents_scanned, response.total_results = total, found, found
     response.message = _message(response, absent)
     response.execution_time_ms = round((time.perf_counter() - began) * 1e3, 4)
     return response
