@@ -9,11 +9,12 @@ from .functions import text as T
 from .operators import flow, fuzzy, match, rank, snippet, stats
 from .operators import index as ix
 from .plans import search as plan
-from .sources.corpus import from_documents_table, to_json
+from .sources.corpus import from_documents_table, register_views, to_json
+from .streaming import ingest
 
 TYPOS = ["teh", "andd", "tionn", "thatt", "ovver"]
 FLOW = ["queue", "mente", "haha", "the"]
-PAIRS = [("computr", "computer"), ("kitten", "sitting"), ("", "abc"), ("abc", "abc"), ("भारत", "भरत"), ("abcdef", "")]
+TARGET = "tion"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.dictionary(postings(spark, sf_dir))
-
-
-def ascii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms(spark, sf_dir).where(F.col("term").rlike("^[a-z0-9]+$"))
+    return ix.build_dictionary(documents(spark, sf_dir))
 
 
 def _search(*keywords: str, language: str = "all"):
@@ -46,7 +43,7 @@ def _search(*keywords: str, language: str = "all"):
 
 def _positions(kernel: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, sf_dir).where(F.contains("searchable", F.lit("haha")))
+        docs = documents(spark, sf_dir)
         return docs.select(F.col("id").alias("doc_id"), F.array_join(match.positions(F.col("searchable"), "haha", kernel), ",").alias("positions"))
 
     return run
@@ -76,12 +73,12 @@ def rank_title_bonus(spark, sf_dir):
 
 
 def suggest_topk(spark, sf_dir):
-    found = fuzzy.suggest(ascii_terms(spark, sf_dir), TYPOS, 5)
+    found = fuzzy.suggest(terms(spark, sf_dir), TYPOS, 5)
     return found.select("keyword", F.col("rank").cast("long").alias("rank"), "term", F.col("distance").cast("long").alias("distance"), "df")
 
 
 def levenshtein_bounded(spark, sf_dir):
-    return ascii_terms(spark, sf_dir).select("term", fuzzy.distance(F.col("term"), F.lit("tion")).cast("long").alias("distance"), fuzzy.distance_bounded(F.col("term"), F.lit("tion"), 2).cast("long").alias("bounded"))
+    return terms(spark, sf_dir).select("term", fuzzy.distance(F.col("term"), F.lit("tion")).cast("long").alias("distance"), fuzzy.distance_bounded(F.col("term"), F.lit("tion"), 2).cast("long").alias("bounded"))
 
 
 def max_distance(spark, sf_dir):
@@ -89,16 +86,23 @@ def max_distance(spark, sf_dir):
 
 
 def fuzzy_correct(spark, sf_dir):
-    best = fuzzy.suggest(ascii_terms(spark, sf_dir), TYPOS, 1)
+    best = fuzzy.suggest(terms(spark, sf_dir), TYPOS, 1)
     return best.select(F.col("keyword").alias("original"), F.col("term").alias("corrected"), F.col("distance").cast("long").alias("edit_distance"))
 
 
 def edit_scripts(spark, sf_dir):
-    return spark.createDataFrame(PAIRS, "a string, b string").select("a", "b", F.array_join(fuzzy.edit_script_udf("a", "b"), "; ").alias("script"))
+    """The steps from every term to TARGET: how many change something, and what they make of the term."""
+    script = terms(spark, sf_dir).select("term", fuzzy.edit_script_udf("term", F.lit(TARGET)).alias("script"))
+    changes = F.size(F.filter("script", lambda x: ~F.startswith(x, F.lit("MATCH")))).cast("long")
+    return script.select("term", changes.alias("changes"), fuzzy.target_of(F.col("script")).alias("target"), fuzzy.source_of(F.col("script")).alias("source"))
 
 
 def dp_tables(spark, sf_dir):
-    return spark.createDataFrame(PAIRS, "a string, b string").select("a", "b", F.to_json(fuzzy.dp_table_udf("a", "b")).alias("cells"))
+    """Of every term's distance table with TARGET: its rows, its last cell, and the sums of its first row and column."""
+    t = terms(spark, sf_dir).select("term", fuzzy.dp_table_udf("term", F.lit(TARGET)).alias("t"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x).cast("long")
+    last = F.element_at(F.element_at("t", -1), -1).cast("long")
+    return t.select("term", F.size("t").cast("long").alias("n_rows"), last.alias("distance"), total(F.col("t")[0]).alias("first_row"), total(F.transform("t", lambda r: r[0])).alias("first_column"))
 
 
 def snippets(spark, sf_dir):
@@ -129,14 +133,52 @@ def _flow(demand: int):
     def run(spark, sf_dir):
         v = flow.analyze(documents(spark, sf_dir), " ".join(FLOW), demand=demand).values
         cut = v["minCut"]
-        row = (v["maxFlow"], v["requestedFlow"], v["nodeCount"], v["edgeCount"], cut["capacity"], ",".join(cut["sourceSideKeywords"]), cut["sourceSideDocuments"], cut["cutEdgeCount"])
+        row = (v["maxFlow"], v["requestedFlow"], v["totalNodes"], v["totalEdges"], cut["capacity"], ",".join(cut["sourceSideKeywords"]), cut["sourceSideDocuments"], cut["cutEdgeCount"])
         return spark.createDataFrame([row], "max_flow long, requested long, nodes long, edges long, cut_capacity long, source_keywords string, source_documents long, cut_edges long")
 
     return run
 
 
 def flow_matching(spark, sf_dir):
-    return flow.analyze(documents(spark, sf_dir), " ".join(FLOW), demand=50).matching
+    """For each keyword its documents in the matching, those that hold it, and those that serve another one too."""
+    docs = documents(spark, sf_dir)
+    pairs = flow.analyze(docs, " ".join(FLOW), demand=50).matching.select("keyword", "doc_id")
+    uses = pairs.groupBy("doc_id").agg(F.count("*").alias("uses"))
+    rows = pairs.join(uses, "doc_id").join(docs.select(F.col("id").alias("doc_id"), "searchable"), "doc_id")
+    return rows.groupBy("keyword").agg(F.count("*").alias("assigned"), F.count_if(F.contains("searchable", F.col("keyword"))).alias("held"), F.count_if(F.col("uses") > 1).alias("shared"))
+
+
+def search_counts(spark, sf_dir):
+    total, every, counts = plan.counted(documents(spark, sf_dir), ["the", "haha", "qqqzzz"], "all")
+    return spark.createDataFrame([(total, every, *counts.values())], "total long, every long, the long, haha long, qqqzzz long")
+
+
+def sql_functions(spark, sf_dir):
+    T.register(spark)
+    raw(spark, sf_dir).createOrReplaceTempView("glyphflow_raw")
+    return spark.sql("select doc_id, md5(searchable(text)) as digest, cast(size(tokenize(text)) as bigint) as n_tokens from glyphflow_raw")
+
+
+def sql_views(spark, sf_dir):
+    register_views(documents(spark, sf_dir), "glyphflow_")
+    return spark.sql("select d.term, d.df, sum(p.tf) as occurrences from glyphflow_dictionary d join glyphflow_postings p on p.term = d.term group by d.term, d.df")
+
+
+def ingested_postings(spark, sf_dir):
+    """The documents table as a stream, through the ingest's batches."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    at = ingest.work_folder(spark)
+    ingest.ingest(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir), f"{at}/out", f"{at}/state").awaitTermination()
+    return ingest.stored_postings(spark, f"{at}/out").groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(F.col("tf").cast("long")).alias("tokens"))
+
+
+def event_windows(spark, sf_dir):
+    """Events as a stream, counted by hour and type."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    at = ingest.work_folder(spark)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    ingest.write_counts(ingest.counts_by_window(events), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "kind", "n")
 
 
 def normalize_nfc(spark, sf_dir):
@@ -202,6 +244,13 @@ def queries() -> dict:
         "flow_summary": _flow(50),
         "flow_min_cut": _flow(400),
         "flow_matching": flow_matching,
+        "search_counts": search_counts,
+        "doc_counts_by_scan": lambda s, d: ix.keyword_doc_counts_by_scan(documents(s, d), ["the", "haha", "queue", "qqqzzz"]),
+        "sorted_terms": lambda s, d: ix.sorted_terms_containing(terms(s, d), ["haha", "queue"]),
+        "sql_functions": sql_functions,
+        "sql_views": sql_views,
+        "ingested_postings": ingested_postings,
+        "event_windows": event_windows,
         "detect_script": text_query(T.detect_script),
         "preprocess": text_query(T.preprocess),
         "strip_punctuation": text_query(T.strip_punctuation),
@@ -231,10 +280,14 @@ def oracle_sql() -> dict[str, str]:
         return f"""with {base}, m as (select doc_id, cast({total} as bigint) as match_count, ({title}) as th, ({exact}) as ex from base where {held} and {where})
             select doc_id, match_count, round(least((4 * least(match_count, 15) + case when th then 20 else 0 end + case when ex then 10 else 0 end + 15.0) / cast(105 as double) * 100, 100), 2) as score from m"""
 
-    places = f"with {base} select doc_id, array_to_string(list_filter(range(0, length(s) - 3), lambda i: substr(s, cast(i as bigint) + 1, 4) = 'haha'), ',') as positions from base where contains(s, 'haha')"
+    places = f"with {base} select doc_id, case when contains(s, 'haha') then array_to_string(list_filter(range(0, length(s) - 3), lambda i: substr(s, cast(i as bigint) + 1, 4) = 'haha'), ',') else '' end as positions from base"
+    #: DuckDB's levenshtein counts bytes, so every letter of the tables gets one of its own; terms have no capitals.
+    odd = "ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
+    single = "translate(term, '" + odd + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&')"
+    far, to_target = f"levenshtein({single}, keyword)", f"cast(levenshtein({single}, '{TARGET}') as bigint)"
     typos = ", ".join(f"('{k}', {fuzzy.max_distance_for(k)})" for k in TYPOS)
     near = f"""with {base}, {words}, {dic}, k(keyword, most) as (values {typos}),
-        c as (select keyword, term, cast(levenshtein(term, keyword) as bigint) as distance, df from dic, k where regexp_matches(term, '^[a-z0-9]+$') and abs(length(term) - length(keyword)) <= most and levenshtein(term, keyword) <= most),
+        c as (select keyword, term, cast({far} as bigint) as distance, df from dic, k where abs(length(term) - length(keyword)) <= most and {far} <= most),
         r as (select *, row_number() over (partition by keyword order by distance, df desc, term) as rank from c)"""
     sig = " + ".join(f"(case when contains(s, '{k}') then {1 << i} else 0 end)" for i, k in enumerate(FLOW))
 
@@ -284,7 +337,17 @@ def oracle_sql() -> dict[str, str]:
         "matcher_comparison": f"with {base}, one as (select cast(sum({n('haha')}) as bigint) as matches, count(*) as documents_scanned from base where contains(s, 'haha')), two as (select cast(sum({n('haha')} + {n('the')}) as bigint) as matches, count(*) as documents_scanned from base where contains(s, 'haha') and contains(s, 'the')) select algorithm, matches, documents_scanned from one, (values ('naive'), ('kmp'), ('rabinkarp'), ('zalgorithm')) a(algorithm) union all select 'ahocorasick', matches, documents_scanned from two",
         "suggest_topk": near + " select keyword, rank, term, distance, df from r where rank <= 5",
         "fuzzy_correct": near + " select keyword as original, term as corrected, distance as edit_distance from r where rank = 1",
-        "levenshtein_bounded": f"with {base}, {words}, {dic} select term, cast(levenshtein(term, 'tion') as bigint) as distance, cast(least(levenshtein(term, 'tion'), 3) as bigint) as bounded from dic where regexp_matches(term, '^[a-z0-9]+$')",
+        "levenshtein_bounded": f"with {base}, {words}, {dic} select term, {to_target} as distance, least({to_target}, 3) as bounded from dic",
+        "edit_script": f"with {base}, {words}, {dic} select term, {to_target} as changes, '{TARGET}' as target, term as source from dic",
+        "dp_table": f"with {base}, {words}, {dic} select term, length(term) + 1 as n_rows, {to_target} as distance, cast({sum(range(len(TARGET) + 1))} as bigint) as first_row, (length(term) * (length(term) + 1)) // 2 as first_column from dic",
+        "flow_matching": f"with {base}, v as (select keyword, (select count(*) from base where contains(s, keyword)) as n from (values {', '.join(f'''('{k}')''' for k in FLOW)}) k(keyword)) select keyword, least(n, 50) as assigned, least(n, 50) as held, cast(0 as bigint) as shared from v where n > 0",
+        "search_counts": f"with {base} select count(*) as total, count(*) filter (contains(s, 'the') and contains(s, 'haha') and contains(s, 'qqqzzz')) as every, count(*) filter (contains(s, 'the')) as the, count(*) filter (contains(s, 'haha')) as haha, count(*) filter (contains(s, 'qqqzzz')) as qqqzzz from base",
+        "doc_counts_by_scan": f"with {base} select keyword, (select count(*) from base where contains(s, keyword)) as documents from (values ('the'), ('haha'), ('queue'), ('qqqzzz')) k(keyword)",
+        "sorted_terms": f"with {base}, {words}, {dic} select keyword, term from dic, (values ('haha'), ('queue')) k(keyword) where contains(term, keyword)",
+        "sql_functions": f"with {base} select doc_id, md5(s) as digest, len(regexp_extract_all(s, '{t}+')) as n_tokens from base",
+        "sql_views": f"with {base}, {runs} select term, count(distinct doc_id) as df, count(*) as occurrences from toks group by 1",
+        "ingested_postings": f"with {base}, {runs} select doc_id, count(distinct term) as terms, count(*) as tokens from toks group by 1",
+        "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type as kind, count(*) as n from events group by 1, 2",
         "max_distance": f"with {base}, {words}, {dic} select term, cast(case when length(term) <= 2 then 0 when length(term) <= 4 then 1 when length(term) <= 8 then 2 else 3 end as bigint) as most from dic",
         "snippet_head": text("case when length(regexp_replace(original, '^\\s+|\\s+$', '', 'g')) > 200 then substr(regexp_replace(original, '^\\s+|\\s+$', '', 'g'), 1, 200) || '...' else regexp_replace(original, '^\\s+|\\s+$', '', 'g') end"),
         "stats_totals": f"with {base}, {words} select (select count(*) from base) as documents, (select cast(sum(length(s)) as bigint) from base) as characters, (select count(distinct language) from base) as languages, (select count(distinct term) from words) as terms, (select count(*) from words) as postings",

@@ -4,6 +4,12 @@ import json
 import os
 import random
 import unicodedata
+from collections import Counter
+from datetime import datetime
+from threading import Thread
+from urllib.error import HTTPError
+from urllib.parse import quote
+from urllib.request import Request, urlopen
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,12 +23,12 @@ from glyphflow.sources import corpus
 from glyphflow.streaming import ingest
 
 FX = [
-    ("fx-cs", "Computer Science", "english", "A Computer runs software.\nComputer Science studies algorithms.\n\nScience and technology of India and water."),
-    ("fx-c", "Computers", "english", "Every computer needs power."),
+    ("tea", "Green Tea", "english", "Green tea grows in the hills.\nA green Teahouse serves tea.\n\nTea and rain and roads of the north."),
+    ("pots", "Teapots", "english", "Hot tea needs time."),
     ("hi", "भारत", "hindi", "भारत एक देश है। भारतीय"),
     ("te", "తెలుగు", "telugu", "తెలుగు భాష‌లో దేశ"),
-    ("all50", "All fifty", "english", " ".join(f"kw{i}x" for i in range(50)) + " "),
-    ("fortynine", "Forty nine", "english", " ".join(f"kw{i}x" for i in range(49)) + " "),
+    ("many", "Numbered words", "english", " ".join(f"n{i}q" for i in range(50)) + " "),
+    ("fewer", "One word less", "english", " ".join(f"n{i}q" for i in range(49)) + " "),
 ]
 
 
@@ -31,6 +37,10 @@ def index(spark):
     return ix.Index(corpus.from_rows(spark, FX)).persist()
 
 
+def index_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def ids(df):
     return {r["doc_id"] for r in df.select("doc_id").collect()}
 
@@ -116,28 +126,29 @@ def test_edit_distance(spark):
 
 
 def test_search(spark, index):
-    found = plan.search(index, "Computer science")
+    found = plan.search(index, "Tea green")
     rows = found.results.collect()
-    assert [r["doc_id"] for r in rows] == ["fx-cs"] and rows[0]["match_count"] == 4 and rows[0]["score"] == 58.10
-    assert rows[0]["snippet"] == "A [[Computer]] runs software.\n[[Computer]] [[Science]] studies algorithms.\n[[Science]] and technology of India and water."
-    assert found.mode == "multi" and found.algorithm == "ahocorasick" and found.keyword_document_counts == {"computer": 2, "science": 1} and found.message is None
-    one = plan.search(index, "COMPUTER", algorithm="naive")
-    assert {r["doc_id"]: r["score"] for r in one.results.collect()}["fx-c"] == 46.67 and one.algorithm == "naive"
-    assert plan.search(index, "computer science", algorithm="kmp").algorithm_note
+    assert [r["doc_id"] for r in rows] == ["tea"] and rows[0]["match_count"] == 6 and rows[0]["score"] == 65.71  # (24 + 20 + 10 + 15) / 105
+    assert rows[0]["snippet"] == "[[Green]] [[tea]] grows in the hills.\nA [[green]] [[Tea]]house serves [[tea]].\n[[Tea]] and rain and roads of the north."
+    assert found.mode == "multi" and found.algorithm == "ahocorasick" and found.keyword_document_counts == {"tea": 2, "green": 1} and found.message is None
+    one = plan.search(index, "TEA", algorithm="naive")
+    assert {r["doc_id"]: r["score"] for r in one.results.collect()}["pots"] == 46.67 and one.algorithm == "naive"  # (4 + 20 + 10 + 15) / 105
+    assert one.total_results == 2 and one.total_documents == 6
+    assert plan.search(index, "tea green", algorithm="kmp").algorithm_note
 
 
 def test_search_edges(spark, index):
     assert plan.search(index, " ,.! ").message and plan.search(index, None).error is None
     assert "maximum is 50" in plan.search(index, " ".join(["x"] * 51)).error
-    assert ids(plan.search(index, " ".join(f"kw{i}x" for i in range(50))).results) == {"all50"}
+    assert ids(plan.search(index, " ".join(f"n{i}q" for i in range(50))).results) == {"many"}
     assert plan.search(index, "भारत", "hindi").total_results == 1 and plan.search(index, "भारत", "english").total_results == 0
     assert "selected language" in plan.search(index, "भारत", "english").message
     assert plan.search(index, unicodedata.normalize("NFD", "తెలుగు"), "all").total_results == 1
-    typo = plan.search(index, "computr")
-    assert typo.total_results == 0 and typo.suggestions["computr"][0]["term"] == "computer" and "suggestions" in typo.message
-    mended = plan.search(index, "computr", search_mode="fuzzy")
-    assert mended.total_results == 2 and mended.corrections[0]["editDistance"] == 1 and "computr -> computer" in mended.message
-    assert plan.search(index, "comput").suggestions == {}
+    typo = plan.search(index, "gren")
+    assert typo.total_results == 0 and typo.suggestions["gren"][0]["term"] == "green" and "suggestions" in typo.message
+    mended = plan.search(index, "gren", search_mode="fuzzy")
+    assert mended.total_results == 1 and mended.corrections[0]["editDistance"] == 1 and "gren -> green" in mended.message and mended.keyword_document_counts == {"green": 1}
+    assert plan.search(index, "gree").suggestions == {}
 
 
 def test_random_queries_match_containment(spark, index):
@@ -157,9 +168,17 @@ def test_postings_and_stats(spark, index):
     assert all(texts[r["doc_id"]][p : p + len(r["term"])] == r["term"] for r in rows for p in r["positions"])
     row = stats.totals(index).first()
     assert (row["documents"], row["languages"], row["postings"], row["characters"]) == (6, 3, len(rows), sum(map(len, texts.values())))
-    held = ix.dictionary_held(index.terms, ["comput", "", "qqq"]).collect()
-    assert [(r["keyword"], r["held"]) for r in held] == [("comput", True), ("", False), ("qqq", False)] and ix.dictionary_held(index.terms, []).count() == 0
-    assert ix.dictionary_contains(index.terms, "comput") and not ix.dictionary_contains(index.terms, "") and ix.docs_containing(index.postings, []).count() == 0
+    held = ix.dictionary_held(index.terms, ["gree", "", "qqq"]).collect()
+    assert [(r["keyword"], r["held"]) for r in held] == [("gree", True), ("", False), ("qqq", False)] and ix.dictionary_held(index.terms, []).count() == 0
+    assert ix.dictionary_contains(index.terms, "gree") and not ix.dictionary_contains(index.terms, "") and ix.docs_containing(index.postings, []).count() == 0
+    assert sorted(map(tuple, ix.build_dictionary(index.docs).collect())) == sorted(map(tuple, index.terms.collect()))
+    asked = ["tea", "ea", "", "qqq", "tea", "भारत"]
+    want = [(k, sum(k != "" and k in t for t in texts.values())) for k in dict.fromkeys(asked)]
+    for counts in (ix.keyword_doc_counts(index.postings, asked), ix.keyword_doc_counts_by_scan(index.docs, asked)):
+        assert [tuple(r) for r in counts.collect()] == want
+    assert ix.keyword_doc_counts(index.postings, []).count() == ix.keyword_doc_counts_by_scan(index.docs, []).count() == 0
+    assert [tuple(r) for r in ix.sorted_terms_containing(index.terms, ["te", "ea"]).collect()] == [("te", "tea"), ("te", "teahouse"), ("ea", "tea"), ("ea", "teahouse")]
+    assert "Exchange" not in index_plan(ix.build_postings(index.docs))
 
 
 def test_snippets():
@@ -189,48 +208,131 @@ def test_flow(spark, index):
         pairs = report.matching.collect()
         assert len(pairs) == v["maxFlow"] == len({p["doc_id"] for p in pairs}) and all(p["keyword"] in dict((i, t) for i, _, _, t in rows)[p["doc_id"]] for p in pairs)
         assert all(sum(p["keyword"] == k for p in pairs) <= n + 1 for k in v["keywords"])
-    report = flow.analyze(index.docs, "computer science", algorithm="ek", demand=5).values
-    assert not report["fullyMatched"] and report["unmatchedKeywords"]
+    report = flow.analyze(index.docs, "tea green", algorithm="ek", demand=5).values
+    assert not report["fullyMatched"] and report["unmatchedKeywords"] and report["algorithm"] == "Edmonds-Karp"
+    assert [r["augmentationsOrPhases"] for r in report["algorithmRuns"][:2]] == [2, 2] and report["keywordDegrees"] == {"tea": 2, "green": 1} and report["totalEdges"] == 2 + 2 + 3
+    cut = report["minCut"]
+    assert cut["sourceSideKeywords"] == ["tea", "green"] and cut["cutEdges"] == [{"from": "tea", "to": "SINK", "capacity": 1}, {"from": "tea", "to": "pots", "capacity": 1}]
     for bad in ("", " ".join(f"k{i}" for i in range(51))):
         with pytest.raises(ValueError):
             flow.analyze(index.docs, bad)
-    assert flow.analyze(index.docs, "water " * 60).values["keywordNodes"] == 1
+    assert flow.analyze(index.docs, "rain " * 60).values["keywordNodes"] == 1
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_flow_of_many_classes(spark, monkeypatch, most):
+    """Beyond MOST_CLASSES sets of keywords the kernel has the same flow, cut and matching size."""
+    monkeypatch.setattr(flow, "MOST_CLASSES", most)
+    r = random.Random(9)
+    words = ["aa", "bb", "cc", "dd", "ee"]
+    for demand in (1, 2, 3):
+        rows = [(f"{i:03d}", "t", "x", " ".join(w for w, p in zip(words, (0.9, 0.6, 0.1, 0.08, 0.05), strict=True) if r.random() < p)) for i in range(40)]
+        report = flow.analyze(corpus.from_rows(spark, rows), " ".join(words), demand=demand)
+        v, texts, pairs = report.values, dict((i, t) for i, _, _, t in rows), report.matching.collect()
+        assert v["maxFlow"] == brute_flow(texts.values(), words, demand) == len(pairs) == len({p["doc_id"] for p in pairs}) == v["matchingSize"]
+        assert v["minCut"]["equalsMaxFlow"] and v["algorithmsAgree"] and all(p["keyword"] in texts[p["doc_id"]] for p in pairs)
+        assert all(sum(p["keyword"] == k for p in pairs) <= demand for k in words)
+        top = v["minCut"]["sourceSideKeywords"]
+        assert v["minCut"]["capacity"] == len(v["minCut"]["cutEdges"]) if demand == 1 else sum(e["capacity"] for e in v["minCut"]["cutEdges"])
+        assert {e["to"] for e in v["minCut"]["cutEdges"] if e["from"] == "SOURCE"} == set(words) - set(top)
 
 
 def test_comparison(spark, index):
-    rows = plan.compare(index, "computer science")
-    assert len(rows) == 5 and {r["matches"] for r in rows[:4]} == {3} and rows[4]["matches"] == 4 and rows[4]["patternLength"] == 2
+    rows = plan.compare(index, "tea green")
+    assert len(rows) == 5 and {r["matches"] for r in rows[:4]} == {5} and rows[4]["matches"] == 6 and rows[4]["patternLength"] == 2
     with pytest.raises(ValueError):
         plan.compare(index, " ")
 
 
 def test_api(spark):
     service = api.Service(spark, docs=corpus.from_rows(spark, FX))
-    found = service.search(query="computr", searchMode="fuzzy")
-    assert found["totalResults"] == 2 and found["results"][0]["documentId"] and json.loads(api.to_json(found))
-    assert service.suggest("computr x", "99")["suggestions"][0]["term"] == "computer" and service.suggest("computer", "odd")["existsInDictionary"]
+    found = service.search(query="gren", searchMode="fuzzy")
+    assert found["totalResults"] == 1 and found["results"][0]["documentId"] == "tea" and json.loads(api.to_json(found))
+    assert found["algorithmNote"] is None and service.search(query="tea")["message"] is None
+    assert service.suggest("gren x", "99")["suggestions"][0]["term"] == "green" and service.suggest("green", "odd")["existsInDictionary"]
     with pytest.raises(ValueError):
         service.suggest(" ")
-    assert service.statistics()["documentCount"] == 6 and service.languages() == ["english", "hindi", "telugu"]
-    assert service.document("fx-c")["content"] == "Every computer needs power."
+    assert service.statistics()["documentCount"] == 6 and service.languages() == {"languages": ["english", "hindi", "telugu"]}
+    assert service.document("pots")["content"] == "Hot tea needs time."
     with pytest.raises(api.NotFound):
         service.document("none")
-    assert service.flow("water", demand="x")["demand"] == 1 and service.performance("computer")[0]["algorithm"] == "naive"
-    assert service.rebuild(corpus.from_rows(spark, FX[:2]))["documentCount"] == 2
+    assert service.flow("rain", demand="x")["demand"] == 1 and service.performance("tea")["comparison"][0]["algorithm"] == "naive"
+    assert service.rebuild(corpus.from_rows(spark, FX[:2])) == {"status": "rebuilt", "documentCount": 2}
     assert api.parse_query("a=1&a=2&b&c=%E0%A4%AD+x") == {"a": "2", "c": "भ x"}
 
 
+def test_http(spark):
+    service = api.Service(spark, docs=corpus.from_rows(spark, FX))
+    server = api.serve(service, 0)
+    Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, method="GET"):
+        try:
+            with urlopen(Request(f"http://127.0.0.1:{server.server_address[1]}{path}", method=method), timeout=120) as r:
+                raw = r.read()
+                return r.status, json.loads(raw) if raw else None, r.headers
+        except HTTPError as e:
+            return e.code, json.loads(e.read()), e.headers
+
+    try:
+        code, found, head = ask("/api/search?query=tea&language=english")
+        assert code == 200 and [x["documentId"] for x in found["results"]] == ["tea", "pots"] and head["Access-Control-Allow-Origin"] == "*" and "message" in found and "algorithmNote" in found
+        assert ask("/api/search?query=")[1]["results"] == [] and ask("/api/search?query=" + "+".join(f"k{i}" for i in range(51)))[0] == 400
+        assert ask("/api/search?query=" + quote("भारत"))[1]["totalResults"] == 1
+        assert ask("/api/languages")[1] == {"languages": ["english", "hindi", "telugu"]}
+        code, said, _ = ask("/api/performance?query=tea")
+        assert code == 200 and said["query"] == "tea" and said["language"] == "all" and len(said["comparison"]) == 5 and ask("/api/performance?query=")[0] == 400
+        code, said, _ = ask("/api/flow?query=tea+green&demand=1")
+        assert code == 200 and {"query", "language", "keywords", "demand", "algorithm", "keywordNodes", "documentNodes", "totalNodes", "keywordDocumentEdges", "totalEdges", "keywordDegrees", "requestedFlow", "maxFlow", "fullyMatched", "matchingSize", "matching", "unmatchedKeywords", "minCut", "algorithmRuns", "algorithmsAgree", "executionTimeMs", "totalTimeMs"} == set(said)
+        assert said["maxFlow"] == 2 and {r["algorithm"] for r in said["algorithmRuns"]} == {"Ford-Fulkerson", "Edmonds-Karp", "Dinic"} and ask("/api/flow?query=")[0] == 400
+        said = ask("/api/statistics")[1]
+        assert said["indexStatus"] == "Ready" and said["algorithms"][0] == "Naive" and said["totalSearches"] == 4
+        assert ask("/api/suggest?term=gren")[1]["suggestions"][0]["term"] == "green"
+        assert ask("/api/documents/pots")[1]["title"] == "Teapots" and ask("/api/documents/none")[0] == 404 and ask("/api/none")[0] == 404
+        assert ask("/api/search", "OPTIONS")[0] == 204
+    finally:
+        server.shutdown()
+
+
 def test_streaming_ingest(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "one two one", "en"), (2, "two", "de")], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "one two one", "en"), (2, "two", "de"), (3, "gone", "en")], "doc_id long, text string, lang string")
     rows.write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     for _ in range(2):
-        ingest.ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    rows.where("doc_id = 2").withColumn("text", F.lit("three")).write.mode("append").parquet(f"{tmp_path}/in")
-    ingest.ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        ingest.ingest(read(), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    spark.createDataFrame([(2, "three", "de"), (3, "", "en")], rows.schema).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest(read(), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r["term"], r["doc_id"], r["tf"]) for r in ingest.stored_postings(spark, f"{tmp_path}/out").collect()}
     assert got == {("one", "1", 2), ("two", "1", 1), ("three", "2", 1)}
 
 
+def test_window_counts(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, h, m), "a" if m % 2 else "b") for h in range(3) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_type string")
+    df.write.parquet(f"{tmp_path}/in")
+    ingest.write_counts(ingest.counts_by_window(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {(r["start"].hour, r["kind"]): r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == dict(Counter((t.hour, k) for t, k in rows))
+
+
+def test_normal_form(spark):
+    texts = ["e\u0301", "é", "plain", None, "\u1100\u1161", "भ\u093c", "\u212b x", "a" * 5000 + "\u030a"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.normalize(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: unicodedata.normalize("NFC", t or "") for i, t in enumerate(texts)}
+
+
+def test_sql_functions(spark):
+    T.register(spark)
+    row = spark.sql("select nfc('e\u0301') as a, searchable('ÀB') as b, tokenize('Hello, wörld! x') as c, edit_script('cat', 'cart') as d").first()
+    assert tuple(row) == ("é", "àb", ["hello", "wörld", "x"], ["MATCH c", "MATCH a", "INSERT r", "MATCH t"])
+
+
+def test_edit_scripts_rebuild(spark):
+    pairs = [("kitten", "sitting"), ("", "abc"), ("abc", ""), ("भारत", "भरत"), ("😀a", "a😀"), ("INSERT", "DELETE")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy.edit_script_udf("a", "b").alias("s"))
+    assert all((r["a"], r["b"]) == (r["x"], r["y"]) for r in df.select("a", "b", fuzzy.source_of(F.col("s")).alias("x"), fuzzy.target_of(F.col("s")).alias("y")).collect())
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
