@@ -3,9 +3,9 @@
 Units of a file are its whole text, its paragraphs (runs between lines without letters and digits), its
 lines and its sentences.  A unit's features are its words (runs of a-z and 0-9 after lower-casing) and its
 pairs of neighbouring words, which tell versions and variants apart.  A word weighs
-``tf * ln((N + 1) / (df + 1))``, with df the number of files that hold it, counted over all N files; words of
-no template weigh like a word of no file.  A pair of a template weighs like the rarer of its words, any
-other pair like a word of no file.  A unit has the licence of the template with the highest cosine, if that
+``tf * ln((N + 1) / (df + 1))``, with df the number of files that hold it, counted over all N files.  A pair of a
+template weighs like the rarer of its words.  Words and pairs of no template weigh like a word of no file,
+each once.  A unit has the licence of the template with the highest cosine, if that
 is THRESHOLD or more; a file has that of its best unit (ties: the first licence by name).  The column near
 names other licences whose score is within NEAR of it.
 
@@ -72,8 +72,8 @@ def _table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)} as t({names})")
 
 
-def weights_of(templates, idf: dict[str, float], threshold: float) -> tuple[set[str], list[tuple[int, str, str, float]]]:
-    """The cues, and (template, licence, feature, weight) with weights of length one."""
+def weights_of(templates, idf: dict[str, float], df: dict[str, int], threshold: float) -> tuple[set[str], list[tuple[int, str, str, float]]]:
+    """The cues, chosen by what they carry for each file that holds them, and (template, licence, feature, weight) with weights of length one."""
     cues, weights = set(), []
     for k, (name, text) in enumerate(templates):
         fs = features(template_words(text))
@@ -86,7 +86,7 @@ def weights_of(templates, idf: dict[str, float], threshold: float) -> tuple[set[
             for f, x in left.items():
                 for w in set(f.split()):
                     gain[w] = gain.get(w, 0) + x
-            cue = min(gain, key=lambda w: (-gain[w], w))
+            cue = min(gain, key=lambda w: (-gain[w] / (df.get(w, 0) + 1), w))
             cues.add(cue)
             left = {f: x for f, x in left.items() if cue not in f.split()}
         weights += [(k, name, f, x) for f, x in sorted(unit.items())]
@@ -110,19 +110,24 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     n = df.pop("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in terms}
     most = math.log(n + 1) + 1e-3
-    cues, weights = weights_of(templates, idf, threshold)
+    cues, weights = weights_of(templates, idf, df, threshold)
     cue = F.split(F.lit(" ".join(sorted(cues))), " ")
-    rates = {f: max(idf[w] for w in f.split()) for _, _, f, _ in weights}
-    rates = F.broadcast(_table(spark, sorted(rates.items()), "feature, rate"))  # the templates are a fixed list
+    rates_of = {f: max(idf[w] for w in f.split()) for _, _, f, _ in weights}
+    rates = F.broadcast(_table(spark, sorted(rates_of.items()), "feature, rate"))  # the templates are a fixed list
     table = F.broadcast(_table(spark, weights, "template, license, feature, weight"))
 
-    #: A file's own licence depends on its text only; copies of a text have one key, and counts that are a multiple have the same cosine.
+    #: A file's own licence depends on its text only; copies of a text have one key and count once.
     key = ["key_a", "key_b"]
-    some = files.where(F.arrays_overlap(words_of(F.col("text")), cue)).select(*key, "text")
+    some = files.where(F.arrays_overlap(words_of(F.col("text")), cue)).select(*key, "text").dropDuplicates(key)
     units = some.select(*key, F.posexplode(units_of(F.col("text"))).alias("unit", "part")).where(F.arrays_overlap(words_of(F.col("part")), cue))
-    tf = units.select(*key, "unit", F.explode(features_of(F.col("part"))).alias("feature")).groupBy(*key, "unit", "feature").agg(F.count("*").alias("tf"))
-    tf = tf.join(rates, "feature", "left").select(*key, "unit", "feature", (F.col("tf") * F.coalesce("rate", F.lit(most))).alias("value"))
-    norms = tf.groupBy(*key, "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    feats = units.select(*key, "unit", features_of(F.col("part")).alias("features"))
+    vocabulary = F.split(F.lit("|".join(sorted(rates_of))), r"\|")
+    feats = feats.withColumn("foreign", F.size(F.array_except("features", vocabulary)))
+    #: Only features of templates are shuffled; the others of a unit are one number.
+    tf = feats.select(*key, "unit", "foreign", F.explode("features").alias("feature")).join(rates, "feature")
+    tf = tf.groupBy(*key, "unit", "foreign", "feature").agg((F.count("*") * F.first("rate")).alias("value"))
+    norms = tf.groupBy(*key, "unit", "foreign").agg(F.sum(F.col("value") * F.col("value")).alias("mass"))
+    norms = norms.select(*key, "unit", F.sqrt(F.col("mass") + F.col("foreign") * (most * most)).alias("norm"))
     dots = tf.join(table, "feature").groupBy(*key, "unit", "template", "license").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     close = dots.join(norms, [*key, "unit"]).select(*key, "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     close = close.groupBy(*key, "license").agg(F.max("score").alias("score"))

@@ -137,7 +137,7 @@ ORACLE: dict[str, str] = {
             regexp_split_to_array(text, '(?:\r\n|[\n\r])[^\p{{L}}\p{{N}}\r\n]*(?:\r\n|[\n\r])'), regexp_split_to_array(text, '[.!?][ \t\r\n]+')))) as part from d),
         ps as (select doc_id, part, list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as ws from u),
         p as (select doc_id, part, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from ps),
-        q as (select doc_id, part, f, count(*) * coalesce(any_value(idf), any_value(ln(files + 1)) + 0.001) as value from p left join f using (f), n group by 1, 2, 3),
+        q as (select doc_id, part, f, coalesce(count(*) * any_value(idf), any_value(ln(files + 1)) + 0.001) as value from p left join f using (f), n group by 1, 2, 3),
         s as (select doc_id, part, sqrt(sum(value * value)) as size from q group by 1, 2),
         x as (select doc_id, part, k, license, sum(value * weight) as dot from q join w using (f) group by 1, 2, 3, 4),
         y as (select doc_id, license, max(round(dot / size, 6)) as score from x join s using (doc_id, part) where round(dot / size, 6) >= {license_scan.THRESHOLD} group by 1, 2),

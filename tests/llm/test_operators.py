@@ -651,7 +651,7 @@ def test_license_cosine_by_hand(spark):
         best = {}
         for unit, (name, t) in itertools.product(units[i], license_scan.TEMPLATES):
             fs, ft = (license_scan.features(license_scan.template_words(x)) for x in (unit, t))
-            a, b = ({f: x.count(f) * idf(f) for f in x} for x in (fs, ft))
+            a, b = ({f: (x.count(f) if f in known else 1) * idf(f) for f in x} for x in (fs, ft))
             cos = sum(a[f] * b.get(f, 0) for f in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if a else 0
             if cos >= 0.5:
                 best[name] = max(best.get(name, 0), round(cos, 6))
