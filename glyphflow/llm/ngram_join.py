@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import dropped, identity, without, written
-from .wordhash import mix, shingle_hashes, slices, word_hashes
+from .wordhash import give_back, mix, shingle_hashes, slices, word_hashes
 
 HEAVY = 1 << 18
 BUCKET_SHINGLES = 1 << 20
@@ -165,6 +165,7 @@ def repeated_shingles(docs: DataFrame, n: int, bits: int, chosen=None) -> DataFr
                 numbers += [np.ones(len(one), np.uint32), more[1].copy()]
         if values:
             yield flush()
+        give_back()
 
     parts = docs.select("key_a", "text").mapInArrow(deal, "bucket long, once binary, often binary")
     return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "shingle long, times long")
@@ -385,6 +386,7 @@ def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> Da
                     key, held = grp, []
                 held.append((*row, s.as_buffer()))
         yield from flush()
+        give_back()
 
     rows = placed.join(sets, "key").select("grp", "key", "label", "side", "bucket", "buckets", "copies", "set")
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long")

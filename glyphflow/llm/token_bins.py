@@ -33,6 +33,8 @@ JOINED = 4096
 PART_BYTES, MOST_PARTS = 64 << 20, 1 << 20
 RANGE_DOCS = 1 << 16
 READ_IDS = 1 << 20
+#: Bytes of text encoded at a time: each distinct word of them is looked up once.
+SLICE_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -131,7 +133,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         coder = encoder(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coder.lengths(batch.column("text")) + 1)], names=["doc_id", "length"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, length long")
@@ -154,7 +156,7 @@ def write_store(docs: DataFrame, tokenizer: str, end: int = 2, parts: int | None
         coder = encoder(tokenizer)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         files, total, docs_here, nulls = None, 0, 0, 0
-        for some in slices(batches):
+        for some in slices(batches, SLICE_BYTES):
             if files is None:
                 files = [store.open_output_stream(f"{root}/{kind}-{name}.bin") for kind in ("ids", "offsets", "docs")]
             ids, ends = coder.encode(some.column("text"), end)

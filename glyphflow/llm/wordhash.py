@@ -7,12 +7,14 @@ texts are hashed on their raw bytes without building a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _U = np.uint64
 
@@ -66,6 +68,15 @@ def slices(batches, size: int = SLICE):
         rows = max(1, batch.num_rows * size // max(1, batch.column("text").nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task, as workers stay for the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
