@@ -4,18 +4,18 @@ A document's set holds its distinct n-word shingles (with fewer words, the whole
 Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
 
 1. Equal sets become one class, kept by one of its rows.
-2. The shingles of classes are counted.  A class of whose shingles more than ``n - ceil(n * num / den)``
-   occur in no other class links with none and is done.  (The repeated shingles go to the executors as
-   a bit filter of bounded size, which takes some unique ones for repeated and never the other way.)
-   One global order holds everywhere: by count, then by hash; the counts are those of the most common
-   shingles, a bounded list, and 1 or 0 for the rest.  Each class left posts, of its first
-   ``n - ceil(n * num / den) + 1`` shingles, rarest first, those that are repeated; linked classes share
-   at least one.
-3. Classes that share a posted shingle form families (connected components of star edges: each
-   class with the smallest class of the shingle, so no pairs are written).  A large family whose classes
+2. The shingles of classes are counted in buckets, which tell each class how many of its own occur in no
+   other class.  A class with more than ``n - ceil(n * num / den)`` of them links with none and is done.
+   The sets of the others are counted among themselves, every shingle exactly, and the same rule holds
+   again.  Each class left posts, of its first ``n - ceil(n * num / den) + 1`` shingles in one global order
+   (by that count, then by hash), rarest first, those that are repeated; linked classes share at least one.
+3. Classes that share a posted shingle and are of one size or the next (sizes in steps of den / num) form
+   families (connected components of star edges: each class with the smallest class of the shingle and
+   size, so no pairs are written).  A large family whose classes
    share few shingles each is split by shingle: shingles are dealt into buckets of about PAIR_ROWS
    classes, and a class goes to the buckets of its own.  Families, or such buckets, are the units.
-4. The sets of a unit are stored in a prefix tree, most common shingles of the global order first.  All
+4. The sets of a unit are stored in a prefix tree, most common shingles first (in one order everywhere, of
+   which a bounded list has the counts).  All
    probes go down the tree together: equal beginnings are counted once for all sets below, and a probe
    leaves a subtree as soon as the shingles that remain on either side cannot reach the overlap asked for.
 5. Large units are dealt out in blocks by size; every two blocks whose sizes fit meet in a task.
@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import dropped, identity, without, written
+from .scratch import dropped, identity, swept, without, written
 from .wordhash import give_back, mix, shingle_hashes, slices, word_hashes
 
 HEAVY = 1 << 18
 BUCKET_SHINGLES = 1 << 20
 LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 6, 18
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 27
+SLICE_ROWS = 1 << 16
+TOLD_SHINGLES = 1 << 22
 PAIR_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
 PAIR_CELLS = 1 << 24
@@ -121,110 +123,176 @@ def cut_hashes(s: np.ndarray, bits: int) -> np.ndarray:
     return s & ~np.uint64((1 << (32 - bits)) - 1)
 
 
-def repeated_shingles(docs: DataFrame, n: int, bits: int, chosen=None) -> DataFrame:
-    """(shingle, times) of the shingles in two texts or more; of a shingle's hash the upper 32 + bits bits count.
+def spare_shingles(size, num: int, den: int):
+    """Of a set of this size, the shingles that a link may leave out."""
+    return size - -(-num * size // den)
 
-    Every batch counts its own shingles first and sends each once for its bucket, sorted and packed into
-    four bytes: those that it has once, and those that it has more often with their numbers.
+
+def maybe_linked(docs: DataFrame, n: int, num: int, den: int, bits: int, chosen) -> DataFrame:
+    """(key_a) of the chosen texts that share with other texts all shingles but those that a link may leave out.
+
+    Every slice of texts sends each of its shingles once to the shingle's bucket, packed into four bytes (of a
+    hash the upper 32 + bits bits count), with the text's place in the slice if no other of its texts has it.
+    The buckets answer with the number of each text's shingles that came from nowhere else, and those numbers
+    meet the slice's keys again, so nothing needs room for all shingles.  A slice is named by its contents: if
+    a task that runs again cuts other slices, numbers are missing, which only lets more texts through.
     """
 
     def deal(batches):
         for batch in slices(batches):
-            keep = None if chosen is None else let_through(chosen.value, batch.column("key_a").to_numpy())
-            sets = _sets(batch, n, keep)
-            value, times = np.unique(cut_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), bits), return_counts=True)
-            low = (value >> np.uint64(32 - bits)).astype(np.uint32)
-            cuts = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            cuts = np.concatenate([[0], cuts, [len(value)]])
-            full = np.flatnonzero(np.diff(cuts))
-            once, often = [], []
-            for k in full.tolist():
-                v, t = low[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]]
-                once.append(v[t == 1].tobytes())
-                often.append(np.stack([v[t > 1], t[t > 1].astype(np.uint32)]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(once, pa.binary()), pa.array(often, pa.binary())], names=["bucket", "once", "often"])
+            keep = np.flatnonzero(let_through(chosen.value, batch.column("key_a").to_numpy()))
+            for at in range(0, len(keep), SLICE_ROWS):
+                yield pack(batch, keep[at : at + SLICE_ROWS])
+
+    def pack(batch, rows):
+        keep = np.zeros(batch.num_rows, bool)
+        keep[rows] = True
+        sets = _sets(batch, n, keep)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        keys = batch.column("key_a").to_numpy()[rows].astype(np.int64)
+        name = int(mix(mix(keys.view(np.uint64)) + np.arange(len(keys), dtype=np.uint64)).sum().view(np.int64))
+        value = cut_hashes(np.concatenate([*sets, np.zeros(0, np.uint64)]), bits)
+        place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        order = np.argsort(value)
+        first = np.ones(len(value), bool)
+        first[1:] = value[order[1:]] != value[order[:-1]]
+        last = np.append(first[1:], True)[: len(value)]
+        once, often = np.sort(order[first & last]), value[order[first & ~last]]
+        bucket = (value[once] >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        once, bucket, bucket_often = once[by], bucket[by], (often >> np.uint64(64 - bits)).astype(np.int64)
+        low, place, often = (value[once] >> np.uint64(32 - bits)).astype(np.uint32), place[once], (often >> np.uint64(32 - bits)).astype(np.uint32)
+        full = np.unique(np.concatenate([bucket, bucket_often]))
+        a, b, c, d = (np.searchsorted(x, full, side) for x in (bucket, bucket_often) for side in ("left", "right"))
+        spans = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
+        #: The slice's keys, with what each text may leave out, go to a bucket of their own.
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1 - (name & (1 << 62) - 1), *full.tolist()], pa.int64()), pa.array([name] * (len(full) + 1), pa.int64()),
+                pa.array([keys.tobytes(), *(low[i:j].tobytes() for i, j, _, _ in spans)], pa.binary()),
+                pa.array([np.where(sizes > 0, spare_shingles(sizes, num, den), -1).tobytes(), *(place[i:j].tobytes() for i, j, _, _ in spans)], pa.binary()),
+                pa.array([b"", *(often[i:j].tobytes() for _, _, i, j in spans)], pa.binary()),
+            ],
+            names=["bucket", "slice", "once", "place", "often"],
+        )
 
     def count(batches):
-        key, values, numbers = None, [], []
-
-        def flush():
-            value, where = np.unique(np.concatenate(values), return_inverse=True)
-            times = np.bincount(where, weights=np.concatenate(numbers), minlength=len(value)).astype(np.int64)
-            more = times > 1
-            shingle = (value[more].astype(np.uint64) << np.uint64(32 - bits)) | (np.uint64(key) << np.uint64(64 - bits))
-            return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(times[more])], names=["shingle", "times"])
-
+        key, held, found, size = None, [], {}, 0
+
+        def settle():
+            """What only one slice has of a bucket, by slice."""
+            lone = np.concatenate([once for _, once, _, _ in held])
+            _, where, times = np.unique(np.concatenate([lone, *(x for _, _, _, often in held for x in (often, often))]), return_inverse=True, return_counts=True)
+            alone, at = times[where[: len(lone)]] == 1, 0
+            for name, once, place, _ in held:
+                found.setdefault(name, []).append(place[alone[at : at + len(once)]])
+                at += len(once)
+            return len(lone)
+
+        def told():
+            sums = [np.unique(np.concatenate(x), return_counts=True) for x in found.values()]
+            rows = [list(found), [None] * len(sums), [p.tobytes() for p, _ in sums], [t.astype(np.uint32).tobytes() for _, t in sums]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+
+        names, kinds = ["slice", "keys", "place", "times"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            for bucket, once, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for bucket, name, once, place, often in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((name, once.as_py(), place.as_py(), None), kinds, strict=True)], names=names)
+                    continue
                 if bucket != key:
-                    if values:
-                        yield flush()
-                    key, values, numbers = bucket, [], []
-                one, more = np.frombuffer(once.as_buffer(), np.uint32), np.frombuffer(often.as_buffer(), np.uint32).reshape(2, -1)
-                values += [one.copy(), more[0].copy()]
-                numbers += [np.ones(len(one), np.uint32), more[1].copy()]
-        if values:
-            yield flush()
+                    size += settle() if held else 0
+                    key, held = bucket, []
+                    if size > TOLD_SHINGLES:
+                        yield told()
+                        found, size = {}, 0
+                held.append((name, np.frombuffer(once.as_py(), np.uint32), np.frombuffer(place.as_py(), np.uint16), np.frombuffer(often.as_py(), np.uint32)))
+        if held:
+            settle()
+            yield told()
         give_back()
 
-    parts = docs.select("key_a", "text").mapInArrow(deal, "bucket long, once binary, often binary")
-    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "shingle long, times long")
+    def gather(batches):
+        at, keys, spare, parts = None, None, None, []
+
+        def left():
+            if keys is None:  # of a slice that was cut again
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["key_a"])
+            alone = np.zeros(len(keys), np.int64)
+            for place, times in parts:
+                alone[place] += times
+            return pa.RecordBatch.from_arrays([pa.array(keys[alone <= spare])], names=["key_a"])
+
+        for batch in batches:
+            for name, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if name != at:
+                    if at is not None:
+                        yield left()
+                    at, keys, spare, parts = name, None, None, []
+                if row[0] is not None:
+                    keys, spare = np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int64)
+                else:
+                    parts.append((np.frombuffer(row[1], np.uint16), np.frombuffer(row[2], np.uint32)))
+        if at is not None:
+            yield left()
+
+    parts = docs.select("key_a", "text").mapInArrow(deal, "bucket long, slice long, once binary, place binary, often binary")
+    told = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "slice long, keys binary, place binary, times binary")
+    return told.repartition("slice").sortWithinPartitions("slice").mapInArrow(gather, "key_a long")
 
 
 class GlobalOrder:
-    """The one order of all shingles: by number of texts, then by hash."""
+    """The one order of all shingles in prefix trees: by the number of texts of the most common, then by hash."""
 
-    def __init__(self, value: np.ndarray, times: np.ndarray, words: np.ndarray, bits: int):
+    def __init__(self, value: np.ndarray, times: np.ndarray):
         order = np.argsort(value)
-        self.value, self.times, self.words, self.bits = value[order], times[order], words, bits
+        self.value, self.times = value[order], times[order]
 
     def counts(self, s: np.ndarray) -> np.ndarray:
-        """0: in no other text; 1: repeated, or taken for it; else the number of a common shingle."""
-        cut = cut_hashes(s, self.bits)
-        rank = let_through(self.words, cut.view(np.int64)).astype(np.int64)
+        """The number of a common shingle, 1 for the rest."""
+        rank = np.ones(len(s), np.int64)
         if len(self.value) and len(s):
-            place = np.minimum(np.searchsorted(self.value, cut), len(self.value) - 1)
-            rank = np.where(self.value[place] == cut, self.times[place], rank)
+            place = np.minimum(np.searchsorted(self.value, s), len(self.value) - 1)
+            rank = np.where(self.value[place] == s, self.times[place], rank)
         return rank
 
 
-def global_order(docs: DataFrame, n: int, shingles: int, chosen=None) -> GlobalOrder:
-    bits = bucket_bits(shingles)
-    repeated = written(repeated_shingles(docs, n, bits, chosen), "repeated")
-    top = repeated.orderBy(F.desc("times"), "shingle").limit(HEAVY).toArrow()
-    out = GlobalOrder(top["shingle"].to_numpy().view(np.uint64), top["times"].to_numpy(), bit_filter(repeated, "shingle", repeated.count()), bits)
-    dropped(repeated)
-    return out
-
-
-def _candidates(docs: DataFrame, n: int, num: int, den: int, order, chosen) -> DataFrame:
-    """(key_a, key_b, n, prefix, set) of the chosen texts that may link with another.
-
-    A text links with nothing if more of its shingles than a link may leave out occur in no other text.
-    prefix: of its first shingles in the global order, as many as two linked texts can't both have apart,
-    those that occur in another text.
-    """
+def _candidates(docs: DataFrame, n: int, chosen) -> DataFrame:
+    """(key_a, key_b, n, set) of the chosen texts."""
 
     def describe(batches):
         for batch in slices(batches):
             keep = let_through(chosen.value, batch.column("key_a").to_numpy())
-            out = [[], [], [], [], []]
-            for i, s in zip(np.flatnonzero(keep).tolist(), _sets(batch, n, keep), strict=True):
-                size = len(s)
-                spare = size - -(-num * size // den)
-                if not size:
-                    continue
-                rank = order.value.counts(s)
-                if int((rank == 0).sum()) > spare:
-                    continue
-                first = np.lexsort((s, rank))[: spare + 1]
-                prefix = s[first][rank[first] > 0].view(np.int64)
-                for x, v in zip(out, (batch.column("key_a")[i].as_py(), batch.column("key_b")[i].as_py(), size, prefix, s.tobytes()), strict=True):
-                    x.append(v)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key_a", "key_b", "n", "prefix", "set"])
+            rows = [(batch.column("key_a")[i].as_py(), batch.column("key_b")[i].as_py(), len(s), s.tobytes()) for i, s in zip(np.flatnonzero(keep).tolist(), _sets(batch, n, keep), strict=True) if len(s)]
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key_a", "key_b", "n", "set"])
+
+    return docs.select("key_a", "key_b", "text").mapInArrow(describe, "key_a long, key_b long, n long, set binary")
+
 
-    return docs.select("key_a", "key_b", "text").mapInArrow(describe, "key_a long, key_b long, n long, prefix array<long>, set binary")
+def _prefixes(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, GlobalOrder]:
+    """(key, n, prefix) of the classes (key, n, set) that may still link, by the exact counts of all their shingles.
+
+    prefix: of the first shingles, rarest first, as many as two linked sets can't both have apart, those that
+    occur in another class.
+    """
+
+    def spell(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["key", "token"])
+
+    posts = classes.select("key", "set").mapInArrow(spell, "key long, token long")
+    times = written(posts.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    top = times.orderBy(F.desc("times"), "token").limit(HEAVY).toArrow()
+    shared = posts.join(times, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
+    spare = F.expr(f"n - ({num} * n + {den - 1}) div {den}")
+    left = (spare - F.col("n") + F.size("shared")).cast("int")  # without the shingles of this class only
+    found = classes.select("key", "n").join(shared, "key").where(left >= 0).select("key", "n", F.slice(F.col("shared.token"), F.lit(1), left + 1).alias("prefix"))
+    found = written(found, "prefixes")
+    dropped(times)
+    return found, GlobalOrder(top["token"].to_numpy().view(np.uint64), top["times"].to_numpy())
 
 
 class PrefixTree:
@@ -393,16 +461,17 @@ def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> Da
 
 
 class _Units:
-    """Classes (key, copies, n, prefix, set) dealt into units, and those into blocks by size."""
+    """Classes (key, copies, set) with prefixes (key, n, prefix) dealt into units, and those into blocks by size."""
 
-    def __init__(self, classes: DataFrame, num: int, den: int):
-        posts = classes.select("key", F.explode("prefix").alias("token"))
-        heads = written(posts.groupBy("token").agg(F.min("key").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "head"), "heads")
-        of = posts.join(heads, "token").groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_set("head").alias("heads"))  # a class' own prefix
+    def __init__(self, classes: DataFrame, prefixes: DataFrame, num: int, den: int):
+        size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
+        #: Linked classes are of one size or the next, so each posts for its own size and the next one.
+        posts = prefixes.select("key", F.explode("prefix").alias("token"), size.alias("size")).select("key", "token", F.explode(F.array("size", F.col("size") + 1)).alias("slot"))
+        heads = written(posts.groupBy("token", "slot").agg(F.min("key").alias("head"), F.count("*").alias("times")).where("times > 1").select("token", "slot", "head"), "heads")
+        of = posts.join(heads, ["token", "slot"]).groupBy("key").agg(F.collect_set("token").alias("tokens"), F.collect_set("head").alias("heads"))  # a class' own prefix
         shared = written(of, "shared")
         families = components(shared.select(F.col("key").alias("a"), F.explode("heads").alias("b")).where("a <> b"), "families")
-        size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
-        members = written(families.join(classes.select("key", "n"), families["node"] == F.col("key")).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
+        members = written(families.join(prefixes.select("key", "n"), families["node"] == F.col("key")).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
         small = (F.count("*") <= PAIR_ROWS) & (F.sum("n") <= BLOCK_SHINGLES)
         whole = members.groupBy("family").agg(small.alias("small"), F.count("*").alias("rows"))
         whole = written(whole.withColumn("deal", F.ceil(F.col("rows") / PAIR_ROWS)), "whole")
@@ -441,9 +510,9 @@ def _each(n: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("to")
 
 
-def all_links(classes: DataFrame, order, num: int, den: int) -> DataFrame:
-    """(a, b, links) of all links between classes (key, copies, n, prefix, set), as _joined() gives them."""
-    u = _Units(classes, num, den)
+def all_links(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int) -> DataFrame:
+    """(a, b, links) of all links between classes (key, copies, set) with prefixes (key, n, prefix), as _joined() gives them."""
+    u = _Units(classes, prefixes, num, den)
     groups = u.small
     if u.some_large:  # every two blocks of one size class meet once, and every block meets all of the next class
         own = u.blocked.select("*", _each("blocks"))
@@ -459,9 +528,9 @@ def all_links(classes: DataFrame, order, num: int, den: int) -> DataFrame:
     return links
 
 
-def connected(classes: DataFrame, order, num: int, den: int) -> DataFrame:
+def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int) -> DataFrame:
     """(a, b): links between classes, as many as connect all that links connect."""
-    u = _Units(classes, num, den)
+    u = _Units(classes, prefixes, num, den)
     groups = u.small
     if u.some_large:  # a block meets block 0 of its own size class and of the next; block 0 goes to all of them
         to = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -497,7 +566,7 @@ def connected(classes: DataFrame, order, num: int, den: int) -> DataFrame:
 
 
 def _classes(docs: DataFrame, n: int, num: int, den: int, whole: bool):
-    """(prints, classes, candidates, order): every row's fingerprints, the classes of equal sets, those that may link.
+    """(prints, classes, candidates, prefixes, order): every row's fingerprints, the classes of equal sets, those that may link.
 
     docs: (doc_id, text).  classes: (n, f1, f2, key, copies, doc_id, key_a, key_b), the latter of its first
     row; rows without a doc_id come last (whole) or take no part.
@@ -511,13 +580,17 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, whole: bool):
     classes = written(classes.select("n", "f1", "f2", "copies", "first.doc_id", "first.key_a", "first.key_b", F.monotonically_increasing_id().alias("key")), "classes")
     seen = classes.agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).first()
     chosen = spark.sparkContext.broadcast(bit_filter(classes, "key_a", seen["rows"]))
-    order = spark.sparkContext.broadcast(global_order(keyed, n, seen["shingles"] or 0, chosen))
-    found = written(_candidates(keyed, n, num, den, order, chosen).withColumn("row", F.monotonically_increasing_id()), "found")
+    linked = written(maybe_linked(keyed, n, num, den, bucket_bits(seen["shingles"] or 0), chosen), "linked")
+    swept(spark)
+    chosen = spark.sparkContext.broadcast(bit_filter(linked, "key_a", linked.count()))
+    found = written(_candidates(keyed, n, chosen).withColumn("row", F.monotonically_increasing_id()), "found")
     #: Rows that repeat an id and its text are found again; one of them stands for the class.
     picked = found.select("row", "key_a", "key_b").join(classes.select("key", "copies", "key_a", "key_b"), ["key_a", "key_b"]).groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies"))
     maybe = written(found.drop("key_a", "key_b").join(picked, "row").drop("row"), "maybe")
-    dropped(found)
-    return prints, classes, maybe, order
+    dropped(linked, found)
+    prefixes, order = _prefixes(maybe, num, den)
+    swept(spark)
+    return prints, classes, maybe, prefixes, spark.sparkContext.broadcast(order)
 
 
 def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -527,9 +600,9 @@ def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     them; null without a doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints, classes, maybe, order = _classes(docs, n, num, den, False)
-    links = all_links(maybe, order, num, den)
-    dropped(maybe)
+    prints, classes, maybe, prefixes, order = _classes(docs, n, num, den, False)
+    links = all_links(maybe, prefixes, order, num, den)
+    dropped(maybe, prefixes)
     edges = links.where("a <> b").select("a", "b")
     #: Rows that repeat a doc_id are one document, whatever their texts.
     rows = prints.join(classes.select("n", "f1", "f2", "key"), ["n", "f1", "f2"], "left").where("doc_id is not null").select("doc_id", "key")
@@ -564,9 +637,9 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Rows with null or blank texts all stay.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints, classes, maybe, order = _classes(plain, n, num, den, True)
-    links = connected(maybe, order, num, den)
-    dropped(maybe)
+    prints, classes, maybe, prefixes, order = _classes(plain, n, num, den, True)
+    links = connected(maybe, prefixes, order, num, den)
+    dropped(maybe, prefixes)
     groups = components(links, "groups")
     of = classes.join(groups, classes["key"] == groups["node"], "left").withColumn("component", F.coalesce("component", "key"))
     kept = written(of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")).alias("first")).select("first.key_a", "first.key_b"), "kept")

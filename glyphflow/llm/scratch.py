@@ -7,6 +7,7 @@ setting and gets a folder of its own; on a cluster a folder of one machine would
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -68,6 +69,12 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: only then does Spark delete the shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def null_safe(*values: Column) -> list[Column]:
     """The values with a flag for each that is null, so that a hash tells nulls apart."""
     return [x for v in values for x in (v, v.isNull())]

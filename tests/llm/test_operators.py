@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from glyphflow.llm import bit_sliced, chat, decontaminate, lattice_lm, license_scan, license_texts, ngram_join, packing, quality, token_bins, url_rules
+from glyphflow.llm import bit_sliced, chat, decontaminate, lattice_lm, license_scan, license_texts, ngram_join, packing, quality, scratch, token_bins, url_rules
 from glyphflow.llm.components import components
 from glyphflow.llm.wordhash import shingle_hashes, word_hashes
 from pyspark.sql import functions as F
@@ -150,6 +150,38 @@ def test_chains_of_texts_that_share_little(spark, monkeypatch, connect):
     assert {r.doc_id: r.n_links for r in ngram_join.ngram_links(table(spark, rows), 1, 30, 100).collect()} == want
 
 
+@pytest.mark.parametrize("connect", [False, True])
+def test_join_of_more_shingles_than_filters_hold(spark, monkeypatch, connect):
+    """Neither texts that link with none nor families by chance are kept because the bounded filters and lists are full."""
+    monkeypatch.setattr(ngram_join, "MOST_FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(ngram_join, "LEAST_FILTER_BITS", 1 << 10)
+    monkeypatch.setattr(ngram_join, "HEAVY", 1)
+    monkeypatch.setattr(ngram_join, "TOLD_SHINGLES", 500)
+    made = {}
+
+    def written(df, name):
+        made.setdefault(name, out := scratch.written(df, name))
+        made[f"{name} rows"] = max(made.get(f"{name} rows", 0), out.count())
+        if name == "whole":
+            made["largest"] = out.agg(F.max("rows")).first()[0]
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    r = random.Random(3)
+    texts = [[f"t{i}w{k}" for k in range(100)] for i in range(160)]
+    for i in range(60):  # these have a near copy, and quarters that stand in two others as well
+        texts[i][25:50] = texts[(i + 1) % 60][:25]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*texts[i][:97], "n1", "n2", f"n{i}"])) for i in range(60)]
+    r.shuffle(rows)
+    if connect:
+        assert sorted(x.doc_id for x in ngram_join.distinct_documents(table(spark, rows), 3, 80, 100).collect()) == list(range(160))
+    else:
+        got = {x.doc_id: (x.component_id, x.n_links) for x in ngram_join.ngram_links(table(spark, rows), 3, 80, 100).collect()}
+        assert got == {i: (i % 1000, int(i % 1000 < 60)) for i, _ in rows}
+    assert made["found rows"] <= 130 and made["maybe rows"] <= 130
+    assert made["largest"] == 2
+
+
 def test_prefix_tree():
     r = random.Random(8)
     for _ in range(40):
