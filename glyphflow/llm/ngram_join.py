@@ -18,7 +18,9 @@ Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
    which a bounded list has the counts).  All
    probes go down the tree together: equal beginnings are counted once for all sets below, and a probe
    leaves a subtree as soon as the shingles that remain on either side cannot reach the overlap asked for.
-5. Large units are dealt out in blocks by size; every two blocks whose sizes fit meet in a task.
+5. Large units are dealt out in blocks by size; every two blocks whose sizes fit meet in a task.  So a set goes
+   to many tasks, and the groups of blocks are dealt into rounds, one after the other: a round ships no more
+   shingles than all sets hold (or ROUND_SHINGLES), and its shuffle files are gone before the next one.
 
 ngram_links() finds every link: of classes a and b that link each adds the other's rows to its number,
 once, in the first unit that both are in.  connected() finds as many links as connect what all links
@@ -34,6 +36,7 @@ Other columns are ignored there and kept here.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,7 @@ SLICE_ROWS = 1 << 16
 TOLD_SHINGLES = 1 << 22
 PAIR_ROWS = 256
 BLOCK_SHINGLES = 1 << 20
+ROUND_SHINGLES = 1 << 24
 PAIR_CELLS = 1 << 24
 
 
@@ -460,8 +464,27 @@ def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> Da
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long")
 
 
+def _in_rounds(placed: DataFrame, units: _Units, order, num: int, den: int, wanted: str = "true") -> DataFrame:
+    """What _joined() gives of the groups in placed (with n), where wanted holds: a written table, made in rounds."""
+    sent = placed.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, -(-sent // max(ROUND_SHINGLES, units.shingles)))
+    parts = []
+    for i in range(rounds):
+        some = placed if rounds == 1 else placed.where(F.pmod(F.xxhash64("grp"), F.lit(rounds)) == i)
+        parts.append(written(_joined(some, units.sets, order, num, den).where(wanted), "links"))
+        swept(placed.sparkSession)
+    if rounds == 1:
+        return parts[0]
+    links = written(reduce(DataFrame.union, parts), "links")
+    dropped(*parts)
+    return links
+
+
 class _Units:
-    """Classes (key, copies, set) with prefixes (key, n, prefix) dealt into units, and those into blocks by size."""
+    """Classes (key, copies, set) with prefixes (key, n, prefix) dealt into units, and those into blocks by size.
+
+    classes: a written table, of which only what is in a unit is kept.
+    """
 
     def __init__(self, classes: DataFrame, prefixes: DataFrame, num: int, den: int):
         size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
@@ -490,16 +513,19 @@ class _Units:
         units = units.withColumn("unit", F.concat_ws("/", "family", "bucket"))
         blocks = F.greatest(F.ceil(F.count("*") / PAIR_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
         self.cuts = written(units.groupBy("unit", "size").agg(blocks), "cuts")
-        self.blocked = written(units.join(self.cuts, ["unit", "size"]).select("unit", "size", "blocks", "key", "bucket", "buckets", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
-        self.small = members.join(whole.where("small"), "family").select(F.concat_ws("/", "family").alias("grp"), "key", F.col("key").alias("label"), F.lit(-1).alias("side"), none.alias("bucket"), nothing.alias("buckets"))
+        self.blocked = written(units.join(self.cuts, ["unit", "size"]).select("unit", "size", "blocks", "key", "n", "bucket", "buckets", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
+        self.small = members.join(whole.where("small"), "family").select(F.concat_ws("/", "family").alias("grp"), "key", "n", F.col("key").alias("label"), F.lit(-1).alias("side"), none.alias("bucket"), nothing.alias("buckets"))
         self.sets = written(classes.select("key", "copies", "set").join(members.select("key"), "key", "left_semi"), "sets")
+        dropped(classes)
+        swept(classes.sparkSession)
+        self.shingles = members.agg(F.sum("n")).first()[0] or 0
         self.of = [heads, shared, members, whole, spread, self.cuts, self.blocked, self.sets]
         self.some_large = not self.blocked.isEmpty()
 
     @staticmethod
     def placed(rows: DataFrame, side, *grp) -> DataFrame:
         label = F.col("label") if "label" in rows.columns else F.col("key")
-        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", label.alias("label"), side.cast("int").alias("side"), "bucket", "buckets")
+        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", "n", label.alias("label"), side.cast("int").alias("side"), "bucket", "buckets")
 
     def near(self, step: int) -> DataFrame:
         """(unit, size, others): the number of blocks one size class above or below."""
@@ -523,7 +549,7 @@ def all_links(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block", "to"))
             .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to", "block"))
         )
-    links = written(_joined(groups, u.sets, order, num, den), "links")
+    links = _in_rounds(groups, u, order, num, den)
     dropped(*u.of)
     return links
 
@@ -543,7 +569,7 @@ def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block"))
             .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to"))
         )
-    links = written(_joined(groups, u.sets, order, num, den).where("a <> b").select("a", "b"), "links")
+    links = _in_rounds(groups, u, order, num, den, "a <> b").select("a", "b")
     if u.some_large:
         got = components(links, "pivots")
         tagged = written(u.blocked.join(got, F.col("key") == got["node"], "left").select(*u.blocked.columns, F.coalesce("component", "key").alias("label")), "tagged")
@@ -556,8 +582,7 @@ def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             probes = probes.join(u.cuts.select("unit", F.col("size").alias("other"), F.col("blocks").alias("others")), ["unit", "other"]).select("*", _each("others"))
             index = tagged.select("*", near).join(packs.select("unit", F.col("size").alias("other"), "packs"), ["unit", "other"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
             groups = u.placed(probes, F.lit(0), "unit", "size", "pack", "other", "to").unionByName(u.placed(index, F.lit(1), "unit", "other", "pack", "size", "block"))
-            more = written(_joined(groups, u.sets, order, num, den).where("a <> b").select("a", "b"), "links")
-            links = links.union(more)
+            links = links.union(_in_rounds(groups, u, order, num, den, "a <> b").select("a", "b"))
             u.of.append(packs)
         u.of += [tagged, outside, got]
     out = written(links, "all-links")

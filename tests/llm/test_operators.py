@@ -182,6 +182,32 @@ def test_join_of_more_shingles_than_filters_hold(spark, monkeypatch, connect):
     assert made["largest"] == 2
 
 
+@pytest.mark.parametrize("connect", [False, True])
+def test_join_ships_a_large_family_in_rounds(spark, monkeypatch, connect):
+    """Texts of lines that others hold too, a family of many blocks: no join ships all pairs of blocks at once."""
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 12)
+    monkeypatch.setattr(ngram_join, "ROUND_SHINGLES", 1, raising=False)
+    shipped, joined = [], ngram_join._joined
+
+    def counted(placed, *args):
+        shipped.append(placed.count())
+        return joined(placed, *args)
+
+    monkeypatch.setattr(ngram_join, "_joined", counted)
+    r = random.Random(7)
+    lines = [" ".join(f"l{i}w{k}" for k in range(6)) for i in range(40)]
+    rows = [(i, "\n".join(r.sample(lines, 5))) for i in range(100)]
+    rows += [(1000 + i, t.replace("w5", "w0", 1)) for i, t in rows[:20]]
+    if connect:
+        got = [x.doc_id for x in ngram_join.distinct_documents(table(spark, rows), 1, 70, 100).collect()]
+        assert sorted(got) == sorted(brute_distinct(rows, 1, 70, 100))
+    else:
+        sets = {i: shingles(t, 1) for i, t in rows}
+        want = {i: sum(j != i and 100 * len(x & y) >= 70 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+        assert {x.doc_id: x.n_links for x in ngram_join.ngram_links(table(spark, rows), 1, 70, 100).collect()} == want
+    assert max(shipped) <= 3 * len(rows)
+
+
 def test_prefix_tree():
     r = random.Random(8)
     for _ in range(40):
