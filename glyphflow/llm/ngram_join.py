@@ -19,8 +19,9 @@ Two documents link when ``den * |x & y| >= num * |x | y|``.  The steps:
    probes go down the tree together: equal beginnings are counted once for all sets below, and a probe
    leaves a subtree as soon as the shingles that remain on either side cannot reach the overlap asked for.
 5. Large units are dealt out in blocks by size; every two blocks whose sizes fit meet in a task.  So a set goes
-   to many tasks, and the groups of blocks are dealt into rounds, one after the other: a round ships no more
-   shingles than all sets hold (or ROUND_SHINGLES), and its shuffle files are gone before the next one.
+   to many tasks, and the groups of blocks are dealt into rounds, one after the other: a round ships about an
+   eighth of the shingles of all classes (ROUND_SHINGLES at least), and its shuffle files are gone before the
+   next one.  So are the counts of step 2 made; the sets of candidates are written once and not copied.
 
 ngram_links() finds every link: of classes a and b that link each adds the other's rows to its number,
 once, in the first unit that both are in.  connected() finds as many links as connect what all links
@@ -274,29 +275,57 @@ def _candidates(docs: DataFrame, n: int, chosen) -> DataFrame:
     return docs.select("key_a", "key_b", "text").mapInArrow(describe, "key_a long, key_b long, n long, set binary")
 
 
-def _prefixes(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, GlobalOrder]:
-    """(key, n, prefix) of the classes (key, n, set) that may still link, by the exact counts of all their shingles.
+def _together(parts: list[DataFrame], name: str) -> DataFrame:
+    """Written tables as one."""
+    if len(parts) == 1:
+        return parts[0]
+    out = written(reduce(DataFrame.union, parts), name)
+    dropped(*parts)
+    return out
+
+
+def _prefixes(sets: DataFrame, classes: DataFrame, num: int, den: int, room: int) -> tuple[DataFrame, GlobalOrder]:
+    """(key, n, copies, prefix) of the classes (key, copies) that may still link, by the exact counts of all shingles in sets (key, n, set).
 
     prefix: of the first shingles, rarest first, as many as two linked sets can't both have apart, those that
     occur in another class.
     """
 
-    def spell(batches):
-        for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["key", "token"])
+    rounds = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // room))
 
-    posts = classes.select("key", "set").mapInArrow(spell, "key long, token long")
-    times = written(posts.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    def posts(classes: DataFrame, part: int | None = None) -> DataFrame:
+        """(key, token) of the classes: all, or a part of the shingles."""
+
+        def spell(batches):
+            for batch in batches:
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+                keys, tokens = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)])
+                if part is not None:
+                    keep = mix(tokens.view(np.uint64)) % np.uint64(rounds) == part
+                    keys, tokens = keys[keep], tokens[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.int64())], names=["key", "token"])
+
+        return classes.select("key", "set").mapInArrow(spell, "key long, token long")
+
+    counted, parts = [], []
+    for i in range(rounds):
+        counted.append(written(posts(sets, i if rounds > 1 else None).groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times"))
+        if rounds > 1:
+            swept(sets.sparkSession)
+    times = reduce(DataFrame.union, counted)
     top = times.orderBy(F.desc("times"), "token").limit(HEAVY).toArrow()
-    shared = posts.join(times, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
     spare = F.expr(f"n - ({num} * n + {den - 1}) div {den}")
     left = (spare - F.col("n") + F.size("shared")).cast("int")  # without the shingles of this class only
-    found = classes.select("key", "n").join(shared, "key").where(left >= 0).select("key", "n", F.slice(F.col("shared.token"), F.lit(1), left + 1).alias("prefix"))
-    found = written(found, "prefixes")
-    dropped(times)
-    return found, GlobalOrder(top["token"].to_numpy().view(np.uint64), top["times"].to_numpy())
+    shares = 1 if rounds == 1 else 2 * rounds  # beside a part of the shingles, each has the shuffled counts on disk
+    for i in range(shares):
+        some = sets if shares == 1 else sets.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == i)
+        shared = posts(some).join(times, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
+        found = some.select("key", "n").join(classes.select("key", "copies"), "key").join(shared, "key")
+        parts.append(written(found.where(left >= 0).select("key", "n", "copies", F.slice(F.col("shared.token"), F.lit(1), left + 1).alias("prefix")), "prefixes"))
+        if rounds > 1:
+            swept(sets.sparkSession)
+    dropped(*counted)
+    return _together(parts, "prefixes"), GlobalOrder(top["token"].to_numpy().view(np.uint64), top["times"].to_numpy())
 
 
 class PrefixTree:
@@ -428,7 +457,7 @@ def _met_before(buckets: list[np.ndarray], own: int, a: np.ndarray, b: np.ndarra
 
 
 def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> DataFrame:
-    """(a, b, links) of the groups in placed (grp, key, label, side, bucket, buckets) with sets (key, copies, set).
+    """(a, b, links) of the groups in placed (grp, key, label, side, bucket, buckets, copies) with sets (key, set).
 
     (x, x, n): x links with other classes of n rows in all.  (x, y, 0): links, as many as connect the rest.
     """
@@ -460,33 +489,40 @@ def _joined(placed: DataFrame, sets: DataFrame, order, num: int, den: int) -> Da
         yield from flush()
         give_back()
 
-    rows = placed.join(sets, "key").select("grp", "key", "label", "side", "bucket", "buckets", "copies", "set")
+    rows = placed.join(sets.select("key", "set"), "key").select("grp", "key", "label", "side", "bucket", "buckets", "copies", "set")
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long, links long")
 
 
-def _in_rounds(placed: DataFrame, units: _Units, order, num: int, den: int, wanted: str = "true") -> DataFrame:
+def _only(sets: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """(key, set) of sets without most of those that aren't among n keys."""
+    wanted = sets.sparkSession.sparkContext.broadcast(bit_filter(keys, "key", n))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(let_through(wanted.value, batch.column(0).to_numpy())))
+
+    return sets.select("key", "set").mapInArrow(run, "key long, set binary")
+
+
+def _in_rounds(placed: DataFrame, units: _Units, order, num: int, den: int, room: int, wanted: str = "true") -> DataFrame:
     """What _joined() gives of the groups in placed (with n), where wanted holds: a written table, made in rounds."""
-    sent = placed.agg(F.sum("n")).first()[0] or 0
-    rounds = max(1, -(-sent // max(ROUND_SHINGLES, units.shingles)))
-    parts = []
+    spark, sent = placed.sparkSession, placed.agg(F.sum("n")).first()[0] or 0
+    rounds, parts = max(1, -(-sent // room)), []
     for i in range(rounds):
-        some = placed if rounds == 1 else placed.where(F.pmod(F.xxhash64("grp"), F.lit(rounds)) == i)
-        parts.append(written(_joined(some, units.sets, order, num, den).where(wanted), "links"))
-        swept(placed.sparkSession)
-    if rounds == 1:
-        return parts[0]
-    links = written(reduce(DataFrame.union, parts), "links")
-    dropped(*parts)
-    return links
+        some, sets = placed, units.sets
+        if rounds > 1:
+            some = placed.where(F.pmod(F.xxhash64("grp"), F.lit(rounds)) == i)
+            sets = _only(sets, some.select("key").distinct(), units.rows)
+        parts.append(written(_joined(some, sets, order, num, den).where(wanted), "links"))
+        if rounds > 1:
+            swept(spark)
+    return _together(parts, "links")
 
 
 class _Units:
-    """Classes (key, copies, set) with prefixes (key, n, prefix) dealt into units, and those into blocks by size.
-
-    classes: a written table, of which only what is in a unit is kept.
-    """
+    """Classes with sets (key, set) and prefixes (key, n, copies, prefix) dealt into units, and those into blocks by size."""
 
-    def __init__(self, classes: DataFrame, prefixes: DataFrame, num: int, den: int):
+    def __init__(self, sets: DataFrame, prefixes: DataFrame, num: int, den: int):
         size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
         #: Linked classes are of one size or the next, so each posts for its own size and the next one.
         posts = prefixes.select("key", F.explode("prefix").alias("token"), size.alias("size")).select("key", "token", F.explode(F.array("size", F.col("size") + 1)).alias("slot"))
@@ -494,38 +530,35 @@ class _Units:
         of = posts.join(heads, ["token", "slot"]).groupBy("key").agg(F.collect_set("token").alias("tokens"), F.collect_set("head").alias("heads"))  # a class' own prefix
         shared = written(of, "shared")
         families = components(shared.select(F.col("key").alias("a"), F.explode("heads").alias("b")).where("a <> b"), "families")
-        members = written(families.join(prefixes.select("key", "n"), families["node"] == F.col("key")).select("key", "n", F.col("component").alias("family"), size.alias("size")), "members")
+        members = written(families.join(prefixes.select("key", "n", "copies"), families["node"] == F.col("key")).select("key", "n", "copies", F.col("component").alias("family"), size.alias("size")), "members")
         small = (F.count("*") <= PAIR_ROWS) & (F.sum("n") <= BLOCK_SHINGLES)
         whole = members.groupBy("family").agg(small.alias("small"), F.count("*").alias("rows"))
         whole = written(whole.withColumn("deal", F.ceil(F.col("rows") / PAIR_ROWS)), "whole")
         #: A large family is split by shingle if that takes less than half of the work of all its blocks.
         large = members.join(whole.where("not small").select("family", "deal"), "family").join(shared.select("key", "tokens"), "key")
         buckets = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.col("deal"))))).alias("buckets")
-        spread = written(large.select("key", "family", "deal", "n", "size", buckets), "spread")
+        spread = written(large.select("key", "family", "deal", "n", "copies", "size", buckets), "spread")
         per = spread.select("family", "deal", F.explode("buckets").alias("bucket")).groupBy("family", "deal", "bucket").agg(F.count("*").alias("rows"))
         work = per.groupBy("family").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("work"), F.sum("rows").alias("sent"))
         sparse = work.join(whole, "family").select("family", (F.col("work") * 2 < F.col("rows").cast("double") * F.col("rows")).alias("sparse"))
         spread = spread.join(sparse, "family")
         none, nothing = F.lit(None).cast("long"), F.array().cast("array<long>")
         units = spread.where("sparse").select(
-            "key", "n", "size", "family", F.explode("buckets").alias("bucket"), "buckets"
-        ).unionByName(spread.where("not sparse").select("key", "n", "size", "family", none.alias("bucket"), nothing.alias("buckets")))
+            "key", "n", "copies", "size", "family", F.explode("buckets").alias("bucket"), "buckets"
+        ).unionByName(spread.where("not sparse").select("key", "n", "copies", "size", "family", none.alias("bucket"), nothing.alias("buckets")))
         units = units.withColumn("unit", F.concat_ws("/", "family", "bucket"))
         blocks = F.greatest(F.ceil(F.count("*") / PAIR_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
         self.cuts = written(units.groupBy("unit", "size").agg(blocks), "cuts")
-        self.blocked = written(units.join(self.cuts, ["unit", "size"]).select("unit", "size", "blocks", "key", "n", "bucket", "buckets", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
-        self.small = members.join(whole.where("small"), "family").select(F.concat_ws("/", "family").alias("grp"), "key", "n", F.col("key").alias("label"), F.lit(-1).alias("side"), none.alias("bucket"), nothing.alias("buckets"))
-        self.sets = written(classes.select("key", "copies", "set").join(members.select("key"), "key", "left_semi"), "sets")
-        dropped(classes)
-        swept(classes.sparkSession)
-        self.shingles = members.agg(F.sum("n")).first()[0] or 0
-        self.of = [heads, shared, members, whole, spread, self.cuts, self.blocked, self.sets]
+        self.blocked = written(units.join(self.cuts, ["unit", "size"]).select("unit", "size", "blocks", "key", "n", "copies", "bucket", "buckets", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")), "blocked")
+        self.small = members.join(whole.where("small"), "family").select(F.concat_ws("/", "family").alias("grp"), "key", "n", "copies", F.col("key").alias("label"), F.lit(-1).alias("side"), none.alias("bucket"), nothing.alias("buckets"))
+        self.sets, self.rows = sets, members.count()
+        self.of = [heads, shared, members, whole, spread, self.cuts, self.blocked]
         self.some_large = not self.blocked.isEmpty()
 
     @staticmethod
     def placed(rows: DataFrame, side, *grp) -> DataFrame:
         label = F.col("label") if "label" in rows.columns else F.col("key")
-        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", "n", label.alias("label"), side.cast("int").alias("side"), "bucket", "buckets")
+        return rows.select(F.concat_ws("/", *grp).alias("grp"), "key", "n", "copies", label.alias("label"), side.cast("int").alias("side"), "bucket", "buckets")
 
     def near(self, step: int) -> DataFrame:
         """(unit, size, others): the number of blocks one size class above or below."""
@@ -536,9 +569,9 @@ def _each(n: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("to")
 
 
-def all_links(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int) -> DataFrame:
-    """(a, b, links) of all links between classes (key, copies, set) with prefixes (key, n, prefix), as _joined() gives them."""
-    u = _Units(classes, prefixes, num, den)
+def all_links(sets: DataFrame, prefixes: DataFrame, order, num: int, den: int, room: int) -> DataFrame:
+    """(a, b, links) of all links between classes with sets (key, set) and prefixes (key, n, copies, prefix), as _joined() gives them."""
+    u = _Units(sets, prefixes, num, den)
     groups = u.small
     if u.some_large:  # every two blocks of one size class meet once, and every block meets all of the next class
         own = u.blocked.select("*", _each("blocks"))
@@ -549,14 +582,14 @@ def all_links(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block", "to"))
             .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to", "block"))
         )
-    links = _in_rounds(groups, u, order, num, den)
+    links = _in_rounds(groups, u, order, num, den, room)
     dropped(*u.of)
     return links
 
 
-def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int) -> DataFrame:
+def connected(sets: DataFrame, prefixes: DataFrame, order, num: int, den: int, room: int) -> DataFrame:
     """(a, b): links between classes, as many as connect all that links connect."""
-    u = _Units(classes, prefixes, num, den)
+    u = _Units(sets, prefixes, num, den)
     groups = u.small
     if u.some_large:  # a block meets block 0 of its own size class and of the next; block 0 goes to all of them
         to = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -569,7 +602,7 @@ def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             .unionByName(u.placed(up, F.lit(0), "unit", F.lit("up"), "size", "block"))
             .unionByName(u.placed(down, F.lit(1), "unit", F.lit("up"), F.col("size") - 1, "to"))
         )
-    links = _in_rounds(groups, u, order, num, den, "a <> b").select("a", "b")
+    links = _in_rounds(groups, u, order, num, den, room, "a <> b").select("a", "b")
     if u.some_large:
         got = components(links, "pivots")
         tagged = written(u.blocked.join(got, F.col("key") == got["node"], "left").select(*u.blocked.columns, F.coalesce("component", "key").alias("label")), "tagged")
@@ -582,7 +615,7 @@ def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
             probes = probes.join(u.cuts.select("unit", F.col("size").alias("other"), F.col("blocks").alias("others")), ["unit", "other"]).select("*", _each("others"))
             index = tagged.select("*", near).join(packs.select("unit", F.col("size").alias("other"), "packs"), ["unit", "other"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packs") - 1)).alias("pack"))
             groups = u.placed(probes, F.lit(0), "unit", "size", "pack", "other", "to").unionByName(u.placed(index, F.lit(1), "unit", "other", "pack", "size", "block"))
-            links = links.union(_in_rounds(groups, u, order, num, den, "a <> b").select("a", "b"))
+            links = links.union(_in_rounds(groups, u, order, num, den, room, "a <> b").select("a", "b"))
             u.of.append(packs)
         u.of += [tagged, outside, got]
     out = written(links, "all-links")
@@ -591,10 +624,11 @@ def connected(classes: DataFrame, prefixes: DataFrame, order, num: int, den: int
 
 
 def _classes(docs: DataFrame, n: int, num: int, den: int, whole: bool):
-    """(prints, classes, candidates, prefixes, order): every row's fingerprints, the classes of equal sets, those that may link.
+    """(prints, classes, sets, maybe, prefixes, order, room): every row's fingerprints, the classes of equal sets, those that may link.
 
     docs: (doc_id, text).  classes: (n, f1, f2, key, copies, doc_id, key_a, key_b), the latter of its first
-    row; rows without a doc_id come last (whole) or take no part.
+    row; rows without a doc_id come last (whole) or take no part.  maybe: (key, class, copies), the key that the
+    set, the prefix and the links of a class have.  room: the shingles of a round.
     """
     spark = docs.sparkSession
     keyed = docs.select(*identity(F.col("doc_id"), F.col("text")), "doc_id", "text")
@@ -608,14 +642,27 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, whole: bool):
     linked = written(maybe_linked(keyed, n, num, den, bucket_bits(seen["shingles"] or 0), chosen), "linked")
     swept(spark)
     chosen = spark.sparkContext.broadcast(bit_filter(linked, "key_a", linked.count()))
-    found = written(_candidates(keyed, n, chosen).withColumn("row", F.monotonically_increasing_id()), "found")
+    found = written(_candidates(keyed, n, chosen).withColumn("key", F.monotonically_increasing_id()), "found")
     #: Rows that repeat an id and its text are found again; one of them stands for the class.
-    picked = found.select("row", "key_a", "key_b").join(classes.select("key", "copies", "key_a", "key_b"), ["key_a", "key_b"]).groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies"))
-    maybe = written(found.drop("key_a", "key_b").join(picked, "row").drop("row"), "maybe")
-    dropped(linked, found)
-    prefixes, order = _prefixes(maybe, num, den)
+    picked = found.select(F.col("key").alias("row"), "key_a", "key_b").join(classes.select("key", "copies", "key_a", "key_b"), ["key_a", "key_b"]).groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies"))
+    maybe = written(picked.select(F.col("row").alias("key"), F.col("key").alias("class"), "copies"), "maybe")
+    dropped(linked)
+    if found.count() > 1.25 * maybe.count():
+        sets = written(found.join(maybe.select("key"), "key", "left_semi"), "sets")
+        dropped(found)
+        found = sets
     swept(spark)
-    return prints, classes, maybe, prefixes, spark.sparkContext.broadcast(order)
+    room = max(ROUND_SHINGLES, (seen["shingles"] or 0) // 8)
+    prefixes, order = _prefixes(found, maybe, num, den, room)
+    swept(spark)
+    return prints, classes, found, maybe, prefixes, spark.sparkContext.broadcast(order), room
+
+
+def _of_classes(links: DataFrame, maybe: DataFrame) -> DataFrame:
+    """links (a, b, ...) with the keys of classes."""
+    for x in ("a", "b"):
+        links = links.join(maybe.select(F.col("key").alias(x), F.col("class").alias(f"class_{x}")), x).drop(x).withColumnRenamed(f"class_{x}", x)
+    return written(links, "class-links")
 
 
 def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -625,9 +672,10 @@ def ngram_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     them; null without a doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints, classes, maybe, prefixes, order = _classes(docs, n, num, den, False)
-    links = all_links(maybe, prefixes, order, num, den)
-    dropped(maybe, prefixes)
+    prints, classes, sets, maybe, prefixes, order, room = _classes(docs, n, num, den, False)
+    found = all_links(sets, prefixes, order, num, den, room)
+    links = _of_classes(found, maybe)
+    dropped(sets, maybe, prefixes, found)
     edges = links.where("a <> b").select("a", "b")
     #: Rows that repeat a doc_id are one document, whatever their texts.
     rows = prints.join(classes.select("n", "f1", "f2", "key"), ["n", "f1", "f2"], "left").where("doc_id is not null").select("doc_id", "key")
@@ -662,9 +710,10 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Rows with null or blank texts all stay.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints, classes, maybe, prefixes, order = _classes(plain, n, num, den, True)
-    links = connected(maybe, prefixes, order, num, den)
-    dropped(maybe, prefixes)
+    prints, classes, sets, maybe, prefixes, order, room = _classes(plain, n, num, den, True)
+    found = connected(sets, prefixes, order, num, den, room)
+    links = _of_classes(found, maybe)
+    dropped(sets, maybe, prefixes, found)
     groups = components(links, "groups")
     of = classes.join(groups, classes["key"] == groups["node"], "left").withColumn("component", F.coalesce("component", "key"))
     kept = written(of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")).alias("first")).select("first.key_a", "first.key_b"), "kept")
