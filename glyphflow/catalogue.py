@@ -166,17 +166,15 @@ def sql_views(spark, sf_dir):
 
 def ingested_postings(spark, sf_dir):
     """The documents table as a stream, through the ingest's batches."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     at = ingest.work_folder(spark)
-    ingest.ingest(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir), f"{at}/out", f"{at}/state").awaitTermination()
-    return ingest.stored_postings(spark, f"{at}/out").groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(F.col("tf").cast("long")).alias("tokens"))
+    ingest.ingest(ingest.table_stream(spark, f"{sf_dir}/documents.parquet"), f"{at}/out", f"{at}/state").awaitTermination()
+    return ingest.stored_counts(spark, f"{at}/out")
 
 
 def event_windows(spark, sf_dir):
     """Events as a stream, counted by hour and type."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     at = ingest.work_folder(spark)
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = ingest.table_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ingest.write_counts(ingest.counts_by_window(events), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "kind", "n")
 

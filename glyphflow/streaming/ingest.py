@@ -23,6 +23,15 @@ def work_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/ingest-{uuid.uuid4().hex}"
 
 
+def table_stream(spark: SparkSession, at: str) -> DataFrame:
+    """The rows of a Parquet table as a stream; the table is a folder of files, or a single file, which a stream reads from its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    rows = spark.readStream.schema(spark.read.parquet(at).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return rows.parquet(at)
+    return rows.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+
+
 def ingest(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Writes the postings of a stream of (doc_id, text, lang) below out, and which documents came in which batch.
 
@@ -44,6 +53,13 @@ def stored_postings(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/postings").join(last, ["doc_id", "batch"]).select("term", "doc_id", "tf", "positions")
 
 
+def stored_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, terms, tokens) of stored_postings(); postings are counted by batch before the join, so a row for each document is shuffled and not one for each posting."""
+    last = spark.read.parquet(f"{out}/documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    counts = spark.read.parquet(f"{out}/postings").groupBy("doc_id", "batch").agg(F.count("*").alias("terms"), F.sum(F.col("tf").cast("long")).alias("tokens"))
+    return counts.join(last, ["doc_id", "batch"]).select("doc_id", "terms", "tokens")
+
+
 def counts_by_window(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, kind, n): events of a stream by time window, with a watermark for late rows."""
     by = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from urllib.request import Request, urlopen
 import pytest
 from pyspark.sql import functions as F
 
-from glyphflow import api
+from glyphflow import api, catalogue
 from glyphflow.functions import text as T
 from glyphflow.operators import flow, fuzzy, match, snippet, stats
 from glyphflow.operators import index as ix
@@ -304,6 +304,22 @@ def test_streaming_ingest(spark, tmp_path):
     ingest.ingest(read(), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r["term"], r["doc_id"], r["tf"]) for r in ingest.stored_postings(spark, f"{tmp_path}/out").collect()}
     assert got == {("one", "1", 2), ("two", "1", 1), ("three", "2", 1)}
+    assert {tuple(r) for r in ingest.stored_counts(spark, f"{tmp_path}/out").collect()} == {("1", 2, 3), ("2", 1, 1)}
+
+
+def test_streams_of_tables_in_folders(spark, tmp_path):
+    """The queries that stream a table take it as a single file and as a folder of files."""
+    docs = spark.createDataFrame([(i, "one two one" if i % 2 else "two", "en") for i in range(6)], "doc_id long, text string, lang string")
+    events = spark.createDataFrame([(datetime(2024, 1, 1, h), "ab"[h % 2]) for h in range(6)], "ts timestamp, event_type string")
+    for name, df, query in (("documents", docs, catalogue.ingested_postings), ("events", events, catalogue.event_windows)):
+        df.repartition(3).write.parquet(f"{tmp_path}/many/{name}.parquet")
+        df.coalesce(1).write.parquet(f"{tmp_path}/one-{name}")
+        (tmp_path / "one").mkdir(exist_ok=True)
+        next((tmp_path / f"one-{name}").glob("*.parquet")).rename(tmp_path / f"one/{name}.parquet")
+        many, one = (sorted(map(tuple, query(spark, f"{tmp_path}/{d}").collect())) for d in ("many", "one"))
+        assert len(many) == 6 and many == one
+        if name == "documents":
+            assert many == [(str(i), 1 + i % 2, 1 + 2 * (i % 2)) for i in range(6)]
 
 
 def test_window_counts(spark, tmp_path):
