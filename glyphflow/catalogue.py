@@ -141,10 +141,12 @@ def _flow(demand: int):
 
 def flow_matching(spark, sf_dir):
     """For each keyword its documents in the matching, those that hold it, and those that serve another one too."""
-    docs = documents(spark, sf_dir)
-    pairs = flow.analyze(docs, " ".join(FLOW), demand=50).matching.select("keyword", "doc_id")
-    uses = pairs.groupBy("doc_id").agg(F.count("*").alias("uses"))
-    rows = pairs.join(uses, "doc_id").join(docs.select(F.col("id").alias("doc_id"), "searchable"), "doc_id")
+    found = flow.analyze(documents(spark, sf_dir), " ".join(FLOW), demand=50).matching.select("keyword", "doc_id").collect()  # 50 a keyword at most
+    pairs = F.broadcast(spark.createDataFrame(found, "keyword string, doc_id string"))
+    uses = F.broadcast(pairs.groupBy("doc_id").agg(F.count("*").alias("uses")))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = from_documents_table(table.where(F.col("doc_id").isNotNull()).join(uses.withColumnRenamed("doc_id", "key"), F.col("doc_id").cast("string") == F.col("key"), "left_semi"))
+    rows = docs.select(F.col("id").alias("doc_id"), "searchable").join(pairs, "doc_id").join(uses, "doc_id")
     return rows.groupBy("keyword").agg(F.count("*").alias("assigned"), F.count_if(F.contains("searchable", F.col("keyword"))).alias("held"), F.count_if(F.col("uses") > 1).alias("shared"))
 
 

@@ -29,7 +29,8 @@ SCRIPTS = (("telugu", 0x0C00, 0x0C7F), ("hindi", 0x0900, 0x097F), ("tamil", 0x0B
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     #: Arrow's own utf8_normalize leaves texts decomposed; this is one call in C for each text that isn't null.
-    return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    parts = [pa.array([t and unicodedata.normalize("NFC", t) for t in part.to_pylist()], pa.string()) for part in array_slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def normalize(text: Column) -> Column:
@@ -141,6 +142,13 @@ def text_slices(batches, column: int = 1):
             yield batch.slice(at, rows)
 
 
+def array_slices(texts: pa.Array, size: int = TEXT_BYTES):
+    """The array cut into slices of about size bytes."""
+    rows = max(1, len(texts) * size // max(1, texts.nbytes))
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows)
+
+
 def preprocess(text: Column) -> Column:
     """NFC, trimmed, runs of white space made one space."""
     return F.regexp_replace(F.regexp_replace(normalize(text), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"\s+", " ")

@@ -168,11 +168,19 @@ def of_language(docs: DataFrame, language: str | None) -> DataFrame:
 
 
 def signatures(docs: DataFrame, keywords: list[str], language: str = "all") -> DataFrame:
-    """(doc_id, title, sig): one bit for each keyword that the document holds; documents with none are left out."""
-    sig = F.lit(0).cast("long")
-    for i, k in enumerate(keywords):
-        sig = sig.bitwiseOR(F.when(F.contains("searchable", F.lit(k)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return of_language(docs, language).select(F.col("id").alias("doc_id"), "title", sig.alias("sig")).where("sig <> 0")
+    """(doc_id, title, sig): one bit for each keyword that the document holds; documents with none are left out.
+
+    A filter on sig would be pushed down with the folded text in it, once for each keyword; the generator takes the text once.
+    """
+
+    def sig(text):
+        out = F.lit(0).cast("long")
+        for i, k in enumerate(keywords):
+            out = out.bitwiseOR(F.when(F.contains(text, F.lit(k)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        return out
+
+    some = F.filter(F.transform(F.array("searchable"), sig), lambda x: x != 0)
+    return of_language(docs, language).select(F.col("id").alias("doc_id"), "title", F.explode(some).alias("sig"))
 
 
 def degrees(docs: DataFrame, keywords: list[str], language: str = "all") -> DataFrame:
@@ -240,11 +248,13 @@ def analyze(docs: DataFrame, query: str, language: str = "all", algorithm: str =
         raise ValueError(f"{len(keywords)} keywords; the maximum is {MOST_KEYWORDS}")
     demand, k = max(1, demand), len(keywords)
     signed = signatures(docs, keywords, language)
-    sums = signed.agg(F.count("*").alias("documents"), *[F.count_if(_bits(1 << i) != 0).alias(f"k{i}") for i in range(k)]).first()
-    documents, degree = sums["documents"], [sums[f"k{i}"] for i in range(k)]
     rich: list[int] = []
     classes = _classes(signed, (1 << k) - 1)
-    if classes is None:
+    if classes is not None:
+        documents, degree = sum(n for _, n in classes), [sum(n for sig, n in classes if sig >> i & 1) for i in range(k)]
+    else:
+        sums = signed.agg(F.count("*").alias("documents"), *[F.count_if(_bits(1 << i) != 0).alias(f"k{i}") for i in range(k)]).first()
+        documents, degree = sums["documents"], [sums[f"k{i}"] for i in range(k)]
         rich = [i for i in range(k) if degree[i] >= k * demand]
         some = sum(1 << i for i in range(k) if i not in rich)
         #: Fewer than K * K * demand documents.
@@ -304,6 +314,10 @@ def _cut_edges(signed: DataFrame, keywords: list[str], top: list[int], demand: i
 #: Documents of one keyword set are numbered in so many slices, each by a task of its own.
 SLICES = 64
 
+#: Up to so many documents of each set, every task keeps those with the lowest numbers only, as Spark limits the groups of a window
+#: before its shuffle (spark.sql.optimizer.windowGroupLimitThreshold); to so many ranges go by a broadcast.
+MOST_AT_ONCE, MOST_BROADCAST = 1000, 100_000
+
 
 def _matching(signed: DataFrame, keywords: list[str], classes: list[tuple[int, int]], flows: dict[tuple[int, int], int], mask: int) -> DataFrame:
     """(keyword, doc_id, title): each class's documents are numbered and its keywords take ranges of numbers."""
@@ -313,12 +327,17 @@ def _matching(signed: DataFrame, keywords: list[str], classes: list[tuple[int, i
             ranges.append((classes[c][0], i, keywords[i], upto.get(c, 0), upto.get(c, 0) + f))
             upto[c] = upto.get(c, 0) + f
     spark = signed.sparkSession
-    taken = spark.createDataFrame(ranges, "sig long, n int, keyword string, low long, high long")
-    used = spark.createDataFrame([(classes[c][0], n) for c, n in upto.items()], "sig long, most long")
+    small = F.broadcast if len(ranges) <= MOST_BROADCAST else lambda df: df
+    taken = small(spark.createDataFrame(ranges, "sig long, n int, keyword string, low long, high long"))
+    used = small(spark.createDataFrame([(classes[c][0], n) for c, n in upto.items()], "sig long, most long"))
     sliced = signed.withColumn("sig", _bits(mask)).join(used, "sig").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)))
-    sizes = sliced.groupBy("sig", "slice").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy("sig").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("sig", "slice", before.alias("before"))  # SLICES rows a set
-    nth = F.row_number().over(Window.partitionBy("sig", "slice").orderBy("doc_id"))
-    numbered = sliced.join(sizes, ["sig", "slice"]).where(F.col("before") < F.col("most")).withColumn("nth", F.col("before") + nth).where(F.col("nth") <= F.col("most"))
+    if (most := max(upto.values(), default=1)) <= MOST_AT_ONCE:
+        #: The same numbers in one pass over the documents.
+        numbered = sliced.withColumn("nth", F.row_number().over(Window.partitionBy("sig").orderBy("slice", "doc_id"))).where(F.col("nth") <= most).where(F.col("nth") <= F.col("most"))
+    else:
+        sizes = sliced.groupBy("sig", "slice").agg(F.count("*").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy("sig").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = sizes.select("sig", "slice", before.alias("before"))  # SLICES rows a set
+        nth = F.row_number().over(Window.partitionBy("sig", "slice").orderBy("doc_id"))
+        numbered = sliced.join(sizes, ["sig", "slice"]).where(F.col("before") < F.col("most")).withColumn("nth", F.col("before") + nth).where(F.col("nth") <= F.col("most"))
     return numbered.join(taken, "sig").where((F.col("nth") > F.col("low")) & (F.col("nth") <= F.col("high"))).select("keyword", "doc_id", "title").orderBy("keyword", "doc_id")

@@ -307,6 +307,21 @@ def test_streaming_ingest(spark, tmp_path):
     assert {tuple(r) for r in ingest.stored_counts(spark, f"{tmp_path}/out").collect()} == {("1", 2, 3), ("2", 1, 1)}
 
 
+def test_flow_takes_each_text_once(spark, monkeypatch):
+    """Texts are folded once in a pass; a matching of few documents a keyword is one pass and has the documents that numbering by slices gives."""
+    docs = corpus.from_rows(spark, [(str(i), "t", "x", " ".join(w for b, w in enumerate(["alpha", "beta", "gamma"]) if i >> b & 1) + " É") for i in range(200)])
+    plan_of = docs.sparkSession._jvm.PythonSQLUtils.explainString
+    assert plan_of(flow.signatures(docs, ["alpha", "beta", "gamma"])._jdf.queryExecution(), "simple").count("translate(") == 1
+    for demand in (1, 7, 60):
+        at_once = flow.analyze(docs, "alpha beta gamma", demand=demand)
+        monkeypatch.setattr(flow, "MOST_AT_ONCE", 0)
+        by_slices = flow.analyze(docs, "alpha beta gamma", demand=demand)
+        monkeypatch.undo()
+        got, want = ([tuple(r) for r in x.matching.collect()] for x in (at_once, by_slices))
+        assert got == want and len(got) == at_once.values["maxFlow"]
+        assert at_once.values["keywordDegrees"] == dict.fromkeys(["alpha", "beta", "gamma"], 100) and at_once.values["documentNodes"] == 175
+
+
 def test_streams_of_tables_in_folders(spark, tmp_path):
     """The queries that stream a table take it as a single file and as a folder of files."""
     docs = spark.createDataFrame([(i, "one two one" if i % 2 else "two", "en") for i in range(6)], "doc_id long, text string, lang string")
