@@ -130,8 +130,8 @@ def tokens(docs: DataFrame, key: str = "id", text: str = "searchable") -> DataFr
     return docs.select(key, text).mapInArrow(place, f"`{key}` {kind}, term string, start int")
 
 
-#: Bytes of text that a vectorised function takes at a time.
-TEXT_BYTES = 4 << 20
+#: Bytes of text that a vectorised function takes at a time; token_runs() takes about fifty times that in numbers.
+TEXT_BYTES = 1 << 20
 
 
 def text_slices(batches, column: int = 1):
@@ -149,6 +149,24 @@ def array_slices(texts: pa.Array, size: int = TEXT_BYTES):
         yield texts.slice(at, rows)
 
 
+def by_slices(function, kind: pa.DataType, size: int = TEXT_BYTES):
+    """For an iterator UDF: function of each row's values (null gives null), over slices of about size bytes of the first column.
+
+    What a whole Arrow batch makes as Python objects, its results above all, is never held at once.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            at = 0
+            for part in array_slices(columns[0], size):
+                rows = zip(part.to_pylist(), *(c.slice(at, len(part)).to_pylist() for c in columns[1:]), strict=True)
+                yield pa.array([None if None in r else function(*r) for r in rows], kind)
+                at += len(part)
+
+    return run
+
+
 def preprocess(text: Column) -> Column:
     """NFC, trimmed, runs of white space made one space."""
     return F.regexp_replace(F.regexp_replace(normalize(text), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"\s+", " ")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 from pyspark.sql.window import Window
 
+from ..functions.text import by_slices
+
 SUGGESTIONS = 5
 
 
@@ -72,14 +76,18 @@ def source_of(script: Column) -> Column:
     return F.array_join(F.transform(F.filter(script, lambda x: ~F.startswith(x, F.lit("INSERT"))), lambda x: F.when(F.startswith(x, F.lit("SUBSTITUTE")), F.substring(x, 12, 1)).otherwise(F.substring(x, -1, 1))), "")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def edit_script_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_script(x, y) for x, y in zip(a, b, strict=True)])
+#: Bytes of words that scripts and tables are made of at a time; a letter's row of a table takes a hundred times its size.
+WORD_BYTES = 1 << 16
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def edit_script_udf(words: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from by_slices(edit_script, pa.list_(pa.string()), WORD_BYTES)(words)
 
 
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def dp_table_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([dp_table(x, y) for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def dp_table_udf(words: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from by_slices(dp_table, pa.list_(pa.list_(pa.int32())), WORD_BYTES)(words)
 
 
 def suggest(terms: DataFrame, keywords: list[str], limit: int = SUGGESTIONS) -> DataFrame:

@@ -11,6 +11,7 @@ from urllib.error import HTTPError
 from urllib.parse import quote
 from urllib.request import Request, urlopen
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,6 +323,16 @@ def test_flow_takes_each_text_once(spark, monkeypatch):
         assert at_once.values["keywordDegrees"] == dict.fromkeys(["alpha", "beta", "gamma"], 100) and at_once.values["documentNodes"] == 175
 
 
+def test_words_and_texts_go_by_slices():
+    """A batch is taken in slices: no more than a slice's results are held at once, and rows stay in order."""
+    words = pa.array([f"w{i:06d}" for i in range(50_000)] + [None, ""])
+    parts = list(T.by_slices(fuzzy.dp_table, pa.list_(pa.list_(pa.int32())), fuzzy.WORD_BYTES)(iter([(words, pa.array(["tion"] * len(words)))])))
+    assert len(parts) > 5 and max(map(len, parts)) < 10_000
+    got = pa.concat_arrays(parts)
+    assert len(got) == len(words) and got[50_000].as_py() is None and all(got[i].as_py() == fuzzy.dp_table(words[i].as_py(), "tion") for i in (0, 31_777, 49_999, 50_001))
+    assert T.TEXT_BYTES <= 1 << 20  # token_runs() takes fifty times that
+
+
 def test_streams_of_tables_in_folders(spark, tmp_path):
     """The queries that stream a table take it as a single file and as a folder of files."""
     docs = spark.createDataFrame([(i, "one two one" if i % 2 else "two", "en") for i in range(6)], "doc_id long, text string, lang string")
