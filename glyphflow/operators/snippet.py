@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import searchable
+from ..functions.text import by_slices, searchable
 from .match import AhoCorasick
 
 #: Fixed sizes: lines of a snippet, a line's length, context before the first match, length of a plain head.
@@ -66,10 +68,10 @@ def extract(raw: str, keywords: list[str]) -> str:
 
 
 def snippet(normalized: Column, searchable_text: Column, keywords: list[str]) -> Column:
-    @F.pandas_udf("string")
-    def run(shown: pd.Series, searched: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = AhoCorasick(keywords)
-        return pd.Series([build(n, machine.search_all(s)) for n, s in zip(shown, searched, strict=True)])
+        yield from by_slices(lambda shown, searched: build(shown, machine.search_all(searched)), pa.string())(texts)
 
     return run(normalized, searchable_text)
 

@@ -14,6 +14,7 @@ from urllib.request import Request, urlopen
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from glyphflow import api, catalogue
 from glyphflow.functions import text as T
@@ -333,6 +334,18 @@ def test_words_and_texts_go_by_slices():
     assert T.TEXT_BYTES <= 1 << 20  # token_runs() takes fifty times that
 
 
+def test_texts_reach_python_by_slices(spark):
+    """Snippets and places come from functions that take their batches piece by piece, and rows stay with their texts over several pieces."""
+    texts = [f"line {i}\n" + "haha the road " * (i % 5) + "x" * (T.TEXT_BYTES // 8) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    t = F.col("t")
+    df = docs.select("i", snippet.snippet(t, t, ["haha"]).alias("s"), match.positions(t, "haha", "kmp").alias("p"), match.all_positions(t, ["haha", "the"]).alias("a"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}") >= 3
+    for r in df.collect():
+        x = texts[r["i"]]
+        assert r["s"] == snippet.extract(x, ["haha"]) and r["p"] == match.find_all(x, "haha") and r["a"] == {k: match.find_all(x, k) for k in ("haha", "the") if k in x}
+
+
 def test_streams_of_tables_in_folders(spark, tmp_path):
     """The queries that stream a table take it as a single file and as a folder of files."""
     docs = spark.createDataFrame([(i, "one two one" if i % 2 else "two", "en") for i in range(6)], "doc_id long, text string, lang string")
