@@ -115,18 +115,13 @@ def stats_totals(spark, sf_dir):
 
 
 def matcher_comparison(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    out = None
-    for name in ("naive", "kmp", "rabinkarp", "zalgorithm", "ahocorasick"):
-        keywords = ["haha", "the"] if name == "ahocorasick" else ["haha"]
-        some = docs
-        for k in keywords:
-            some = some.where(F.contains("searchable", F.lit(k)))
-        places = match.all_positions(F.col("searchable"), keywords) if name == "ahocorasick" else F.create_map(F.lit("haha"), match.positions(F.col("searchable"), "haha", name))
-        n = F.aggregate(F.map_values(places), F.lit(0), lambda a, p: a + F.size(p))
-        row = some.select(n.alias("n")).agg(F.lit(name).alias("algorithm"), F.sum("n").alias("matches"), F.count("*").alias("documents_scanned"))
-        out = row if out is None else out.union(row)
-    return out
+    """One pass over the texts for all algorithms; each scans the documents that hold all its keywords."""
+    asked = {name: ["haha", "the"] if name == "ahocorasick" else ["haha"] for name in ("naive", "kmp", "rabinkarp", "zalgorithm", "ahocorasick")}
+    some = documents(spark, sf_dir).where(F.contains("searchable", F.lit("haha")))
+    sums = some.select(match.comparison(F.col("searchable"), asked).alias("n"))
+    sums = sums.agg(*[f(F.col("n")[i]).alias(f"{of}{i}") for i in range(len(asked)) for of, f in (("n", F.sum), ("d", F.count))])
+    rows = [F.struct(F.lit(name).alias("algorithm"), F.col(f"n{i}").alias("matches"), F.col(f"d{i}").alias("documents_scanned")) for i, name in enumerate(asked)]
+    return sums.select(F.inline(F.array(*rows)))
 
 
 def _flow(demand: int):

@@ -346,6 +346,28 @@ def test_texts_reach_python_by_slices(spark):
         assert r["s"] == snippet.extract(x, ["haha"]) and r["p"] == match.find_all(x, "haha") and r["a"] == {k: match.find_all(x, k) for k in ("haha", "the") if k in x}
 
 
+def test_matchers_are_compared_in_one_pass(spark, tmp_path):
+    texts = ["haha hahaha", "Haha the haha", "the", "", None, "thethe HAHA"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.matcher_comparison(spark, str(tmp_path))
+    assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, df.collect())) == [("ahocorasick", 6, 2), *((k, 6, 3) for k in ("kmp", "naive", "rabinkarp", "zalgorithm"))]
+    spark.createDataFrame([(1, "none", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert {tuple(r)[1:] for r in catalogue.matcher_comparison(spark, f"{tmp_path}/none").collect()} == {(None, 0)}
+
+
+def test_quick_kernels_find_what_slow_search_finds(monkeypatch):
+    """Texts over several of Rabin-Karp's parts, a pattern too long to be hashed at once, letters that mean something to a regular expression."""
+    monkeypatch.setattr(match, "HASHED", 7)
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = rng.choice(["ab", "ab^]-\\", "aé😀"])
+        text, pattern = ("".join(rng.choice(letters) for _ in range(rng.randrange(n))) for n in (90, 5))
+        assert all(f(text, pattern) == match.find_all(text, pattern) for f in match.KERNELS.values())
+    long = "ab" * 40
+    assert all(f("x" + long * 3, long) == match.find_all("x" + long * 3, long) for f in match.KERNELS.values())
+
+
 def test_streams_of_tables_in_folders(spark, tmp_path):
     """The queries that stream a table take it as a single file and as a folder of files."""
     docs = spark.createDataFrame([(i, "one two one" if i % 2 else "two", "en") for i in range(6)], "doc_id long, text string, lang string")
